@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, secrets, toxicity, wordpiece
+from . import bpe, neardup, pii, secrets, toxicity, wordpiece
 from .common import table
 
 #: The key of the registered pseudonym query; a user gives another.
@@ -34,6 +34,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = tuple(r.kind for r in secrets.BASE)
@@ -60,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_neardup": op3_neardup,
     "op6_secrets": op6_secrets,
     "op8_tokens": op8_tokens,
     "op10_toxicity": op10_toxicity,

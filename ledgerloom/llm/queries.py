@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, pii, secrets, toxicity, wordpiece
+from . import bpe, licenses, media, mixing, neardup, pii, secrets, topk, toxicity, wordpiece
 from .common import table
 
 #: The key of the registered pseudonym query; a user gives another.
@@ -38,6 +38,19 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+#: Shares of tokens that the mix aims at.
+MIX = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(MIX)), "rate", "n_copies")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = tuple(r.kind for r in secrets.BASE)
@@ -50,10 +63,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -65,9 +86,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
+    "op4_media": op4_media,
+    "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
+    "op7_topk": op7_topk,
     "op8_tokens": op8_tokens,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_topk": """
+WITH part AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM part q JOIN part x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id
+), ranked AS (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}

@@ -88,3 +88,13 @@ def _arrow_schema(fields: list[T.StructField]) -> pa.Schema:
 def as_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Key and text alone; nothing else of a table reaches an operator, so clashing names do no harm."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Rows of at most 16 bytes that may be sent to all executors; beyond it a join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table of few narrow columns, marked for broadcast only if its rows are counted to be few."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most else df

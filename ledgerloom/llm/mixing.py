@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small
 
 DOMAINS = ("good", "poor", "toxic")
 BUCKETS = 1024
@@ -149,7 +149,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least_rat
     return out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def repeated(docs: DataFrame, n_copies: Column) -> DataFrame:
-    """Each row as often as ``n_copies`` says."""
-    return docs.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n_copies.cast("int")))).drop("__copy")
-
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least_rate: float = 0.0, total: float | None = 1.0, text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as its rate says. Rows of one key share the mean of their rates; null keys stay once."""
+    made = mix(docs, labels, weights, least_rate, total, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.avg("rate").alias("rate"))
+    # Most rows stay once, so only the others are looked up.
+    other = small(made.select(F.col("doc_id").alias("__key"), copies(F.col("rate"), F.col("doc_id")).cast("int").alias("__n")).where("__n != 1"))
+    out = docs.join(other, F.col("doc_id") == F.col("__key"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*docs.columns)

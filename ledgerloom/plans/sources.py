@@ -1 +1,152 @@
-"""Registered queries."""
+"""Queries of scans, sinks and keyed tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import relational as R
+from ..registry import query
+from ..sources import files as S
+from ..views import Tables
+
+
+@query("scan_jsonl", """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def scan_jsonl(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "jsonl")
+    S.write_jsonl(t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k")), path)
+    good, _ = S.read_jsonl(t.spark, path, "event_id long, event_type string, k long")
+    return good
+
+
+@query("scan_case_documents", """SELECT case_id AS case_dir, count(DISTINCT stage) AS n_stages, true AS complete FROM ev_edges GROUP BY case_id""")
+def scan_case_documents(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "cases")
+    docs = t.ev_edges.groupBy("case_id").agg(F.count_distinct("stage").alias("n_stages"))
+    for kind in ("summary", "evidence"):
+        docs.select(F.col("case_id").alias("case_dir"), F.lit(kind).alias("artifact"), "n_stages").write.partitionBy("case_dir", "artifact").mode("append").json(path)
+    rows = t.spark.read.schema("n_stages long, case_dir string, artifact string").json(path)
+    return S.case_documents(rows, ("summary", "evidence"))
+
+
+@query("discover_documents", """SELECT CASE WHEN grade IN ('A', 'B') THEN 'main' ELSE 'other' END AS namespace, count(*) AS n FROM report_docs WHERE source_type <> 'forum' GROUP BY 1""")
+def discover_documents(t: Tables) -> DataFrame:
+    listed = t.report_docs.select(F.concat(F.lit("/data/"), F.when(F.col("grade").isin("A", "B"), "main").otherwise("other"), F.lit("/"), F.when(F.col("source_type") == "forum", "_skipped").otherwise("01-case"), F.lit("/"), F.col("filename")).alias("path"))
+    return S.discovered(listed, "[.]pdf$").groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query("sink_jsonl", """SELECT o_orderpriority AS case_dir, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def sink_jsonl(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "jsonl")
+    S.write_jsonl(t.orders.select(F.col("o_orderpriority").alias("case_dir"), "o_orderkey", "o_totalprice"), path, ["case_dir"])
+    return t.spark.read.schema("o_orderkey long, case_dir string").json(path).groupBy("case_dir").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(
+    "export_edge_table",
+    """WITH l AS (SELECT edge_id, CASE WHEN edge_type = 0 AND priority = '1-URGENT' THEN 'positive' WHEN priority = '5-LOW' THEN 'hard_negative' ELSE 'negative' END AS label FROM dense),
+ e AS (SELECT d.*, l.label FROM dense d LEFT JOIN l USING (edge_id)), black AS (SELECT DISTINCT case_id, n FROM (SELECT case_id, src AS n FROM e WHERE label = 'positive' AND status = 'F' UNION ALL SELECT case_id, dst FROM e WHERE label = 'positive' AND status = 'F') x)
+ SELECT e.edge_id, e.case_id, e.label, (e.case_id, e.src) IN (SELECT (case_id, n) FROM black) AS src_is_black, (e.case_id, e.dst) IN (SELECT (case_id, n) FROM black) AS dst_is_black, e.label = 'hard_negative' AS is_hard_negative FROM e""",
+)
+def export_edge_table(t: Tables) -> DataFrame:
+    label = F.when((F.col("edge_type") == 0) & (F.col("priority") == "1-URGENT"), "positive").when(F.col("priority") == "5-LOW", "hard_negative").otherwise("negative")
+    labels = t.dense.select("case_id", "edge_id", label.alias("label"), (F.col("status") == "F").alias("counts"))
+    return export_table(t.dense, labels).select("edge_id", "case_id", "label", "src_is_black", "dst_is_black", "is_hard_negative")
+
+
+def export_table(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled edges with flags: whether an end touches a positive edge, and hard negatives."""
+    rows = edges.join(labels, ["case_id", "edge_id"], "left")
+    black = rows.where("label in ('positive', 'reported_positive') and counts").select("case_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    for end in ("src", "dst"):
+        mark = black.select("case_id", F.col("node").alias(end), F.lit(True).alias(f"{end}_is_black"))
+        rows = rows.join(mark, ["case_id", end], "left").withColumn(f"{end}_is_black", F.coalesce(f"{end}_is_black", F.lit(False)))
+    return rows.withColumn("is_hard_negative", F.col("label") == "hard_negative").withColumn("is_boundary", F.col("label") == "boundary")
+
+
+@query("verify_manifest", """SELECT n_regionkey AS part, count(*) AS n_rows, true AS matches FROM nation GROUP BY 1""")
+def verify_manifest(t: Tables) -> DataFrame:
+    rows = t.nation.select(F.col("n_regionkey").alias("part"), F.concat_ws("|", "n_nationkey", "n_name").alias("line"))
+    now = S.table_digests(rows, "part", "line")
+    before = S.table_digests(rows.repartition(3), "part", "line")
+    both = now.alias("a").join(before.alias("b"), "part", "full_outer")
+    return both.select("part", F.col("a.n_rows").alias("n_rows"), F.coalesce((F.col("a.digest") == F.col("b.digest")) & (F.col("a.n_rows") == F.col("b.n_rows")), F.lit(False)).alias("matches"))
+
+
+@query("restore_local_artifacts", """SELECT n_name AS case_dir, n_nationkey AS doc FROM nation WHERE n_nationkey % 5 <> 0""")
+def restore_local_artifacts(t: Tables) -> DataFrame:
+    published = t.nation.select(F.when(F.col("n_nationkey") % 5 == 0, F.lit("../x")).otherwise(F.col("n_name")).alias("case_dir"), F.col("n_nationkey").alias("doc"))
+    return S.restorable(published, published.limit(0).select("case_dir"), force=False).select("case_dir", "doc")
+
+
+@query("upsert_latest", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, 100 AS created_at FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice + 1, 200 FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0""")
+def upsert_latest(t: Tables) -> DataFrame:
+    row = lambda where, price, at: t.orders.where(where).select("o_orderkey", F.expr(price).alias("price"), F.lit(at).alias("created_at"))
+    return R.upsert(row("o_orderkey % 2 = 0", "o_totalprice", 100), row("o_orderkey % 3 = 0", "o_totalprice + 1", 200), ["o_orderkey"])
+
+
+@query("replace_snapshot", """SELECT case_id, count(*) AS purged, count(*) FILTER (edge_type = 0) AS inserted FROM dense GROUP BY case_id""")
+def replace_snapshot(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "snapshot")
+    rows = t.dense.select("edge_id", "edge_type", "case_id")
+    return S.replace_partitions(t.spark, path, rows, rows.where("edge_type = 0"), ["case_id"])
+
+
+@query("document_hash", """SELECT event_id, sha256('{"event_id": ' || CAST(event_id AS VARCHAR) || ', "event_type": "' || event_type || '"}') AS digest FROM events""")
+def document_hash(t: Tables) -> DataFrame:
+    body = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "event_type": "'), "event_type", F.lit('"}'))
+    return t.events.select("event_id", F.sha2(body, 256).alias("digest"))
+
+
+@query("dual_source_load", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'primary' ELSE 'backup' END AS origin FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""")
+def dual_source_load(t: Tables) -> DataFrame:
+    part = lambda n, name: t.orders.where(F.col("o_orderkey") % n == 0).select("o_orderkey", F.lit(name).alias("origin"))
+    return R.with_fallback(part(3, "primary"), part(2, "backup"), ["o_orderkey"])
+
+
+@query("scan_transfer_sheet", """SELECT tx_hash, ts, src AS from_address, dst AS to_address, CAST(amount AS DOUBLE) AS value FROM dense WHERE status = 'P' AND asset <> 'A'""")
+def scan_transfer_sheet(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "sheet")
+    rows = t.dense.where("status = 'P'").select(F.when(F.col("asset") != "A", F.col("tx_hash")).alias("Txn Hash"), F.col("ts").alias("Block Time"), F.col("src").alias("Sender From"), F.col("dst").alias("To Address"), F.col("amount").alias("Value (USD)"))
+    rows.write.option("header", True).csv(path)
+    sheet = S.transfer_sheet(t.spark.read.option("header", True).csv(path))
+    return sheet.select("tx_hash", F.col("timestamp").cast("long").alias("ts"), "from_address", "to_address", F.col("value").cast("double").alias("value"))
+
+
+@query("case_list_scan", """SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) AS pos, 1 AS times FROM nation""")
+def case_list_scan(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "list")
+    lines = t.nation.select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "  # comment").otherwise("")).alias("value"), "n_nationkey")
+    lines.coalesce(1).sortWithinPartitions("n_nationkey").select("value").write.text(path)
+    return S.case_list(t.spark, path)
+
+
+@query("qa_partitions", """SELECT case_id AS case_dir, CASE WHEN verification_status = 'reported' THEN 'general' ELSE 'chain' END AS qa_domain, count(*) AS n FROM ev_edges GROUP BY 1, 2""")
+def qa_partitions(t: Tables) -> DataFrame:
+    path = S.scratch(t.spark, "qa")
+    rows = t.ev_edges.select(F.col("case_id").alias("case_dir"), F.when(F.col("verification_status") == "reported", "general").otherwise("chain").alias("qa_domain"), "reported_id")
+    rows.repartition("case_dir", "qa_domain").write.partitionBy("case_dir", "qa_domain").parquet(path)
+    return t.spark.read.parquet(path).groupBy("case_dir", "qa_domain").agg(F.count("*").alias("n"))
+
+
+@query("latest_version_scan", """SELECT o_custkey AS case_key, o_orderkey AS task FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 12 DESC) AS r FROM orders) x WHERE r = 1""")
+def latest_version_scan(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("case_key"), F.col("o_orderkey").alias("task"), F.concat(F.lit("chain_qa.v"), (F.col("o_orderkey") % 12).cast("string")).alias("dataset_version"))
+    return S.latest_version(rows, ["case_key"], "dataset_version").select("case_key", "task")
+
+
+@query("run_tables", """SELECT 'run_' || CAST(o_orderkey % 3 AS VARCHAR) AS run_id, count(DISTINCT o_custkey) AS n_tasks, count(DISTINCT o_custkey) AS n_rows FROM orders GROUP BY 1""")
+def run_tables(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.concat(F.lit("run_"), (F.col("o_orderkey") % 3).cast("string")).alias("run_id"), F.col("o_custkey").alias("task_id"), F.col("o_orderdate").alias("at"))
+    latest = R.keep_first(rows, ["run_id", "task_id"], [F.desc("at")])
+    return latest.groupBy("run_id").agg(F.count_distinct("task_id").alias("n_tasks"), F.count("*").alias("n_rows"))
+
+
+@query(
+    "artifact_status",
+    """SELECT case_id, max(CASE WHEN stage = 'theft' THEN 1 ELSE 0 END) = 1 AS report, max(CASE WHEN stage = 'layering' THEN 1 ELSE 0 END) = 1 AS summary, max(CASE WHEN confidence = 'A' THEN 1 ELSE 0 END) = 1 AS evidence FROM ev_edges GROUP BY case_id""",
+)
+def artifact_status(t: Tables) -> DataFrame:
+    listed = t.ev_edges.select("case_id", F.explode(F.array_compact(F.array(F.when(F.col("stage") == "theft", "report"), F.when(F.col("stage") == "layering", "summary"), F.when(F.col("confidence") == "A", "evidence")))).alias("artifact"))
+    wide = listed.groupBy("case_id").pivot("artifact", ["report", "summary", "evidence"]).count()
+    return wide.select("case_id", *((F.coalesce(F.col(c), F.lit(0)) > 0).alias(c) for c in ("report", "summary", "evidence")))

@@ -65,7 +65,7 @@ def taint(edges: DataFrame, active: DataFrame, order: str = "fifo", ratio: float
 
 def constant(edges: DataFrame, active: DataFrame, p: float) -> DataFrame:
     """A fixed score on outgoing transfers of active nodes, 0 on others."""
-    return mark_active(edges, active).withColumn("score", F.when("active", F.lit(p)).otherwise(F.lit(0.0)))
+    return mark_active(edges, active).withColumn("score", F.when(F.col("active"), F.lit(p)).otherwise(F.lit(0.0)))
 
 
 def binary_actions(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -77,7 +77,7 @@ def binary_actions(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 def poison_actions(scored: DataFrame) -> DataFrame:
     """Probabilities where what a score leaves is shared by the other three actions; the first of the largest is the action."""
     s, rest = F.col("score"), (1 - F.col("score")) / 3
-    out = scored.withColumns({"p_follow": F.when("active", s).otherwise(0.0), "p_inspect": F.when("active", rest).otherwise(0.0), "p_stop": F.when("active", rest).otherwise(0.0), "p_ignore": F.when("active", rest).otherwise(1.0)})
+    out = scored.withColumns({"p_follow": F.when(F.col("active"), s).otherwise(0.0), "p_inspect": F.when(F.col("active"), rest).otherwise(0.0), "p_stop": F.when(F.col("active"), rest).otherwise(0.0), "p_ignore": F.when(F.col("active"), rest).otherwise(1.0)})
     return out.withColumn("action", argmax_action())
 
 

@@ -1 +1,92 @@
-"""Registered queries."""
+"""Queries of iterative graph operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graphs as G
+from ..operators import lookup, policies
+from ..registry import query
+from ..views import Tables
+from .flows import active_sources
+
+
+def _edges(t: Tables) -> DataFrame:
+    return t.ev_edges.withColumnRenamed("reported_id", "edge_id")
+
+
+def _sources(t: Tables) -> DataFrame:
+    return t.ev_edges.where("stage = 'theft'").select("case_id", F.col("src").alias("node")).distinct()
+
+
+@query("build_subgraph", """WITH RECURSIVE e AS (SELECT DISTINCT case_id, src, dst FROM transfers WHERE status = 'P'), w(case_id, node, hop) AS (SELECT DISTINCT case_id, address, 0 FROM ev_entities UNION SELECT e.case_id, CASE WHEN e.src = w.node THEN e.dst ELSE e.src END, w.hop + 1 FROM w JOIN e ON e.case_id = w.case_id AND (e.src = w.node OR e.dst = w.node) WHERE w.hop < 1), f AS (SELECT case_id, node, min(hop) AS hop FROM w GROUP BY ALL),
+ x AS (SELECT t.case_id, t.edge_id, 1 + min(f.hop) AS hop FROM transfers t JOIN f ON f.case_id = t.case_id AND f.node IN (t.src, t.dst) WHERE t.status = 'P' GROUP BY ALL)
+ SELECT case_id, edge_id, hop, 'expansion' AS origin FROM x UNION ALL SELECT case_id, edge_id, 1, 'evidence' FROM transfers WHERE status = 'F' AND priority = '1-URGENT' AND asset = 'A'""")
+def build_subgraph(t: Tables) -> DataFrame:
+    from ..operators.relational import union_priority
+
+    seeds = t.ev_entities.select("case_id", F.col("address").alias("node")).distinct()
+    walked = lookup.expand_k_hop(t.transfers.where("status = 'P'"), seeds, k=2).select("case_id", "edge_id", F.col("hop").cast("int").alias("hop"), F.lit("expansion").alias("origin"))
+    stated = t.transfers.where("status = 'F' and priority = '1-URGENT' and asset = 'A'").select("case_id", "edge_id", F.lit(1).alias("hop"), F.lit("evidence").alias("origin"))
+    return union_priority([(walked, F.col("edge_id")), (stated, F.col("edge_id"))], ["case_id", "edge_id"])
+
+
+@query("enrich_outgoing", """WITH a AS (SELECT case_id, edge_id, src, edge_type + 1 AS hop FROM dense WHERE priority = '1-URGENT' AND asset = 'A'), s AS (SELECT case_id, src, min(hop) AS hop FROM a GROUP BY ALL), n AS (SELECT d.case_id, d.edge_id, d.src, s.hop, row_number() OVER (PARTITION BY d.case_id, d.src ORDER BY d.block_number, d.edge_id) AS rn FROM dense d JOIN s ON d.case_id = s.case_id AND d.src = s.src)
+ SELECT case_id, edge_id, src, hop FROM n WHERE rn <= 10 AND edge_id NOT IN (SELECT edge_id FROM a)""")
+def enrich_outgoing(t: Tables) -> DataFrame:
+    act = t.dense.where("priority = '1-URGENT' and asset = 'A'").select("case_id", "edge_id", "src", "dst", (F.col("edge_type") + 1).alias("hop"))
+    return G.enrich_outgoing(act, t.dense, 10).select("case_id", "edge_id", "src", "hop")
+
+
+@query("next_hop_chains", """WITH RECURSIVE n AS (SELECT a.case_id, a.reported_id AS e, (SELECT b.reported_id FROM ev_edges b WHERE b.case_id = a.case_id AND b.src = a.dst AND b.ts > a.ts ORDER BY b.ts, b.reported_id LIMIT 1) AS nx FROM ev_edges a), c(case_id, e, pos, len) AS (SELECT case_id, e, e, 0 FROM n UNION ALL SELECT c.case_id, c.e, n.nx, c.len + 1 FROM c JOIN n ON n.case_id = c.case_id AND n.e = c.pos WHERE n.nx IS NOT NULL)
+ SELECT case_id, e AS edge_id, arg_max(pos, len) AS last_id, CAST(max(len) AS BIGINT) AS length FROM c GROUP BY case_id, e""")
+def next_hop_chains(t: Tables) -> DataFrame:
+    return G.chains(_edges(t)).withColumnRenamed("end", "last_id")
+
+
+@query("gold_paths", """WITH RECURSIVE s AS (SELECT DISTINCT case_id, src AS node FROM ev_edges WHERE stage = 'theft'), p(case_id, start, node, path, seen) AS (SELECT case_id, node, node, CAST([] AS VARCHAR[]), [node] FROM s UNION ALL SELECT p.case_id, p.start, e.dst, list_append(p.path, e.reported_id), list_append(p.seen, e.dst) FROM p JOIN ev_edges e ON e.case_id = p.case_id AND e.src = p.node AND NOT list_contains(p.seen, e.dst) WHERE len(p.path) < 3)
+ SELECT case_id, start, path FROM p WHERE len(path) > 0 AND (len(path) = 3 OR NOT EXISTS (SELECT 1 FROM ev_edges e WHERE e.case_id = p.case_id AND e.src = p.node AND NOT list_contains(p.seen, e.dst)))""")
+def gold_paths(t: Tables) -> DataFrame:
+    return G.gold_paths(_edges(t), _sources(t)).where(F.size("path") > 0)
+
+
+_REACH = """WITH RECURSIVE r(case_id, node) AS (SELECT DISTINCT case_id, src FROM ev_edges WHERE stage = 'theft' UNION SELECT e.case_id, e.dst FROM r JOIN ev_edges e ON e.case_id = r.case_id AND e.src = r.node)"""
+
+
+@query("reachability_check", f"{_REACH} SELECT case_id, reported_id AS edge_id FROM ev_edges WHERE (case_id, src) NOT IN (SELECT (case_id, node) FROM r)")
+def reachability_check(t: Tables) -> DataFrame:
+    return G.unreachable(_edges(t), _sources(t)).select("case_id", "edge_id")
+
+
+@query("flow_corridor", f"{_REACH}, b(case_id, node) AS (SELECT DISTINCT case_id, dst FROM ev_edges WHERE stage = 'cash_out' UNION SELECT e.case_id, e.src FROM b JOIN ev_edges e ON e.case_id = b.case_id AND e.dst = b.node) SELECT case_id, reported_id AS edge_id FROM ev_edges WHERE (case_id, src) IN (SELECT (case_id, node) FROM r) AND (case_id, dst) IN (SELECT (case_id, node) FROM b)")
+def flow_corridor(t: Tables) -> DataFrame:
+    targets = t.ev_edges.where("stage = 'cash_out'").select("case_id", F.col("dst").alias("node"))
+    return G.corridor(_edges(t), _sources(t), targets).select("case_id", "edge_id")
+
+
+@query("beam_rollout")
+def beam_rollout(t: Tables) -> DataFrame:
+    edges = t.dense.select("case_id", "src", "edge_id", "ts", "block_number", "token_address", "asset", "edge_type", "amount", "dst")
+    scored = policies.taint(edges, active_sources(t), "fifo").withColumnRenamed("score", "p_follow")
+    return G.beam_rollout(scored, active_sources(t, 1))
+
+
+@query("state_policy_rollout", """WITH RECURSIVE r(case_id, node, d) AS (SELECT DISTINCT case_id, src, 0 FROM ev_edges WHERE stage = 'theft' UNION SELECT e.case_id, e.dst, r.d + 1 FROM r JOIN ev_edges e ON e.case_id = r.case_id AND e.src = r.node WHERE r.d < 3) SELECT case_id, node, min(d) AS depth FROM r GROUP BY case_id, node""")
+def state_policy_rollout(t: Tables) -> DataFrame:
+    return G.state_rollout(_edges(t), _sources(t), 3)
+
+
+@query("dense_peel")
+def dense_peel(t: Tables) -> DataFrame:
+    return G.dense_peel(t.dense)
+
+
+@query("push_rank")
+def push_rank(t: Tables) -> DataFrame:
+    return G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4)
+
+
+@query("conductance_community")
+def conductance_community(t: Tables) -> DataFrame:
+    return G.conductance_sweep(t.dense, G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4).select("case_id", "node", "rank"))

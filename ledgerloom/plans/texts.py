@@ -1 +1,51 @@
-"""Registered queries."""
+"""Queries of text search."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import tokens
+from ..operators.relational import top_n_per_group
+from ..registry import query
+from ..views import Tables
+
+_TOKENS = "list_filter(regexp_extract_all(lower(text), '0x[0-9a-f]+|[a-z0-9_:-]{2,}'), lambda x: x <> '')"
+
+
+@query(
+    "tfidf_topk",
+    f"""WITH d AS (SELECT doc_id, unnest({_TOKENS}) AS tok FROM documents), tf AS (SELECT doc_id, tok, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok), n AS (SELECT count(*) AS n FROM documents),
+ q AS (SELECT item_id, tok, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS tok FROM benchmark) x GROUP BY ALL),
+ s AS (SELECT item_id, doc_id, round(sum((1 + ln(tf)) * (1 + ln(qtf)) * greatest(ln((n + 1) / (df + 0.5)), 0.1)), 4) AS score FROM q JOIN tf USING (tok) JOIN df USING (tok), n GROUP BY ALL)
+ SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) x WHERE rn <= 10""",
+)
+def tfidf_topk(t: Tables) -> DataFrame:
+    return tfidf(t.documents.select("doc_id", "text"), t.benchmark, 10)
+
+
+def tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best k documents for each query by weighted shared tokens: item_id, doc_id, score.
+
+    Postings are cut down to tokens that a query has before anything is counted.
+    """
+    asked = queries.select("item_id", F.explode(tokens("text")).alias("tok")).groupBy("item_id", "tok").agg(F.count("*").alias("qtf"))
+    wanted = asked.select("tok").distinct()
+    tf = docs.select("doc_id", F.explode(tokens("text")).alias("tok")).join(wanted, "tok", "left_semi").groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    weighted = asked.join(df, "tok").join(F.broadcast(n)).withColumn("w", (1 + F.log("qtf")) * F.greatest(F.log((F.col("n") + 1) / (F.col("df") + 0.5)), F.lit(0.1)))
+    scored = tf.join(weighted, "tok").groupBy("item_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("w")), 4).alias("score"))
+    return top_n_per_group(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+@query(
+    "nearest_task",
+    f"""WITH d AS (SELECT DISTINCT page_id, unnest(list_filter(regexp_extract_all(lower(url), '0x[0-9a-f]+|[a-z0-9_:-]{{2,}}'), lambda x: x <> '')) AS tok FROM pages), p AS (SELECT a.page_id, b.page_id AS nearest, count(*) AS shared FROM d a JOIN d b ON a.tok = b.tok AND a.page_id <> b.page_id GROUP BY ALL) SELECT page_id, nearest, shared FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY shared DESC, nearest) AS rn FROM p WHERE page_id % 5 = 0) x WHERE rn = 1""",
+)
+def nearest_task(t: Tables) -> DataFrame:
+    bag = t.pages.select("page_id", F.explode(F.array_distinct(tokens("url"))).alias("tok"))
+    asked = bag.where("page_id % 5 = 0")  # the stated query set
+    both = asked.join(bag.withColumnRenamed("page_id", "nearest"), "tok").where("page_id != nearest")
+    shared = both.groupBy("page_id", "nearest").agg(F.count("*").alias("shared"))
+    return top_n_per_group(shared, ["page_id"], [F.desc("shared"), F.col("nearest")], 1)

@@ -1 +1,164 @@
-"""Registered queries."""
+"""Queries of answer parsing and scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import features as W
+from ..operators import policies
+from ..operators import scoring as S
+from ..operators.summaries import metric_means
+from ..registry import query
+from ..views import Tables
+from .flows import active_sources
+
+_GOLD = "CASE WHEN asset = 'A' THEN 'follow' WHEN asset = 'N' AND edge_type = 0 THEN 'stop' WHEN asset = 'N' THEN 'inspect' ELSE 'ignore' END"
+_P = "(ts // 86400 % 101) / 100.0"
+_PRED = f"p AS (SELECT case_id, src, edge_id, {_GOLD} AS gold, {_P} AS p_follow, (1 - {_P}) / 2 AS p_inspect, 0.0 AS p_stop, (1 - {_P}) / 2 AS p_ignore FROM dense), a AS (SELECT *, CASE WHEN p_follow >= p_inspect THEN 'follow' ELSE 'inspect' END AS action FROM p)"
+
+
+def predictions(t: Tables) -> DataFrame:
+    """Stored predictions, with gold: a stand-in for a detector's output."""
+    gold = F.when(F.col("asset") == "A", "follow").when((F.col("asset") == "N") & (F.col("edge_type") == 0), "stop").when(F.col("asset") == "N", "inspect").otherwise("ignore")
+    p = F.expr("(floor(ts / 86400) % 101) / 100.0").cast("double")
+    rows = t.dense.select("case_id", "src", "edge_id", gold.alias("gold"), p.alias("p_follow"), ((1 - p) / 2).alias("p_inspect"), F.lit(0.0).alias("p_stop"), ((1 - p) / 2).alias("p_ignore"))
+    return rows.withColumn("action", policies.argmax_action())
+
+
+@query("parse_answers", """SELECT event_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 4 = 3""")
+def parse_answers(t: Tables) -> DataFrame:
+    body = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    text = F.expr("event_id % 4")
+    answer = F.when(text == 0, body).when(text == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(text == 2, F.concat(F.lit("The answer is "), body, F.lit(" as shown."))).otherwise("no object here")
+    parsed = S.json_answer(answer, "kind string, k long")
+    return t.events.select("event_id", parsed.alias("a")).select("event_id", "a.kind", "a.k")
+
+
+@query("check_existence_answer", """SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus = 'P' THEN 'no_answer' END, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'count_without_hashes' END, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 <> 0 THEN 'hashes_without_count' END], lambda x: x IS NOT NULL) AS errors FROM orders""")
+def check_existence_answer(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("found"), F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("0x1"))).alias("hashes"))
+    err = lambda c, name: F.when(c, F.lit(name))
+    return rows.select("o_orderkey", F.array_compact(F.array(err(F.col("found").isNull(), "no_answer"), err(F.col("found") & (F.size("hashes") == 0), "count_without_hashes"), err(~F.col("found") & (F.size("hashes") > 0), "hashes_without_count"))).alias("errors"))
+
+
+@query("check_edge_answer", """SELECT case_id AS task_id, ['missing', 'probability', 'repeated', 'unknown'] AS errors, count(*) FILTER (asset = 'R') + count(*) FILTER (asset = 'N' AND status = 'F') + count(*) FILTER (asset = 'A' AND status = 'P') + count(*) FILTER (asset <> 'R' AND edge_type = 1) AS n_errors FROM dense GROUP BY case_id""")
+def check_edge_answer(t: Tables) -> DataFrame:
+    base = t.dense.select(F.col("case_id").alias("task_id"), "edge_id", "asset", "status", "edge_type")
+    asked = base.where("edge_type = 0 or asset = 'R'").select("task_id", "edge_id")
+    given = base.where("asset != 'R'")
+    total = F.when((F.col("asset") == "A") & (F.col("status") == "P"), 0.5).otherwise(1.0)
+    rows = given.select("task_id", "edge_id", F.lit("follow").alias("action"), total.alias("p_follow"), *(F.lit(0.0).alias(f"p_{a}") for a in ("inspect", "stop", "ignore")), "asset", "status")
+    twice = rows.where("asset = 'N' and status = 'F'")
+    return S.edge_answer_errors(rows.unionByName(twice), asked).select("task_id", "errors", "n_errors")
+
+
+@query("check_sequential_answer", """WITH RECURSIVE r(case_id, node) AS (SELECT DISTINCT case_id, src FROM ev_edges WHERE stage = 'theft' UNION SELECT e.case_id, e.dst FROM r JOIN ev_edges e ON e.case_id = r.case_id AND e.src = r.node) SELECT case_id, count(*) AS n_steps, count(*) FILTER ((case_id, src) NOT IN (SELECT (case_id, node) FROM r)) AS n_unreachable FROM ev_edges GROUP BY case_id""")
+def check_sequential_answer(t: Tables) -> DataFrame:
+    from .graph import reachability_check
+
+    bad = reachability_check(t).groupBy("case_id").agg(F.count("*").alias("n_unreachable"))
+    return t.ev_edges.groupBy("case_id").agg(F.count("*").alias("n_steps")).join(bad, "case_id", "left").na.fill(0, ["n_unreachable"])
+
+
+@query("protocol_existence", """SELECT case_id, src, count(*) AS n_calls, count(*) FILTER (edge_type = 0 AND block_number BETWEEN 7200 * 500 AND 7200 * 3500) AS n_valid, bool_and(edge_type = 0) AS right_type FROM dense WHERE priority = '3-MEDIUM' GROUP BY ALL""")
+def protocol_existence(t: Tables) -> DataFrame:
+    ok = (F.col("edge_type") == 0) & F.col("block_number").between(7200 * 500, 7200 * 3500)
+    return t.dense.where("priority = '3-MEDIUM'").groupBy("case_id", "src").agg(F.count("*").alias("n_calls"), F.count_if(ok).alias("n_valid"), F.bool_and(F.col("edge_type") == 0).alias("right_type"))
+
+
+@query("protocol_tracing", """SELECT case_id AS task_id, count(DISTINCT dst) AS groups, count(DISTINCT CASE WHEN status = 'F' AND edge_type = 0 THEN dst END) AS covered, count(*) FILTER (status = 'F' AND edge_type = 0 AND asset = 'A') AS repeated, CAST(0 AS BIGINT) AS outside FROM dense GROUP BY case_id""")
+def protocol_tracing(t: Tables) -> DataFrame:
+    groups = t.dense.select(F.col("case_id").alias("task_id"), "edge_id", F.col("dst").alias("group_id"))
+    calls = t.dense.where("status = 'F' and edge_type = 0").select(F.col("case_id").alias("task_id"), "edge_id", "asset")
+    return S.protocol_cover(calls.unionByName(calls.where("asset = 'A'")), groups).select("task_id", "groups", "covered", "repeated", "outside")
+
+
+@query("score_existence", """SELECT case_id, src, CASE WHEN nf = 0 AND ng = 0 THEN 1.0 WHEN nf = 0 THEN 0.0 ELSE nb / nf END AS prec, CASE WHEN nf = 0 AND ng = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE nb / ng END AS recall, nf = ng AS count_right FROM (SELECT case_id, src, count(*) FILTER (asset = 'A' AND priority = '1-URGENT') AS ng, count(*) FILTER (asset = 'A' AND status = 'F') AS nf, count(*) FILTER (asset = 'A' AND priority = '1-URGENT' AND status = 'F') AS nb FROM dense GROUP BY ALL) x""")
+def score_existence(t: Tables) -> DataFrame:
+    gold, found = F.expr("asset = 'A' and priority = '1-URGENT'"), F.expr("asset = 'A' and status = 'F'")
+    rows = t.dense.groupBy("case_id", "src").agg(F.count_if(gold).alias("ng"), F.count_if(found).alias("nf"), F.count_if(gold & found).alias("nb"))
+    precision, recall = S.precision_recall(F.col("nb"), F.col("nf"), F.col("ng"), 1.0)
+    return rows.select("case_id", "src", precision.alias("prec"), recall.alias("recall"), (F.col("nf") == F.col("ng")).alias("count_right"))
+
+
+_RANK = "r AS (SELECT *, row_number() OVER (PARTITION BY case_id, src ORDER BY p_follow DESC, edge_id) AS rank FROM a)"
+
+
+@query("score_edge_actions", f"WITH {_PRED}, {_RANK} SELECT case_id, src, 1.0 / min(CASE WHEN gold = 'follow' THEN rank END) AS mrr, coalesce(min(CASE WHEN gold = 'follow' THEN rank END) <= 1, false) AS hit_1, coalesce(min(CASE WHEN gold = 'follow' THEN rank END) <= 3, false) AS hit_3, coalesce(min(CASE WHEN gold = 'follow' THEN rank END) <= 5, false) AS hit_5, avg(CAST(action = gold AS INTEGER)) AS accuracy FROM r GROUP BY ALL")
+def score_edge_actions(t: Tables) -> DataFrame:
+    rows = predictions(t)
+    ranked = W.ranked_metrics(rows.withColumn("is_gold", F.col("gold") == "follow"), ["case_id", "src"], "p_follow", "is_gold")
+    return ranked.join(rows.groupBy("case_id", "src").agg(F.avg((F.col("action") == F.col("gold")).cast("double")).alias("accuracy")), ["case_id", "src"])
+
+
+@query("score_predictions", f"WITH {_PRED} SELECT case_id, count(*) FILTER (p_follow >= 0.5) AS n_selected, count(*) FILTER (gold = 'follow') AS n_gold, count(*) FILTER (p_follow >= 0.5 AND gold = 'follow') / count(*) FILTER (gold = 'follow') AS recall, count(*) FILTER (p_follow >= 0.5 AND gold = 'follow') > 0 AS passed FROM a GROUP BY case_id")
+def score_predictions(t: Tables) -> DataFrame:
+    sel, gold = F.col("p_follow") >= 0.5, F.col("gold") == "follow"
+    rows = predictions(t).groupBy("case_id").agg(F.count_if(sel).alias("n_selected"), F.count_if(gold).alias("n_gold"), F.count_if(sel & gold).alias("n_both"))
+    _, recall = S.precision_recall(F.col("n_both"), F.col("n_selected"), F.col("n_gold"), 0.0)
+    return rows.select("case_id", "n_selected", "n_gold", recall.alias("recall"), (F.col("n_both") > 0).alias("passed"))
+
+
+@query("macro_f1", f"WITH {_PRED}, c AS (SELECT case_id, unnest(['follow', 'inspect', 'stop', 'ignore']) AS c, action, gold FROM a), k AS (SELECT case_id, c, count(*) FILTER (action = c AND gold = c) AS tp, count(*) FILTER (action = c AND gold <> c) + count(*) FILTER (action <> c AND gold = c) AS err FROM c GROUP BY ALL) SELECT case_id, avg(2 * tp / (2 * tp + err)) AS macro_f1 FROM k WHERE tp + err > 0 GROUP BY case_id")
+def macro_f1(t: Tables) -> DataFrame:
+    return S.macro_f1(predictions(t), ["case_id"], "action", "gold")
+
+
+@query("brier", f"WITH {_PRED} SELECT case_id, avg((p_follow - CAST(gold = 'follow' AS INTEGER)) ** 2 + (p_inspect - CAST(gold = 'inspect' AS INTEGER)) ** 2 + (p_stop - CAST(gold = 'stop' AS INTEGER)) ** 2 + (p_ignore - CAST(gold = 'ignore' AS INTEGER)) ** 2) AS brier FROM a GROUP BY case_id")
+def brier(t: Tables) -> DataFrame:
+    return predictions(t).groupBy("case_id").agg(F.avg(S.brier("gold")).alias("brier"))
+
+
+_BIN = "len(list_filter([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: e <= p))"
+
+
+@query("ece", f"WITH x AS (SELECT d.lang, (d.n_chars / (SELECT max(n_chars) FROM documents))::DOUBLE AS p, l.quality FROM labels l JOIN documents d USING (doc_id)), b AS (SELECT lang, {_BIN} AS bin, count(*) AS n, avg(p) AS conf, avg(quality::DOUBLE) AS acc FROM x GROUP BY ALL) SELECT lang, sum(n * abs(conf - acc)) / sum(n) AS ece FROM b GROUP BY lang")
+def ece(t: Tables) -> DataFrame:
+    top = t.documents.agg(F.max("n_chars").alias("top"))
+    rows = t.labels.join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id").join(F.broadcast(top)).withColumn("p", F.col("n_chars") / F.col("top"))
+    return S.ece(rows, ["lang"], "p", "quality")
+
+
+@query("score_sequential", f"WITH {_PRED}, s AS (SELECT case_id, src, count(*) FILTER (p_follow >= 0.5) AS nf, count(*) FILTER (gold = 'follow') AS ng, count(*) FILTER (p_follow >= 0.5 AND gold = 'follow') AS nb FROM a GROUP BY ALL) SELECT case_id, avg(CASE WHEN nf = 0 THEN 0.0 ELSE nb / nf END) AS prec, avg(CASE WHEN ng = 0 THEN 0.0 ELSE nb / ng END) AS recall, count(*) AS n_states FROM s GROUP BY case_id")
+def score_sequential(t: Tables) -> DataFrame:
+    sel, gold = F.col("p_follow") >= 0.5, F.col("gold") == "follow"
+    states = predictions(t).groupBy("case_id", "src").agg(F.count_if(sel).alias("nf"), F.count_if(gold).alias("ng"), F.count_if(sel & gold).alias("nb"))
+    precision, recall = S.precision_recall(F.col("nb"), F.col("nf"), F.col("ng"), 0.0)
+    return states.groupBy("case_id").agg(F.avg(precision).alias("prec"), F.avg(recall).alias("recall"), F.count("*").alias("n_states"))
+
+
+@query("attach_protocol", """SELECT o_orderkey, o_orderstatus = 'F' AND o_totalprice > 100000 AS overall, 5 * least(1.0, o_totalprice / 300000) AS groundedness FROM orders""")
+def attach_protocol(t: Tables) -> DataFrame:
+    task, protocol = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000
+    return t.orders.select("o_orderkey", (task & protocol).alias("overall"), (5 * F.least(F.lit(1.0), F.col("o_totalprice") / 300000)).alias("groundedness"))
+
+
+@query("normalize_judgements", """SELECT event_id, least(5.0, greatest(0.0, value / 10)) AS score, least(5.0, greatest(0.0, value / 10)) >= 3 AS passed FROM events""")
+def normalize_judgements(t: Tables) -> DataFrame:
+    score = F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(F.col("value") / 10, F.lit(0.0))))
+    return t.events.select("event_id", score.alias("score"), (score >= 3).alias("passed"))
+
+
+@query("repair_guard", """SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderkey % 2 = 0 AS accepted FROM orders""")
+def repair_guard(t: Tables) -> DataFrame:
+    answer = lambda decision, errors: F.struct(decision.alias("decision"), errors.alias("errors"))
+    original = answer(F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("selected"))).otherwise(F.array(F.lit("selected"), F.lit("probability"))))
+    repaired = answer(F.when(F.col("o_orderstatus") == "P", "X").otherwise(F.col("o_orderstatus")), F.array().cast("array<string>"))
+    same = F.to_json(F.struct(original["decision"].alias("d"))) == F.to_json(F.struct(repaired["decision"].alias("d")))
+    only = original["errors"] == F.array(F.lit("selected"))
+    return t.orders.select("o_orderkey", (same & only).alias("accepted"))
+
+
+@query("run_experiment")
+def run_experiment(t: Tables) -> DataFrame:
+    """Policies over all cases: predictions by mode, scored and summed up."""
+    edges = t.dense.select("case_id", "src", "dst", "edge_id", "ts", "block_number", "token_address", "asset", "edge_type", "amount")
+    active = active_sources(t)
+    gold = F.when(F.col("asset") == "A", "follow").otherwise("ignore")
+    out = None
+    for mode in ("fifo", "lifo", "tiho"):
+        rows = policies.binary_actions(policies.taint(edges, active, mode)).where("active").withColumn("gold", gold)
+        per = S.macro_f1(rows, ["case_id"], "action", "gold").join(rows.groupBy("case_id").agg(F.avg(S.brier("gold")).alias("brier"), F.avg((F.col("action") == F.col("gold")).cast("double")).alias("accuracy")), "case_id").withColumn("mode", F.lit(mode))
+        out = per if out is None else out.unionByName(per)
+    return metric_means(out, ["mode"], ["macro_f1", "brier", "accuracy"])

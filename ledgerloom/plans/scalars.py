@@ -249,7 +249,7 @@ def usage(rows: DataFrame) -> DataFrame:
     """SELECT o_orderkey, o_orderkey % 5 <> 0 AS parsed, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE CAST(o_orderkey % 4 AS INTEGER) END AS major, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 2 = 0 THEN 0 ELSE CAST(o_orderkey % 13 AS INTEGER) END AS minor FROM orders""",
 )
 def version_parts(t: Tables) -> DataFrame:
-    v = F.expr("if(o_orderkey % 5 = 0, 'latest', concat('chain_qa.v', cast(o_orderkey % 4 as string), if(o_orderkey % 2 = 0, '', concat('_', cast(o_orderkey % 13 as string)))))")
+    v = F.expr("if(o_orderkey % 5 = 0, 'latest', concat('flows.v', cast(o_orderkey % 4 as string), if(o_orderkey % 2 = 0, '', concat('_', cast(o_orderkey % 13 as string)))))")
     return t.orders.select("o_orderkey", C.version_parts(v).alias("v")).select("o_orderkey", "v.parsed", "v.major", "v.minor")
 
 

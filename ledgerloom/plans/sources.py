@@ -131,7 +131,7 @@ def qa_partitions(t: Tables) -> DataFrame:
 
 @query("latest_version_scan", """SELECT o_custkey AS case_key, o_orderkey AS task FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 12 DESC) AS r FROM orders) x WHERE r = 1""")
 def latest_version_scan(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").alias("case_key"), F.col("o_orderkey").alias("task"), F.concat(F.lit("chain_qa.v"), (F.col("o_orderkey") % 12).cast("string")).alias("dataset_version"))
+    rows = t.orders.select(F.col("o_custkey").alias("case_key"), F.col("o_orderkey").alias("task"), F.concat(F.lit("flows.v"), (F.col("o_orderkey") % 12).cast("string")).alias("dataset_version"))
     return S.latest_version(rows, ["case_key"], "dataset_version").select("case_key", "task")
 
 

@@ -90,7 +90,7 @@ def top_n(t: Tables) -> DataFrame:
 def latest_version(t: Tables) -> DataFrame:
     from ..sources.files import latest_version as latest
 
-    rows = t.orders.select("o_custkey", (F.col("o_orderkey") % 12).alias("major"), F.concat(F.lit("chain_qa.v"), (F.col("o_orderkey") % 12).cast("string")).alias("v"))
+    rows = t.orders.select("o_custkey", (F.col("o_orderkey") % 12).alias("major"), F.concat(F.lit("flows.v"), (F.col("o_orderkey") % 12).cast("string")).alias("v"))
     return latest(rows, ["o_custkey"], "v").groupBy("o_custkey").agg(F.max("major").alias("major"), F.count("*").alias("n"))
 
 

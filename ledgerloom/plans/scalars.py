@@ -303,16 +303,16 @@ def compact_facts(t: Tables) -> DataFrame:
 
 @query(
     "case_name_match",
-    """WITH k AS (SELECT n_nationkey, list_distinct(list_filter(string_split(lower(n_name), ' '), lambda x: x NOT IN ('the', 'protocol', 'finance'))) AS words FROM nation)
- SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key FROM k a JOIN k b ON a.n_nationkey < b.n_nationkey AND (len(list_intersect(a.words, b.words)) >= 2 OR len(list_intersect(a.words, b.words)) = least(len(a.words), len(b.words)))""",
+    """WITH k AS (SELECT pos, list_distinct(list_filter(string_split(lower(finding), ' '), lambda x: x NOT IN ('the', 'protocol', 'finance', 'of'))) AS words FROM ev_sources)
+ SELECT a.pos AS left_key, b.pos AS right_key FROM k a JOIN k b ON a.pos < b.pos AND len(list_intersect(a.words, b.words)) >= 1 AND (len(list_intersect(a.words, b.words)) >= 2 OR len(list_intersect(a.words, b.words)) = least(len(a.words), len(b.words)))""",
 )
 def case_name_match(t: Tables) -> DataFrame:
-    names = t.nation.select("n_nationkey", name_words("n_name").alias("words"))
-    return name_matches(names, "n_nationkey").select("left_key", "right_key")
+    names = t.ev_sources.select("pos", name_words("finding").alias("words"))
+    return name_matches(names, "pos").select("left_key", "right_key")
 
 
 def name_words(c: str):
-    generic = F.array(*(F.lit(w) for w in ("the", "protocol", "finance")))
+    generic = F.array(*(F.lit(w) for w in ("the", "protocol", "finance", "of")))
     return F.array_except(F.array_distinct(F.split(F.lower(c), " ")), generic)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable copy in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a table in the shared folder. Dataset.checkpoint would compute the rows twice."""
+    return written(df, "checkpoint")
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
@@ -59,6 +59,8 @@ def append_columns(
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     arrow = _arrow_schema(fields)
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
@@ -69,11 +71,34 @@ def append_columns(
                 arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
                 arrays += [pa.array(v, type=arrow.field(i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, names=kept + new)
+                del made, arrays, part
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def _rows_in(batch: pa.RecordBatch, inputs: list[str], most: int = 8 << 20) -> int:
+#: Bytes of an Arrow batch; each task holds a few batches at a time, on both sides of the pipe.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, as rows may be long; a smaller bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _rows_in(batch: pa.RecordBatch, inputs: list[str], most: int = 4 << 20) -> int:
     """Rows that hold about ``most`` bytes of input."""
     size = sum(batch.column(batch.schema.get_field_index(c)).nbytes for c in inputs)
     return max(1, min(batch.num_rows or 1, int(batch.num_rows * most / max(size, 1))))

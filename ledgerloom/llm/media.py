@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import as_texts, checkpoint, fresh_path
+from .common import as_texts, checkpoint, fresh_path, small_batches
 
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
@@ -107,6 +107,8 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Writes archives below ``folder``; returns the table of archives: path, n_members, n_bytes."""
     folder = folder.replace("file:///", "/") if folder.startswith("file:///") else folder.replace("file:/", "/") if folder.startswith("file:/") else folder
 
+    small_batches(docs.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
@@ -249,6 +251,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
 
 def features(media: DataFrame) -> DataFrame:
     """Per member: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    small_batches(media.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

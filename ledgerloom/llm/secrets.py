@@ -187,7 +187,7 @@ class SegmentIndex:
 
     def __init__(self, asked: list[bytes]):
         self.asked = asked
-        self.slot = np.zeros(1 << 24, np.uint16)
+        self.slot = np.zeros(1 << 24, np.uint8 if len(asked) < 256 else np.uint16)
         for i, t in enumerate(asked):
             self.slot[int.from_bytes(t, "big")] = i + 1
 
@@ -227,7 +227,7 @@ def candidates(q, postings: dict[bytes, np.ndarray], n: int) -> np.ndarray:
 
 
 class Scanner:
-    def __init__(self, rules: tuple[Rule, ...] = RULES, segment_bytes: int = 4 << 20):
+    def __init__(self, rules: tuple[Rule, ...] = RULES, segment_bytes: int = 2 << 20):
         self.rules, self.segment_bytes = rules, segment_bytes
         self.compiled = [re.compile(r.pattern, r.flags) for r in rules]
         self.queries = [trigram_query(r.pattern, r.flags) for r in rules]

@@ -120,7 +120,6 @@ def brute_components(texts):
 def test_near_duplicates_groups(spark, monkeypatch, longest_list):
     """A large group of copies, chains of copies, and a passage that many texts share; also with nearly all lists long."""
     monkeypatch.setattr(neardup, "LIST", longest_list)
-    monkeypatch.setattr(neardup, "REST", 0.05)
     rng = random.Random(5)
     word = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
     texts = copies(rng, word(120), 70, 3) + copies(rng, word(15), 40, 1)

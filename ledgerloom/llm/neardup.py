@@ -9,19 +9,17 @@ Classes. Documents with equal sets are one class from the start, so exact copies
 Lists. Enumerating all pairs of a list grows with the square of its length, so links are found in steps:
 
 1. Each class is tried with the leader that it shares the most lists with. Confirmed links give components.
-2. In lists of at most ``LIST`` members, all pairs that are not yet in one component are tried, where the
-   value can be the first that both sketches share (``AHEAD`` values at most stand before it in either).
+2. In lists of at most ``LIST`` members, all pairs that are not yet in one component are tried.
 3. Longer lists come from passages that many documents share, or from large groups of copies. A linked
-   pair shares most of its retained values, so it meets in a shorter list unless nearly all values of
-   both are in long ones. Documents with more than ``HOT_SHARE`` of their values in long lists are
-   compared by their full sets: each document lists its rarest shingles, as many as it can lack in common
+   pair meets in a shorter list if either end has more values in shorter lists than the pair can lack in
+   common (``least_short``). Documents with fewer are compared by their full sets, among each other: each document lists its rarest shingles, as many as it can lack in common
    with a linked one, and one more. Linked documents share a listed shingle, whatever their hashes. These
    lists are tried with one leader each, which unites most of a group of copies; pairs that are still in
    different components, whose places let them share enough and whose sketches are near, are tried in full.
    Nothing is capped.
 
-The chance that a linked pair is met by no list is that of sharing none of about seven retained values,
-0.15 ** 7 at a similarity of 0.85.
+The chance that a linked pair is met by no list is below ``MISSED``, whatever its shared values are: step 2
+misses a pair only if all values of its ends that are in shorter lists are own ones, and step 3 misses none.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
 keys are one document: links of either count. A row with a null key is linked with nothing and kept.
@@ -29,6 +27,8 @@ keys are one document: links of either count. A row with a null key is linked wi
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -44,8 +44,7 @@ SKETCH = 32  #: values kept for estimates
 LISTED = 24  #: the smallest of them, which get inverted lists
 WIDE = 128  #: values kept for estimates between documents whose lists are nearly all long
 LIST = 16
-AHEAD = 12
-HOT_SHARE = 0.7
+MISSED = 2e-6
 #: An estimate of the similarity below this, at 32 values, is more than five deviations under 0.85.
 LEAST_ESTIMATE = 17 / 32
 
@@ -149,6 +148,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
     return _linked(pairs, written(_sets(docs, wanted, size), "sets"), percent)
 
 
+def least_short(percent: int) -> int:
+    """The least number, out of ``LISTED`` values, that a linked pair lacks in common with a chance below ``MISSED``."""
+    p, tail = 1 - percent / 100, 0.0
+    for m in range(LISTED, 0, -1):
+        tail += comb(LISTED, m) * p**m * (1 - p) ** (LISTED - m)
+        if tail >= MISSED:
+            return min(m + 1, LISTED)
+    return 1
+
+
 def _sized(percent: int, a: str = "na", b: str = "nb"):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -184,12 +193,11 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
 
     # 2. Shorter lists in full, between components.
     lists = written(_with_roots(lists.drop("leader"), links), "lists")
-    first = F.col("pa") + F.col("pb") <= AHEAD
-    links = checkpoint(links.unionByName(confirm(_across(lists.where(F.col("length") <= LIST), percent, first))))
+    links = checkpoint(links.unionByName(confirm(_across(lists.where(F.col("length") <= LIST), percent))))
 
-    # 3. Documents whose lists are nearly all long, by their rarest shingles.
+    # 3. Documents with too many long lists, by their rarest shingles.
     share = lists.groupBy("class").agg(F.count_if(F.col("length") > LIST).alias("long"), F.max("n").alias("n"), F.min("root").alias("root"))
-    hot = share.where(F.col("long") > HOT_SHARE * F.least("n", F.lit(LISTED))).select("class", "root")
+    hot = share.where(F.col("long") * LISTED > (LISTED - least_short(percent)) * F.least("n", F.lit(LISTED))).select("class", "root")
     sets = written(_sets(docs, classes.join(hot, "class", "left_semi").select("class", "doc_id"), size), "sets")
     rare = checkpoint(_rarest(sets, percent).join(hot, "class"))
     if rare.isEmpty():
@@ -203,7 +211,7 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     star = rare.join(drawn, "value").where("root != l.root").select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.pos").alias("pa"), F.col("pos").alias("pb"))
     links = tried(_likely(star.where(_sized(percent)).where(_reaches(percent)).select("a", "b").distinct(), classes, percent))
     rare = checkpoint(_with_roots(rare, links))
-    return tried(_across(rare, percent, _reaches(percent) & _first_common() & _sketches_near(percent), ("sketch", "before")))
+    return tried(_across(rare, percent, ("sketch", "before"), _reaches(percent) & _first_common() & _sketches_near(percent)))
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -242,11 +250,12 @@ def _sketches_near(percent: int):
     return F.size(F.array_intersect("sketch_a", "sketch_b")) >= k * p - slack
 
 
-def _across(lists: DataFrame, percent: int, fits, more: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs of a list that are in different components, near enough in size, and fit by their places."""
+def _across(lists: DataFrame, percent: int, more: tuple[str, ...] = (), fits=None) -> DataFrame:
+    """All pairs of a list that are in different components, near enough in size, and fit."""
     side = lambda c: lists.select("value", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("root").alias(f"r{c}"), *(F.col(m).alias(f"{m}_{c}") for m in more))
     left, right = side("a"), side("b")
-    return left.join(right, "value").where("a < b and ra != rb").where(_sized(percent)).where(fits).select("a", "b")
+    both = left.join(right, "value").where("a < b and ra != rb").where(_sized(percent))
+    return (both if fits is None else both.where(fits)).select("a", "b")
 
 
 def without_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

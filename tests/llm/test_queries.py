@@ -136,6 +136,28 @@ def test_near_duplicates_groups(spark, monkeypatch, longest_list):
     assert [r.component_id for r in got] == brute_components(texts)
 
 
+@pytest.mark.parametrize("passage", [0.55, 0.62])
+def test_near_duplicates_shared_passage(spark, passage):
+    """Pairs of near copies of which a part is a passage that all texts share, so that many of a pair's common values are in long lists."""
+    rng = random.Random(11)
+    word = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    shared = word(round(passage * 200))
+    texts = []
+    for _ in range(250):
+        own = word(200 - len(shared))
+        copy = list(own)
+        tail = rng.randint(12, 14)
+        copy[-tail:] = word(tail)
+        texts += [" ".join(shared + own), " ".join(shared + copy)]
+    sets = [brute_set(t) for t in texts]
+    links = [i for i in range(0, len(texts), 2) if 100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1])]
+    assert len(links) > 200
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == brute_components(texts)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(None, 3), (7, 7)]

@@ -44,15 +44,19 @@ BASE = (
     # The runs of 24 and more are those of [0-9a-f]+ that are long enough.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, 0, True),
 )
+#: What may stand between the lines of a key: also escaped line ends, quotes and marks of quoted lines.
+_GAP = r"""(?:\s|\\[nrt]|["'>#|,])*+"""
+#: A key's body: all up to its footer or else, after header fields, its base64 lines; only the last one may be short.
+_BODY = rf"""(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----|(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})+(?:{_GAP}[A-Za-z0-9+/]++(?:=|(?=\s*(?:[\r\n]|\Z)|\\[nr]|["']))=?)?)?"""
 MORE = (
     Rule("hex_upper", r"[0-9A-F]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----" + _BODY),
     Rule("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"(?<![A-Za-z0-9_])[rs]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("url_login", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{0,20}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_login", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{0,20}://[^/\s:@]++:[^/\s:@]++@"),
     Rule("npm", r"(?<![A-Za-z0-9_])npm_[A-Za-z0-9]{36}"),
     Rule("bearer", r"(?:Bearer|bearer) [A-Za-z0-9_.~+/-]{20,}=*"),
 )

@@ -78,6 +78,27 @@ def test_secrets(odd, none, spark):
     assert spans == "assign:2:37,hex:11:37"
 
 
+def test_secrets_whole_keys(spark):
+    """A key goes with its header, with or without a footer; names and passwords of any length go too."""
+    lines = ["MIIEowIBAAKCAQEA" + c * 48 for c in "abcd"] + ["Zm9vYmFy"]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        "\n".join(["before", head, *lines, foot, "after"]),
+        "\n".join(["before", head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, foot, "after"]),
+        'before "' + "\\n".join([head, *lines, foot]) + '" after',
+        "\n".join(["before", head, *lines, "", "some words after"]),
+        "\n".join(["before", head, "Proc-Type: 4,ENCRYPTED", "", *lines]),
+        "before " + " ".join([head, *lines[:4], "Zm9vYg=="]) + " after",
+        f"before {head} is how such a file begins, after",
+        "before https://" + "n" * 90 + ":" + "p" * 90 + "@host after",
+    ]
+    out = [r.text for r in secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text in out:
+        assert "MIIE" not in text and "Zm9v" not in text and "pppp" not in text and text.count("[SECRET]") == 1, text
+    assert out[0] == "before\n[SECRET]\nafter" and out[2] == 'before "[SECRET]" after' and out[3] == "before\n[SECRET]\n\nsome words after"
+    assert out[5] == "before [SECRET] after" and out[6] == "before [SECRET] is how such a file begins, after"
+
+
 def test_near_duplicates_odd(odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

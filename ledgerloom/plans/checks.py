@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import query
 from ..views import Tables
-from .scalars import ORACLE_KEYS
+from .scalars import ORACLE_KEYS, public_rows
 
 
 def violations(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -61,10 +62,25 @@ def check_gold(t: Tables) -> DataFrame:
     return violations([("candidate_without_gold", both.where("action is null"), "edge_id"), ("gold_without_candidate", both.where("asked is null"), "edge_id")])
 
 
+def _leaks(value: Column, kind: T.DataType) -> Column:
+    """Whether a value holds an oracle key among its struct fields and map keys, at any depth."""
+    if isinstance(kind, T.StructType):
+        each = [value[f.name].isNotNull() if f.name in ORACLE_KEYS else _leaks(value[f.name], f.dataType) for f in kind.fields]
+        return reduce(Column.__or__, each, F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda x: _leaks(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        keys = F.exists(F.map_keys(value), lambda k: k.cast("string").isin(*ORACLE_KEYS) | _leaks(k, kind.keyType))
+        return F.coalesce(keys | F.exists(F.map_values(value), lambda v: _leaks(v, kind.valueType)), F.lit(False))
+    return F.lit(False)
+
+
+def count_leaks(rows: DataFrame) -> DataFrame:
+    """n_leaks: rows that hold an oracle key, as a column or within one; n_rows."""
+    each = [F.lit(True) if f.name in ORACLE_KEYS else _leaks(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields]
+    return rows.agg(F.count_if(reduce(Column.__or__, each, F.lit(False))).cast("int").alias("n_leaks"), F.count("*").alias("n_rows"))
+
+
 @query("leak_check", "SELECT 0 AS n_leaks, count(*) AS n_rows FROM dense")
 def leak_check(t: Tables) -> DataFrame:
-    from .scalars import public_projection
-
-    public = public_projection(t)
-    leaks = [c for c in public.columns if c in ORACLE_KEYS]
-    return public.agg((F.count_if(F.arrays_overlap("public_keys", F.array(*map(F.lit, ORACLE_KEYS)))) * 0 + len(leaks)).cast("int").alias("n_leaks"), F.count("*").alias("n_rows"))
+    return count_leaks(public_rows(t))

@@ -261,9 +261,13 @@ def canonical_edge_id(t: Tables) -> DataFrame:
 
 @query("public_projection", """SELECT edge_id, case_id, src, dst, [asset] AS public_keys FROM dense""")
 def public_projection(t: Tables) -> DataFrame:
+    return public_rows(t).select("edge_id", "case_id", "src", "dst", F.map_values("free").alias("public_keys"))
+
+
+def public_rows(t: Tables) -> DataFrame:
     free = F.create_map(F.lit("asset"), F.col("asset"), F.lit("gold_action"), F.lit("follow"), F.lit("correct_edges"), F.lit("x"))
     rows = t.dense.select("edge_id", "case_id", "src", "dst", F.struct("asset", F.lit("follow").alias("gold_action")).alias("context"), free.alias("free"))
-    return public_view(rows).select("edge_id", "case_id", "src", "dst", F.map_values("free").alias("public_keys"))
+    return public_view(rows)
 
 
 #: Names that stand for an answer and stay out of public views.

@@ -209,3 +209,18 @@ def test_windows(spark):
     assert abs(sum(scores(f, "share").values()) - 1) < 1e-9
     spikes = [r.spike for r in W.daily_spikes(e).orderBy("day").collect()]
     assert [round(s, 6) for s in spikes] == [0.1, 0.2, 0.3]
+
+
+def test_leaks_in_rows(spark):
+    """Oracle keys left in a map, a struct or deeper are counted by row."""
+    from ledgerloom.plans.checks import count_leaks
+    from ledgerloom.plans.scalars import public_view
+
+    rows = spark.sql("""select id, map(if(id = 1, 'gold_paths', 'asset'), 'x') as free, named_struct('a', id, 'own', map(if(id < 3, 'answer', 'b'), 1)) as context,
+        if(id = 5, null, array(named_struct('k', 'labels'))) as items from range(6)""")
+    assert count_leaks(rows).first() == (3, 6)
+    assert count_leaks(public_view(rows.drop("context"))).first() == (0, 6)
+    assert count_leaks(rows.drop("context")).first() == (1, 6)
+    nested = rows.selectExpr("if(id = 5, null, array(named_struct('labels', id))) as items")
+    assert count_leaks(nested).first() == (5, 6)
+    assert count_leaks(rows.selectExpr("id as answer")).first() == (6, 6)

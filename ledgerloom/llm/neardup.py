@@ -18,8 +18,9 @@ Lists. Enumerating all pairs of a list grows with the square of its length, so l
    different components, whose places let them share enough and whose sketches are near, are tried in full.
    Nothing is capped.
 
-The chance that a linked pair is met by no list is below ``MISSED``, whatever its shared values are: step 2
-misses a pair only if all values of its ends that are in shorter lists are own ones, and step 3 misses none.
+The chance that a linked pair is met by no list is about ``MISSED`` at most, by a binomial tail: step 2 misses a
+pair only if all its values in shorter lists are own ones, and the lists of step 3 meet all pairs. The sketches
+that filter the pairs met, in all steps, allow five deviations.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
 keys are one document: links of either count. A row with a null key is linked with nothing and kept.

@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    set_to = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not set_to:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(set_to)
+        context.setCheckpointDir(set_to)
     return set_to
 
 
@@ -40,7 +43,51 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._written_to = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key that holds more than one in so many rows is dealt over several tasks.
+PARTS = 1000
+#: Keys of fewer rows are never split.
+FEW = 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` for keys that may hold any part of the rows of ``left``.
+
+    ``counts`` has each key of ``left`` and its number of rows ``n``; it is made here if not given. A key with more than
+    one in ``PARTS`` rows is dealt by a hash of the column ``spread`` over as many tasks as its rows ask for, and its
+    rows of ``right`` are repeated for each. There are fewer than ``PARTS`` such keys, which bounds what is broadcast,
+    and fewer than ``2 * PARTS`` repeats.
+    """
+    counts = checkpoint(left.groupBy(key).agg(F.count("*").alias("n"))) if counts is None else counts
+    row = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    if not row["most"] or row["most"] < FEW or row["most"] * PARTS <= row["total"]:
+        return left.join(right, key, how)
+    hot = counts.where((F.col("n") * PARTS > row["total"]) & (F.col("n") >= FEW)).select(key, F.ceil(F.col("n") * PARTS / row["total"]).cast("int").alias("__parts"))
+    hot = F.broadcast(checkpoint(hot))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
+    repeated = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
 def append_columns(

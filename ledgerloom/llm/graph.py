@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, discard, salted_join
 
+#: Links that one task may hold. Only larger tables have their keys counted, so that nodes with many links are split.
+ONE_TASK = 1_000_000
 
-def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+
+def connected_components(links: DataFrame) -> DataFrame:
     """Per node of ``links`` (a, b): node and root, the smallest node that it reaches.
 
     Each step replaces the edges of a node by edges to its smallest neighbour, so the edges turn into
-    stars in a number of rounds logarithmic in the longest path. A node with many edges is met by
-    grouped minima and joins, never gathered. Nulls and self links are dropped.
+    stars in a number of rounds logarithmic in the longest path; rounds go on until nothing changes. A node with
+    many edges is met by grouped minima and by joins that deal its edges over several tasks, never gathered. Nulls
+    and self links are dropped.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct()
     edges, seen = _mark(edges)
-    for _ in range(most_rounds):
+    while True:
+        before, split = edges, seen[0] > ONE_TASK
+        made = []
+
+        def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+            """Edges of u with the smallest neighbour of u."""
+            if not split:
+                return rows.join(least.select("u", "m"), "u")
+            made.append(checkpoint(least))
+            return salted_join(rows, made[-1].select("u", "m"), "u", "v", made[-1].select("u", "n"))
+
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, now = _mark(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Now edges go from a node to smaller ones; each of those is tied to the smallest.
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tied = with_least(large, down).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, now = _mark(tied.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, *made)
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
 def _mark(edges: DataFrame) -> tuple[DataFrame, tuple]:

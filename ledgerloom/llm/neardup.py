@@ -12,15 +12,19 @@ Lists. Enumerating all pairs of a list grows with the square of its length, so l
 2. In lists of at most ``LIST`` members, all pairs that are not yet in one component are tried.
 3. Longer lists come from passages that many documents share, or from large groups of copies. A linked
    pair meets in a shorter list if either end has more values in shorter lists than the pair can lack in
-   common (``least_short``). Documents with fewer are compared by their full sets, among each other: each document lists its rarest shingles, as many as it can lack in common
-   with a linked one, and one more. Linked documents share a listed shingle, whatever their hashes. These
-   lists are tried with one leader each, which unites most of a group of copies; pairs that are still in
-   different components, whose places let them share enough and whose sketches are near, are tried in full.
-   Nothing is capped.
+   common (``least_short``). Documents with fewer are compared by their full sets, among each other: each
+   document lists its rarest shingles, as many as it can lack in common with a linked one, and one more.
+   Linked documents share a listed shingle, whatever their hashes, at places that let them share enough.
+   These lists are worked off in rounds of leaders against members of other components (``_by_rounds``).
+   Nothing is capped. The first leader of a group of copies is the member with the fewest shingles of its
+   own, so a group with a centre is united in one round, linear in its rows. What stays quadratic is a list
+   with many members that the places let be linked, that pass the sketches, and that are not linked: each
+   such pair must be looked at by any exact method.
 
 The chance that a linked pair is met by no list is about ``MISSED`` at most, by a binomial tail: step 2 misses a
 pair only if all its values in shorter lists are own ones, and the lists of step 3 meet all pairs. The sketches
-that filter the pairs met, in all steps, allow five deviations.
+that filter the pairs met, in all steps, allow five deviations. Sets are 63-bit hashes of shingles; two shingles of
+one hash count as one.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
 keys are one document: links of either count. A row with a null key is linked with nothing and kept.
@@ -28,6 +32,7 @@ keys are one document: links of either count. A row with a null key is linked wi
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -36,16 +41,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_texts, checkpoint, small, written
+from .common import append_columns, as_texts, checkpoint, discard, salted_join, small, unused, written
 from .graph import connected_components
 
 WORDS = 5
 PERCENT = 85
 SKETCH = 32  #: values kept for estimates
 LISTED = 24  #: the smallest of them, which get inverted lists
-WIDE = 128  #: values kept for estimates between documents whose lists are nearly all long
 LIST = 16
 MISSED = 2e-6
+#: Comparisons left for each row of the long lists at which the last round takes all members as leaders.
+WORK = 8
 #: An estimate of the similarity below this, at 32 values, is more than five deviations under 0.85.
 LEAST_ESTIMATE = 17 / 32
 
@@ -107,12 +113,12 @@ def estimate(a: list[int], b: list[int], n_a: int, n_b: int, percent: int = PERC
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the union sketch leaves."""
+    """The pairs (a, b) that the union sketch leaves, with all their columns."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = salted_join(pairs, side("a"), "a", "b").join(side("b"), "b")
     fields = [T.StructField("likely", T.BooleanType())]
     make = lambda: lambda sa, sb, na, nb: [[estimate(*x, percent) for x in zip(sa, sb, na, nb)]]
-    return append_columns(both, ["sa", "sb", "na", "nb"], fields, make).where("likely").select("a", "b")
+    return append_columns(both, ["sa", "sb", "na", "nb"], fields, make).where("likely").select(*pairs.columns)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -131,8 +137,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs whose whole sets are similar enough, with all their columns."""
+    both = salted_join(pairs, sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a", "b")
+    both = both.join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
 
     def linked(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
@@ -140,13 +147,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return 100 * common >= percent * (len(x) + len(y) - common)
 
     make = lambda: lambda sa, sb: [[linked(a, b) for a, b in zip(sa, sb)]]
-    return append_columns(both, ["sa", "sb"], [T.StructField("linked", T.BooleanType())], make).where("linked").select("a", "b")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The linked ones of pairs, by sets made anew from the texts of their classes."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b"))).distinct().join(classes.select("class", "doc_id"), "class")
-    return _linked(pairs, written(_sets(docs, wanted, size), "sets"), percent)
+    return append_columns(both, ["sa", "sb"], [T.StructField("linked", T.BooleanType())], make).where("linked").select(*pairs.columns)
 
 
 def least_short(percent: int) -> int:
@@ -163,12 +164,10 @@ def _sized(percent: int, a: str = "na", b: str = "nb"):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _with_roots(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows with the component of their class, by all links so far."""
-    if links is None:
-        return rows.withColumn("root", F.col("class"))
-    roots = checkpoint(connected_components(links)).select(F.col("node").alias("class"), "root")
-    return rows.drop("root").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the component of their class."""
+    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    return rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
 def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -176,12 +175,16 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     docs = docs.where("doc_id is not null")
     named = found.where("class is not null and doc_id is not null")
     classes = checkpoint(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    lists = classes.select("class", "n", F.posexplode(F.slice("sketch", 1, LISTED)).alias("pos", "value"))
-    leaders = lists.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("class", "n")).alias("leader")).where("length > 1")
-    lists = written(lists.join(leaders, "value"), "lists")
+    places = classes.select("class", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+    leaders = checkpoint(places.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("class", "n")).alias("leader")).where("length > 1"))
+    lengths = leaders.select("value", F.col("length").alias("n"))
+    lists = written(salted_join(places, leaders, "value", "class", lengths), "lists")
+    discard(leaders)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return _verified(docs, checkpoint(_likely(pairs.distinct(), classes, percent)), classes, size, percent)
+        likely = checkpoint(_likely(checkpoint(pairs.distinct()), classes, percent))
+        wanted = likely.select(F.col("a").alias("class")).union(likely.select(F.col("b"))).distinct().join(classes.select("class", "doc_id"), "class")
+        return _linked(likely, written(_sets(docs, wanted, size), "sets"), percent)
 
     # Documents given more than once link the classes of their texts.
     twice = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("doc_id", "a")
@@ -193,39 +196,36 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     links = checkpoint(links.unionByName(confirm(most.select("a", "b"))))
 
     # 2. Shorter lists in full, between components.
-    lists = written(_with_roots(lists.drop("leader"), links), "lists")
-    links = checkpoint(links.unionByName(confirm(_across(lists.where(F.col("length") <= LIST), percent))))
+    short = checkpoint(_with_roots(lists.where(F.col("length") <= LIST).select("value", "class", "n"), links))
+    links = checkpoint(links.unionByName(confirm(_across(short, percent))))
 
     # 3. Documents with too many long lists, by their rarest shingles.
-    share = lists.groupBy("class").agg(F.count_if(F.col("length") > LIST).alias("long"), F.max("n").alias("n"), F.min("root").alias("root"))
-    hot = share.where(F.col("long") * LISTED > (LISTED - least_short(percent)) * F.least("n", F.lit(LISTED))).select("class", "root")
-    sets = written(_sets(docs, classes.join(hot, "class", "left_semi").select("class", "doc_id"), size), "sets")
-    rare = checkpoint(_rarest(sets, percent).join(hot, "class"))
-    if rare.isEmpty():
+    share = lists.groupBy("class").agg(F.count_if(F.col("length") > LIST).alias("long"), F.max("n").alias("n"))
+    hot = checkpoint(share.where(F.col("long") * LISTED > (LISTED - least_short(percent)) * F.least("n", F.lit(LISTED))).select("class"))
+    discard(lists, short)
+    if hot.isEmpty():
         return links
+    sets = written(_sets(docs, classes.join(hot, "class", "left_semi").select("class", "doc_id"), size), "sets")
+    rare = checkpoint(_with_roots(_rarest(sets, percent), links))
+    return checkpoint(links.unionByName(_by_rounds(rare, classes, sets, percent)))
 
-    def tried(pairs: DataFrame) -> DataFrame:
-        return checkpoint(links.unionByName(_linked(checkpoint(pairs.distinct()), sets, percent)))
 
-    # One leader a list unites most of a group of copies; components are still those of the first step here.
-    drawn = rare.groupBy("value").agg(F.min_by(F.struct("class", "n", "pos", "root"), F.xxhash64("class")).alias("l"))
-    star = rare.join(drawn, "value").where("root != l.root").select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.pos").alias("pa"), F.col("pos").alias("pb"))
-    links = tried(_likely(star.where(_sized(percent)).where(_reaches(percent)).select("a", "b").distinct(), classes, percent))
-    rare = checkpoint(_with_roots(rare, links))
-    return tried(_across(rare, percent, ("sketch", "before"), _reaches(percent) & _first_common() & _sketches_near(percent)))
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list that are in different components and near enough in size. Lists are short."""
+    side = lambda c: lists.select("value", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"))
+    return side("a").join(side("b"), "value").where("a < b and ra != rb").where(_sized(percent)).select("a", "b")
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """Each set's rarest shingles, as many as it can lack in common with a linked set and one more: value, class, n, pos, before (those ahead of it that others list too), sketch."""
+    """Each set's rarest shingles, as many as it can lack in common with a linked set and one more, without those that no other set has: value, class, n, pos."""
     fields = [T.StructField("values", T.ArrayType(T.LongType()))]
     values = append_columns(sets, ["set"], fields, lambda: lambda s: [[np.frombuffer(x, np.int64) for x in s]])
-    wide = values.select("class", F.slice("values", 1, WIDE).alias("sketch"))
     values = values.select("class", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
-    counted = values.join(values.groupBy("value").agg(F.count("*").alias("length")), "value")
+    lengths = checkpoint(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    counted = salted_join(values, lengths.select("value", F.col("n").alias("length")), "value", "class", lengths, how="left").withColumn("length", F.coalesce("length", F.lit(1)))
     order = Window.partitionBy("class").orderBy("length", "value")
     ranked = counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.where("length > 1").withColumn("before", F.collect_list("value").over(ahead)).select("value", "class", "n", "pos", "before").join(wide, "class")
+    return ranked.where("length > 1").select("value", "class", "n", "pos")
 
 
 def _reaches(percent: int):
@@ -234,29 +234,46 @@ def _reaches(percent: int):
     return most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
-def _first_common():
-    """Whether no value ahead of this one is common: a pair is met once."""
-    return ~F.arrays_overlap("before_a", "before_b")
+def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that tie all linked classes of the lists of ``rare`` (value, class, n, pos, root) together.
 
-
-def _sketches_near(percent: int):
-    """Whether wide sketches share as many values as a linked pair's do, but for five deviations; exact for whole sets.
-
-    Of the larger set's k smallest values a linked pair shares at least the part p, as the sets share p of the larger one.
+    A round tries each list's first members by place, those with the fewest shingles of their own, with all members that
+    are in other components and that the places leave in reach. Tried leaders leave the list, and so does a list of one
+    component. A round has twice as many leaders a list as the one before. Once what is left to compare is in proportion
+    to the lists, all members outside a list's largest component are leaders. Pairs are tried once.
     """
-    larger = F.greatest("na", "nb")
-    k = F.least(larger, F.lit(WIDE))
-    p = F.lit(percent / (100 + percent)) * (F.col("na") + F.col("nb")) / larger
-    slack = F.when(larger > WIDE, 5 * F.sqrt(k * p * F.greatest(F.lit(0.0), 1 - p))).otherwise(1e-6)
-    return F.size(F.array_intersect("sketch_a", "sketch_b")) >= k * p - slack
-
-
-def _across(lists: DataFrame, percent: int, more: tuple[str, ...] = (), fits=None) -> DataFrame:
-    """All pairs of a list that are in different components, near enough in size, and fit."""
-    side = lambda c: lists.select("value", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("root").alias(f"r{c}"), *(F.col(m).alias(f"{m}_{c}") for m in more))
-    left, right = side("a"), side("b")
-    both = left.join(right, "value").where("a < b and ra != rb").where(_sized(percent))
-    return (both if fits is None else both.where(fits)).select("a", "b")
+    links, tried, leaders = [], None, 1
+    while True:
+        parts = checkpoint(rare.groupBy("value", "root").agg(F.count("*").alias("k")))
+        open_lists = checkpoint(parts.groupBy("value").agg(F.sum("k").alias("n"), F.max("k").alias("largest"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+        size = open_lists.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - F.col("largest"))).alias("work")).first()
+        if not size["rows"]:
+            break
+        rare = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", open_lists.select("value", "n")))
+        last = size["work"] <= WORK * size["rows"]
+        order = Window.partitionBy("value").orderBy("pos", "class")
+        if last:
+            first = rare.where("root != main")
+        else:
+            first = rare.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
+        first = checkpoint(first.groupBy("value").agg(F.collect_list(F.struct("class", "n", "pos", "root")).alias("leaders")))
+        star = salted_join(rare, first, "value", "class", open_lists.select("value", "n")).withColumn("l", F.explode("leaders")).where("root != l.root")
+        if last:  # of two leaders, one is tried with the other
+            star = star.where("root = main or l.class < class")
+        star = star.select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.pos").alias("pa"), F.col("pos").alias("pb"))
+        pairs = star.where(_sized(percent)).where(_reaches(percent)).select("a", "b", "ra", "rb").distinct()
+        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = checkpoint(_linked(checkpoint(_likely(pairs, classes, percent)), sets, percent))
+        links.append(found.select("a", "b"))
+        if last:
+            break
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        joined = connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        led = first.select("value", F.explode("leaders.class").alias("class"))
+        left = rare.drop("main").join(led, ["value", "class"], "left_anti")
+        rare = checkpoint(salted_join(left, joined, "root", "class", how="left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+        leaders *= 2
+    return reduce(DataFrame.unionByName, links) if links else rare.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
 
 
 def without_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -265,13 +282,14 @@ def without_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     Of rows that repeat a key one stays; rows with a null key all stay.
     """
     found = near_duplicates(docs, size=size, percent=percent)
-    gone = small(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
+    key = unused(docs, "gone")
+    gone = small(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    twice = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)))
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(twice, F.col("doc_id") == F.col(key), "left_anti")
+    return once.unionByName(left.join(twice, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -279,9 +297,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = as_texts(docs, id_col, text_col)
     found = checkpoint(sketches(texts, size))
     links = near_duplicate_links(texts, found, size, percent)
-    roots = checkpoint(_with_roots(found.select("doc_id", "n_shingles", "class"), links))
-    least = roots.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = roots.join(least, "root", "left")
+    # Only classes of several rows or with links need a look-up; all others are their own component.
+    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    classes = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = checkpoint(classes.join(roots, "class", "left").where("n > 1 or root is not null"))
+    least = checkpoint(classes.where("root is not null").groupBy("root").agg(F.min("least").alias("all"), F.count("*").alias("n")))
+    named = salted_join(classes.drop("n"), least.drop("n"), "root", "class", least.select("root", "n"), how="left").select("class", F.coalesce("all", "least").alias("least"))
+    out = salted_join(found.drop("sketch"), named, "class", "doc_id", classes.select("class", "n"), how="left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

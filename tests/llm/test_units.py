@@ -94,6 +94,71 @@ def test_pseudonyms_keep_format_and_links():
     assert p.apply("999.1.1.1 2023-02-30 000-12-3456 4111")[1] == []
 
 
+def pseudonym(p, text):
+    out, found = p.apply(text)
+    assert len(found) == 1 and found[0][1:] == (0, len(text)), (text, found)
+    return out
+
+
+def test_dates_are_permuted_by_reading():
+    """All days of five years in both orders: different texts of a form stay different, and all are real, as wide, and invert."""
+    p, back = pii.Pseudonymizer(b"key"), pii.Pseudonymizer(b"key", back=True)
+    days = [datetime.date(2018, 1, 1) + datetime.timedelta(k) for k in range(5 * 365 + 1)]
+    for form in ("{0.day:02d}/{0.month:02d}/{0.year}", "{0.month:02d}/{0.day:02d}/{0.year}", "{0.day}.{0.month}.{0.year}", "{0.year}-{0.month:02d}-{0.day:02d}"):
+        texts = {form.format(d) for d in days}
+        made = {t: pseudonym(p, t) for t in texts}
+        assert len(set(made.values())) == len(texts)
+        for t, m in made.items():
+            assert re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", m) and back.apply(m)[0] == t
+        assert sum(t == m for t, m in made.items()) < 10
+    both = {t for d in days for t in (f"{d.day:02d}/{d.month:02d}/{d.year}", f"{d.month:02d}/{d.day:02d}/{d.year}")}
+    assert len({pseudonym(p, t) for t in both}) == len(both)
+    numbers = lambda t: sorted(map(int, re.findall("[0-9]+", t)))
+    for a, b in (("3/4/2020", "03/04/2020"), ("3/4/2020", "2020-04-03"), ("31/12/1999", "12/31/1999"), ("1999-12-31", "31.12.1999")):
+        assert numbers(pseudonym(p, a)) == numbers(pseudonym(p, b))
+    for t in ("1850-01-01", "9999-12-31", "0001-01-01", "1/1/2150"):
+        assert back.apply(pseudonym(p, t))[0] == t
+    assert p.apply("1.2.3 31/02/2020 13/13/2020 2020-00-10")[1] == []
+
+
+def test_numbers_link_in_all_forms():
+    p, back = pii.Pseudonymizer(b"key"), pii.Pseudonymizer(b"key", back=True)
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    for forms in (
+        ["+49 151 23456789", "+4915123456789", "+49-151-2345-6789", "+49 (151) 23456789", "+49(151)23456789"],
+        ["+1 212 555 7788", "+12125557788", "+1 (212) 555-7788", "+1.212.555.7788"],
+        ["3782 822463 10005", "378282246310005", "3782-822463-10005"],
+        ["+880 17 1234 5678", "+8801712345678"],
+    ):
+        made = [pseudonym(p, t) for t in forms]
+        assert len({digits(m) for m in made}) == 1 and digits(made[0]) != digits(forms[0])
+        for t, m in zip(forms, made):
+            assert re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", m) and back.apply(m)[0] == t
+        if forms[0][0] == "+":
+            assert digits(made[0]).startswith({"4": "49", "1": "1", "8": "880"}[forms[0][1]])
+    assert digits(pseudonym(p, "+49 (0)151 23456789")).replace("490", "49", 1) == digits(pseudonym(p, "+4915123456789"))
+    assert "1" + digits(pseudonym(p, "212-555-7788")) == digits(pseudonym(p, "+1 (212) 555-7788")) == "1" + digits(pseudonym(p, "(212) 555-7788"))
+    national = pseudonym(p, "0151 23456789")
+    assert national != "0151 23456789" and national[0] == "0" and back.apply(national)[0] == "0151 23456789"
+    image = {p.phone(f"1212555{n:04d}") for n in range(10_000)}
+    assert len(image) == 10_000 and all(d[0] == "1" and d[1] > "1" and d[4] > "1" for d in image)
+
+
+def test_mail_addresses_of_all_scripts():
+    p, back = pii.Pseudonymizer(b"key"), pii.Pseudonymizer(b"key", back=True)
+    forms = ["john@example.org", "John@example.org", "JOHN@EXAMPLE.ORG"]
+    made = [pseudonym(p, t) for t in forms]
+    assert len({m.lower() for m in made}) == 1 and [m.upper() == m for m in made] == [False, False, True] and "john" not in made[0] and "example" not in made[0]
+    texts = ["иван@пример.рф", "ИВАН@x.org", "李雷@例子.中国", "ßtraße.é@ex-ample.co.uk", "x" * 300 + "@y.de", "a_b+c@q1.net", "١٢٣@abc.com"]
+    for t in texts:
+        m = pseudonym(p, t)
+        assert m != t and len(m) == len(t) and back.apply(m)[0] == t
+    assert pseudonym(p, "anna@example.org").split("@")[1] == made[0].split("@")[1]
+    assert p.apply("+.-@_._")[1] == []
+    short = [f"{a}{b}@{c}.de" for a in "abcdefghij" for b in "aB1" for c in "xyz"]
+    assert len({pseudonym(p, t) for t in short}) == len(short)
+
+
 RULE_TEXTS = ["", "api_key = 'abc123'", "APIKEY:xxxxxx token=ab secret: /+=._-", "password" * 3 + '":"hunter2hunter2', "AKIA" + "Q" * 16, "AKIA12 " + "0f" * 13, "AKIA" * 6, "ghp_" + "a1" * 20, "-----BEGIN RSA PRIVATE KEY-----", "https://me:pw@host/x", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 9, "F0" * 14, "é token = éabcdefg", "sk_live_" + "A" * 20]
 
 

@@ -266,24 +266,35 @@ def test_licenses(odd, none, spark):
     assert all(stem.search(re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", s.pattern)) for s in licenses.signatures() if "spdx" not in s.pattern and "licen" not in s.pattern and "cc " not in s.pattern)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("far", [[], [(300, [1e16, 1.0]), (301, [2e15, 0.0]), (350, [1.0, 1.0])], [(300, [3e38] * 20), (301, [-3e38, 1.0])]])
+def test_top_k(spark, monkeypatch, far):
+    """Against brute force: odd rows, repeated ids, vectors of other lengths, and parts beyond 2^53 and 2^63."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 50)
     rng = random.Random(6)
     rows = [(i, [float(rng.gauss(0, 0.2)) for _ in range(16)]) for i in range(160)]
     rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 16), (1050, [float("inf")] * 16), (1100, []), (2000, [5.0, -5.0]), (None, [1.0] * 16)]
-    rows += [(7, rows[7][1]), (200, rows[3][1]), (201, rows[3][1])]
+    rows += [(7, rows[7][1]), (200, rows[3][1]), (201, rows[3][1]), (50, rows[9][1])] + far
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
     import math
+    from fractions import Fraction
 
     import numpy as np
 
-    good = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = lambda x: math.floor(256 * Fraction(float(np.float32(x))))
+    good = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted(good):
-        if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:5]
-            want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    assert got == want
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        scores = {}
+        for _, a in (r for r in good if r[0] == q):
+            for i, v in good:
+                if i != q:
+                    s = sum(x * y for x, y in zip(a, v))
+                    scores[i] = max(s, scores.get(i, s))
+        best = sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:5]
+        want += [(q, k + 1, i, s if -(2**63) <= s < 2**63 else None) for k, (i, s) in enumerate(best)]
+    for piece_bytes in (topk.PIECE_BYTES, 320):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, piece_bytes=piece_bytes).collect())
+        assert got == want
     assert topk.top_k(df.limit(0)).collect() == []
 
 

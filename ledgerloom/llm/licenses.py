@@ -4,7 +4,10 @@ A text becomes its words (ASCII letters and digits and all characters beyond ASC
 by single spaces. One regex over the plain text finds documents that hold any of the rules' stems; only those
 go on. A rule's keyword gates its regex. Matches are marked in the text, so that splitting it at spaces gives
 their first and last words. A detection is suppressed if another one contains it and has the higher priority,
-or the same and more words, or as many and an earlier rule.
+or the same and more words, or as many and an earlier rule. Texts of few detections compare them in place; for those of
+more than ``FEW_FOUND`` the same is done by a sweep, as running maxima over the detections in order.
+
+The rules are those of ``license_rules``, after the base ones.
 
 Null and empty texts have no words and no labels; first_word and last_word are null where nothing is found.
 Repeated rows give repeated results; columns other than key and text are not looked at.
@@ -13,11 +16,13 @@ Repeated rows give repeated results; columns other than key and text are not loo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_texts
+from . import license_rules
+from .common import as_texts, written
 
 
 @dataclass(frozen=True)
@@ -36,95 +41,23 @@ BASE = (
     Signature("reserved", "all rights reserved", "all rights reserved", 1, True),
 )
 
-#: label, name as a regex over words, a word that stands in the name, versions.
-FAMILIES = (
-    ("apache", "apache", "apache", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", "mit", ()),
-    ("bsd", "bsd(?: [0-4] clause)?", "bsd", ()),
-    ("mpl", "mozilla public", "mozilla", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse public", "eclipse", ("1 0", "2 0")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "general", ("2", "2 1", "3", "3 0")),
-    ("agpl", "(?:gnu )?affero general public", "affero", ("1", "3", "3 0")),
-    ("gpl", "gnu general public", "gnu", ("1", "2", "2 0", "3", "3 0")),
-    ("gfdl", "(?:gnu )?free documentation", "documentation", ("1 1", "1 2", "1 3")),
-    ("isc", "isc", "isc", ()),
-    ("zlib", "zlib", "zlib", ()),
-    ("artistic", "artistic", "artistic", ("1 0", "2 0")),
-    ("boost", "boost software", "boost", ("1 0",)),
-    ("eupl", "european union public", "european", ("1 1", "1 2")),
-    ("ofl", "(?:sil )?open font", "font", ("1 0", "1 1")),
-    ("postgresql", "postgresql", "postgresql", ()),
-    ("psf", "python software foundation", "python", ("2", "2 0")),
-    ("ruby", "ruby", "ruby", ()),
-    ("php", "php", "php", ("3 0", "3 01")),
-    ("openssl", "openssl", "openssl", ()),
-    ("x11", "x11", "x11", ()),
-    ("ms-pl", "microsoft public", "microsoft", ()),
-    ("ms-rl", "microsoft reciprocal", "reciprocal", ()),
-    ("cddl", "common development and distribution", "distribution", ("1 0", "1 1")),
-    ("cpl", "common public", "common", ("1 0",)),
-    ("ipl", "ibm public", "ibm", ("1 0",)),
-    ("apsl", "apple public source", "apple", ("1 0", "2 0")),
-    ("w3c", "w3c(?: software)?", "w3c", ()),
-    ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa", ()),
-    ("afl", "academic free", "academic", ("1 1", "2 0", "2 1", "3 0")),
-    ("osl", "open software", "open", ("1 0", "2 0", "3 0")),
-    ("odbl", "open database", "database", ("1 0",)),
-    ("odc-by", "open data commons attribution", "commons", ("1 0",)),
-    ("zpl", "zope public", "zope", ("2 0", "2 1")),
-    ("qpl", "q public", "public", ("1 0",)),
-    ("vim", "vim", "vim", ()),
-    ("sleepycat", "sleepycat", "sleepycat", ()),
-    ("curl", "curl", "curl", ()),
-    ("json", "json", "json", ()),
-    ("unicode", "unicode", "unicode", ()),
-    ("cc-by-sa", "creative commons attribution share ?alike", "alike", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", "alike", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc", "creative commons attribution non ?commercial", "attribution", ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "creative commons attribution no ?deriv(?:atives|s)?", "attribution", ("2 0", "3 0", "4 0")),
-    ("cc-by", "creative commons attribution", "attribution", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc0", "(?:creative commons )?cc0", "cc0", ("1 0",)),
-)
-
-_LICENSE = "(?: open source)? licen[sc]e"
 
 
 def signatures() -> tuple[Signature, ...]:
-    """All rules in order: those of the base, single ones, then several for each family."""
-    rules = [
-        *BASE,
-        Signature("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", 2),
-        Signature("public-domain", "(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", "public domain", 6),
-        Signature("public-domain", "this is free and unencumbered software", "unencumbered", 6),
-        Signature("warranty", "without warrant(?:y|ies) (?:or conditions )?of any kind", "warrant", 1),
-        Signature("warranty", "provided as is without", "as is", 1),
-        Signature("proprietary", "proprietary and confidential", "confidential", 4),
-        Signature("any-license", "licensed under (?:the )?terms", "licensed under", 1),
-        Signature("cc-by-sa", "cc by sa(?: [0-9] [0-9])?", "cc by", 5),
-        Signature("cc-by-nc-sa", "cc by nc sa(?: [0-9] [0-9])?", "cc by", 6),
-        Signature("cc-by-nc", "cc by nc(?: [0-9] [0-9])?", "cc by", 5),
-        Signature("cc-by-nd", "cc by nd(?: [0-9] [0-9])?", "cc by", 5),
-        Signature("cc-by", "cc by [0-9] [0-9]", "cc by", 4),
-    ]
-    for label, name, word, versions in FAMILIES:
-        tag = label.replace("-", " ")
-        rules += [
-            Signature(label, f"spdx license identifier {tag}(?: [0-9]+)*(?: only| or later)?", tag, 9),
-            Signature(label, f"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}{_LICENSE}?", word, 7),
-            Signature(label, f"{name}{_LICENSE}", word, 5),
-            Signature(label, f"terms of (?:the )?{name}{_LICENSE}", word, 6),
-        ]
-        for v in versions:
-            full = f"{label}-{v.replace(' ', '.')}"
-            rules += [
-                Signature(full, f"(?:(?:licensed|released|distributed|available) under (?:the )?)?{name}{_LICENSE}(?: version| v)? {v}", word, 8),
-                Signature(full, f"spdx license identifier {tag} {v}(?: only| or later)?", tag, 9),
-            ]
-    return tuple(rules)
-
-
-#: Any text that a rule matches holds one of these.
-STEMS = "licen[sc]|copyright|rights|public|warrant|provided|proprietary|unencumbered|creative|(?<![0-9a-z])cc(?![0-9a-z])"
+    """All rules in order."""
+    return (*BASE, *(Signature(label, pattern, keyword, priority) for priority, keyword, label, pattern in license_rules.rows()))
+
+
+_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Any text that a rule matches holds one of these, in any case.
+STEMS = (
+    "licen[sc]|copyright|reserved|warrant|unencumbered|proprietary|shareware|freeware|redistribution|creative|apache|bsd|gpl|zlib|wtfpl|beerware|cecill|openrail"
+    "|hereby|permission"
+    f"|public{_GAP}domain|provided{_GAP}as{_GAP}is|as{_GAP}is{_GAP}basis|evaluation{_GAP}purposes|commercial{_GAP}use|research{_GAP}(?:purposes|use)|commons{_GAP}clause|data{_GAP}commons|open{_GAP}rail"
+    "|(?<![0-9a-z])(?:cc|cc0|mit|isc|psf|asl|mpl|perl)(?![0-9a-z])"
+)
+#: Beyond so many detections in a text, suppression is worked out by a sweep.
+FEW_FOUND = 200
 
 #: Runs of characters that part words; with A-Z as letters, as in texts whose case is still as given.
 _PARTS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -163,21 +96,29 @@ def scan_licenses(docs: DataFrame, rules: tuple[Signature, ...] | None = None, i
         )
 
     hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("joined"), r["keyword"])), detect))
-    found = out.select("doc_id", "n_words", F.when(F.col("joined").isNotNull(), hits).alias("found"))
+    found = written(out.select("doc_id", "n_words", F.when(F.col("joined").isNotNull(), hits).alias("found")), "detections")
 
     def beats(e: Column, d: Column) -> Column:
         longer, as_long = (e["last"] - e["first"]) > (d["last"] - d["first"]), (e["last"] - e["first"]) == (d["last"] - d["first"])
         return (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (as_long & (e["rank"] < d["rank"]))))
 
     stands = lambda d: ~F.exists("found", lambda e: (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & beats(e, d))
-    plain = lambda ds: F.coalesce(F.transform(ds, lambda d: F.struct(d["label"].alias("label"), d["first"].alias("first"), d["last"].alias("last"), d["priority"].alias("priority"))), F.array())
-    empty = F.lit(None).cast("array<struct<label:string,first:bigint,last:bigint,priority:int>>")
-    return found.select(
-        "doc_id",
-        "n_words",
-        F.when(F.col("found").isNotNull(), plain(F.filter("found", lambda d: d["base"]))).otherwise(empty).alias("base"),
-        F.when(F.col("found").isNotNull(), plain(F.filter("found", stands))).otherwise(empty).alias("kept"),
-    )
+    plain = lambda ds: F.transform(ds, lambda d: F.struct(d["label"].alias("label"), d["first"].alias("first"), d["last"].alias("last"), d["priority"].alias("priority")))
+    few = found.where(F.coalesce(F.size("found"), F.lit(0)) <= FEW_FOUND)
+    few = few.select("doc_id", "n_words", plain(F.filter("found", lambda d: d["base"])).alias("base"), plain(F.filter("found", stands)).alias("kept"))
+    many = found.where(F.size("found") > FEW_FOUND)
+    if many.isEmpty():
+        return few
+    # The table is written, so a row's number is the same whenever it is read.
+    numbered = many.withColumn("row", F.monotonically_increasing_id())
+    swept = numbered.select("row", "doc_id", "n_words", F.explode("found").alias("d")).select("row", "doc_id", "n_words", "d.*")
+    before = Window.partitionBy("row").orderBy("first", F.desc("last"), F.desc("priority"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    # Those before a detection begin no later, so one reaches as far if the farthest end of its priority and above does.
+    ends = reduce(lambda c, p: F.when(F.col("priority") == p, F.max(F.when(F.col("priority") >= p, F.col("last"))).over(before)).otherwise(c), sorted({r.priority for r in rules}), F.lit(None).cast("long"))
+    swept = swept.withColumn("stands", ~F.coalesce(ends >= F.col("last"), F.lit(False)))
+    detection = F.struct("label", "first", "last", "priority")
+    many = swept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.when(F.col("base"), detection)).alias("base"), F.collect_list(F.when(F.col("stands"), detection)).alias("kept"))
+    return few.unionByName(many.drop("row"))
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

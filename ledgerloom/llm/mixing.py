@@ -4,24 +4,27 @@
    ``max_labelled`` labelled rows, taken in the order of a hash of their keys (a parameter). Its tables have
    a fixed number of buckets. Posteriors are softened to the weight of ``strength`` words, so that long
    texts keep a share of doubt.
-2. Each document gets a rate, at least ``least_rate``, such that expected tokens by domain (rate x tokens x
+2. Each document gets a rate, from ``least_rate`` to ``most_rate``, such that expected tokens by domain (rate x tokens x
    posterior) meet the targets: least squares by projected gradient. All rates are updated in place, each from
    its own posteriors and the residuals; an iteration moves only the sums by domain. The squares are weighted
-   by the inverse Gram matrix of the domains, for which a step of 1 is right.
+   by the inverse Gram matrix of the domains, for which a step of 1 is right. The sums that are reached are part of the
+   result; targets that cannot be met raise an error where ``strict`` is set.
 3. ``copies`` turns a rate into whole copies: its whole part, and one more where a hash of the key falls
    below the rest.
 
-Documents without words have no tokens; their rate stays 1, or ``least_rate`` if that is more. Rows with a null text count as empty. Labels with nulls
-are not used. Without labels all posteriors are equal.
+Documents without words have no tokens; their rate stays 1, or the nearest that is allowed. Rows with a null text count
+as empty. Labels with nulls are not used. Without labels all posteriors are equal.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small
+from .common import checkpoint, discard, small, unused
 
 DOMAINS = ("good", "poor", "toxic")
 BUCKETS = 1024
@@ -80,11 +83,30 @@ def posteriors(docs: DataFrame, log_prior: list[float], log_like: list[list[floa
     return out.select(*keep, "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, total: float | None = None, most_steps: int = 40, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
-    """The rate of a row as an expression over n_tokens and p, and the sums by domain that it reaches, as shares of all tokens.
+@dataclass
+class Mix:
+    rates: DataFrame  #: the rows given, with ``rate``
+    reached: list[float]  #: sums by domain, as shares of all tokens there are
+    target: list[float]
+
+    @property
+    def residual(self) -> float:
+        return max((abs(r - t) for r, t in zip(self.reached, self.target)), default=0.0)
+
+
+#: Steps that are worked out anew from the last table before rates are written again.
+FOLDED = 6
+#: A total that cannot be met is lowered by this, so many times at most.
+LOWER, LOWERED = 0.98, 200
+
+
+def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, most_rate: float | None = None, total: float | None = None, only_first_rises: bool = False, most_steps: int = 40, tolerance: float = 1e-6) -> Mix:
+    """Rates for rows of n_tokens and p.
 
     ``total`` is the number of tokens aimed at, in times of those there are. None takes the least total of 1 or more
-    for which ``weights`` can be met while every document keeps ``least_rate``.
+    for which ``weights`` can be met while every document keeps ``least_rate``; where ``most_rate`` is given, about the
+    greatest total that can be met. With ``only_first_rises``, a domain but the first whose share is below its weight
+    keeps its share, and the first takes up the rest.
     """
     k = len(weights)
     weights = [w / sum(weights) for w in weights]
@@ -94,42 +116,51 @@ def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, to
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = soft.agg(*(F.sum(a[i]).alias(f"s{i}") for i in range(k)), *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
     there = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+    square = lambda row: np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    gram = square(row)
+    top = float("inf") if most_rate is None else float(most_rate)
+    start = min(top, max(1.0, least_rate))
+    rated = soft.withColumn("rate", F.lit(start))
     if not gram.trace():
-        return F.lit(max(1.0, least_rate)), there.tolist()
+        return Mix(rated, (there * start).tolist(), (np.array(weights) * (total or 1.0)).tolist())
+    if only_first_rises:
+        rest = [min(w, float(t)) for w, t in zip(weights[1:], there[1:] / there.sum())]
+        weights = [1 - sum(rest), *rest]
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-12 * gram.trace())
-    if total is None:
-        total = max([1.0, *(least_rate * t / w for t, w in zip(there, weights) if w > 0)])
-    target = np.array(weights) * total
-    steps: list[list[float]] = []
-    start = max(1.0, least_rate)
-
-    def rate() -> Column:
-        if not steps:
-            return F.lit(start)
-        table = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
-        moved = lambda r, g: r - sum((g[i] * a[i] for i in range(1, k)), g[0] * a[0])
-        return F.aggregate(table, F.lit(start), lambda r, g: F.greatest(F.lit(float(least_rate)), moved(r, g)))
-
-    reached, metric = there * start, inverse
-    for _ in range(most_steps):
-        rest = reached - target
-        if np.abs(rest).max() <= tolerance * max(total, 1e-12):
+    if total is not None:
+        totals = [total]
+    elif most_rate is None:
+        totals = [max([1.0, *(least_rate * t / w for t, w in zip(there, weights) if w > 0)])]
+    else:
+        totals = [min([top * t / w for t, w in zip(there, weights) if w > 0]) * LOWER**n for n in range(LOWERED)]
+    folded, reached, metric, written_rates = 0, there * start, inverse, []
+    for total in totals:
+        target = np.array(weights) * total
+        slow = 0
+        for _ in range(most_steps):
+            rest = reached - target
+            worst = np.abs(rest).max()
+            if worst <= tolerance * max(total, 1e-12) or slow > 2:
+                break
+            step = metric @ rest
+            moved = F.col("rate") - sum((F.lit(float(step[i])) * a[i] for i in range(1, k)), F.lit(float(step[0])) * a[0])
+            moved = F.greatest(F.lit(float(least_rate)), moved)
+            rated = rated.withColumn("rate", moved if most_rate is None else F.least(F.lit(top), moved))
+            folded += 1
+            if folded == FOLDED:
+                folded, rated = 0, checkpoint(rated)
+                written_rates.append(rated)
+            # Rows that a bound holds do not move, so the metric of the next step leaves them out.
+            free = F.when((F.col("rate") > float(least_rate)) & (F.col("rate") < F.lit(top)), 1.0).otherwise(0.0)
+            row = rated.agg(*(F.sum(F.col("rate") * a[i]).alias(f"s{i}") for i in range(k)), *(F.sum(free * a[i] * a[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
+            reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+            now, moving = np.abs(reached - target).max(), square(row)
+            slow = slow + 1 if now > 0.7 * worst else 0
+            metric = np.linalg.pinv(moving + np.eye(k) * 1e-9 * moving.trace()) if now < worst and moving.trace() > 0 else inverse
+        if np.abs(reached - target).max() <= 1e-3 * total:
             break
-        steps.append((metric @ rest).tolist())
-        rated = soft.select(rate().alias("r"), *(a[i].alias(f"a{i}") for i in range(k)))
-        # Rows that the bound holds do not move, so the metric of the next step leaves them out.
-        free = F.when(F.col("r") > float(least_rate), 1.0).otherwise(0.0)
-        row = rated.agg(*(F.sum(F.col("r") * F.col(f"a{i}")).alias(f"s{i}") for i in range(k)), *(F.sum(free * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"g{i}_{j}") for i, j in pairs)).first()
-        before, reached = np.abs(rest).max(), np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        moving = np.zeros((k, k))
-        for i, j in pairs:
-            moving[i, j] = moving[j, i] = row[f"g{i}_{j}"] or 0.0
-        better = np.abs(reached - target).max() < before and moving.trace() > 0
-        metric = np.linalg.pinv(moving + np.eye(k) * 1e-9 * moving.trace()) if better else inverse
-    return rate(), reached.tolist()
+    discard(*written_rates[:-1])
+    return Mix(rated, reached.tolist(), target.tolist())
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -138,21 +169,29 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least_rate: float = 0.0, total: float | None = 1.0, text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Per row of ``docs`` (with doc_id): doc_id, n_tokens, p (posteriors in the order of ``weights``), rate and n_copies."""
+def fit_mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least_rate: float = 0.0, total: float | None = 1.0, text_col: str = "text", max_labelled: int = MAX_LABELLED, strict: bool = False, **bounds) -> Mix:
+    """Rates by row of ``docs`` (doc_id, n_tokens, p in the order of ``weights``, rate), and the sums that they reach."""
     names = tuple(weights)
     prior, like = fit_domains(docs, domain_of(labels), names, text_col, max_labelled)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     soft = checkpoint(posteriors(given, prior, like, "text"))
-    rate, _ = fit_rates(soft, [weights[n] for n in names], least_rate, total)
-    out = soft.select("doc_id", "n_tokens", "p", rate.alias("rate"))
-    return out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id")))
+    made = fit_rates(soft, [weights[n] for n in names], least_rate, total=total, **bounds)
+    if strict and made.residual > 0.01 * max(sum(made.target), 1e-12):
+        raise ValueError(f"targets {made.target} cannot be met by these documents; reached {made.reached}")
+    return made
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *args, **kwargs) -> DataFrame:
+    """Per row of ``docs`` (with doc_id): doc_id, n_tokens, p (posteriors in the order of ``weights``), rate, n_copies and residual, the greatest difference from a target, in times of all tokens."""
+    made = fit_mix(docs, labels, weights, *args, **kwargs)
+    return made.rates.select("doc_id", "n_tokens", "p", "rate", copies(F.col("rate"), F.col("doc_id")).alias("n_copies"), F.lit(made.residual).alias("residual"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least_rate: float = 0.0, total: float | None = 1.0, text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *args, **kwargs) -> DataFrame:
     """``docs`` with each row as often as its rate says. Rows of one key share the mean of their rates; null keys stay once."""
-    made = mix(docs, labels, weights, least_rate, total, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.avg("rate").alias("rate"))
+    made = mix(docs, labels, weights, *args, **kwargs).where("doc_id is not null").groupBy("doc_id").agg(F.avg("rate").alias("rate"))
     # Most rows stay once, so only the others are looked up.
-    other = small(made.select(F.col("doc_id").alias("__key"), copies(F.col("rate"), F.col("doc_id")).cast("int").alias("__n")).where("__n != 1"))
-    out = docs.join(other, F.col("doc_id") == F.col("__key"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, n = unused(docs, "key"), unused(docs, "n")
+    other = small(made.select(F.col("doc_id").alias(key), copies(F.col("rate"), F.col("doc_id")).cast("int").alias(n)).where(F.col(n) != 1))
+    out = docs.join(other, F.col("doc_id") == F.col(key), "left").withColumn(n, F.coalesce(n, F.lit(1)))
+    return out.withColumn(unused(out, "copy"), F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*docs.columns)

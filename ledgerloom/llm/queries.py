@@ -47,8 +47,8 @@ MIX = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
-    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(MIX)), "rate", "n_copies")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX, strict=True)
+    return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(MIX)), "rate", "n_copies", F.round("residual", 6).alias("residual"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

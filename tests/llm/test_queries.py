@@ -224,22 +224,67 @@ def test_mixing(odd, none, marks):
     assert kept.columns == odd.columns and kept.select("doc_id").distinct().count() == 8
 
 
-def test_mixing_meets_targets(spark):
-    rng = random.Random(4)
+def mixture(rng, n):
     words = {"good": "alpha beta gamma", "poor": "junk spam click", "toxic": "idiot moron scum"}
-    kinds = [rng.choices(list(words), (80, 15, 5))[0] for _ in range(600)]
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[k].split() + ["the", "of"], k=rng.randint(5, 40)))) for i, k in enumerate(kinds)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(k != "poor"), int(k == "toxic")) for i, k in enumerate(kinds) if i % 2], "doc_id long, quality int, toxic int")
-    for least, total in ((0.0, 1.0), (1.0, None), (0.0, 0.5)):
-        rows = mixing.mix(docs, labels, {"good": 0.6, "poor": 0.3, "toxic": 0.1}, least, total).collect()
+    kinds = [rng.choices(list(words), (80, 15, 5))[0] for _ in range(n)]
+    texts = [" ".join(rng.choices(words[k].split() + ["the", "of"], k=rng.randint(5, 40))) for k in kinds]
+    return kinds, texts, [(i, int(k != "poor"), int(k == "toxic")) for i, k in enumerate(kinds) if i % 2]
+
+
+def test_mixing_meets_targets(spark):
+    kinds, texts, marks = mixture(random.Random(4), 600)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for least, most, total in ((0.0, None, 1.0), (1.0, None, None), (0.0, None, 0.5), (0.0, 1.0, None)):
+        made = mixing.fit_mix(docs, labels, {"good": 0.6, "poor": 0.3, "toxic": 0.1}, least, total, strict=True, most_rate=most)
+        rows = made.rates.collect()
         sums = [sum(r.rate * r.n_tokens * r.p[k] for r in rows) for k in range(3)]
-        for s, w in zip(sums, (0.6, 0.3, 0.1)):
-            assert abs(s / sum(sums) - w) < 1e-4
-        assert min(r.rate for r in rows) >= least
+        for s, w, reached in zip(sums, (0.6, 0.3, 0.1), made.reached):
+            assert abs(s / sum(sums) - w) < 2e-3 and abs(reached - s / sum(r.n_tokens for r in rows)) < 1e-9
+        assert min(r.rate for r in rows) >= least and (most is None or max(r.rate for r in rows) <= most)
         if total:
             assert abs(sum(sums) / sum(r.n_tokens for r in rows) - total) < 1e-4
-    sure = sum(r.p[list(words).index(k)] > 0.5 for r, k in zip(sorted(rows, key=lambda r: r.doc_id), kinds))
+        if most:
+            assert sum(sums) > 0.4 * sum(r.n_tokens for r in rows)
+    sure = sum(r.p[("good", "poor", "toxic").index(k)] > 0.5 for r, k in zip(sorted(rows, key=lambda r: r.doc_id), kinds))
     assert sure > 0.95 * len(kinds)
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.fit_mix(docs, labels.where("toxic = 0"), {"good": 0.01, "poor": 0.01, "toxic": 0.98}, total=1.0, strict=True, most_rate=1.0)
+
+
+def test_posteriors_are_naive_bayes(spark):
+    """Posteriors against naive Bayes by hand, over the same hashed words."""
+    import math
+    from collections import Counter
+
+    _, texts, marks = mixture(random.Random(5), 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    names, size = ("good", "poor", "toxic"), mixing.BUCKETS
+    got = {r.doc_id: r for r in mixing.mix(docs, labels, dict.fromkeys(names, 1.0)).collect()}
+    buckets = {r.doc_id: r.b for r in docs.select("doc_id", mixing.word_buckets(F.col("text")).alias("b")).collect()}
+    domain = {i: "toxic" if t else "good" if q else "poor" for i, q, t in marks}
+    seen = {n: Counter(b for i in domain if domain[i] == n for b in buckets[i]) for n in names}
+    counts = Counter(domain.values())
+    for i, bs in buckets.items():
+        share = 16 / max(16, len(bs))
+        logit = [math.log((counts[n] + 1) / (len(domain) + 3)) + share * sum(math.log((seen[n][b] + 1) / (sum(seen[n].values()) + size)) for b in bs) for n in names]
+        e = [math.exp(x - max(logit)) for x in logit]
+        assert got[i].n_tokens == len(bs) and all(abs(x / sum(e) - y) < 1e-9 for x, y in zip(e, got[i].p))
+
+
+def test_mixing_only_thins_out(spark):
+    """With a greatest rate of 1, no row comes twice, what is too much is thinned out, and scarce domains keep their share."""
+    kinds, texts, marks = mixture(random.Random(6), 2000)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string").withColumn("n", F.lit(1)).withColumn("copy", F.lit(2)).withColumn("rate", F.lit(3))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    out = mixing.mixed(docs, labels, {"good": 0.93, "poor": 0.07}, total=None, most_rate=1.0, only_first_rises=True, strict=True)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    kept = {k: sum(kinds[i] == k for i in ids) / kinds.count(k) for k in set(kinds)}
+    assert len(ids) == len(set(ids)) and kept["good"] > 0.97 and 0.2 < kept["poor"] < 0.7
+    all_stay = mixing.mixed(docs, labels, {"good": 0.5, "poor": 0.5}, total=None, most_rate=1.0, only_first_rises=True, strict=True)
+    assert all_stay.count() == len(texts)
 
 
 def base_places(text):

@@ -70,20 +70,28 @@ PARTS = 1000
 FEW = 1000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """``left.join(right, key, how)`` for keys that may hold any part of the rows of ``left``.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys that a join should deal over several tasks, with the number of tasks; None where there are none.
 
-    ``counts`` has each key of ``left`` and its number of rows ``n``; it is made here if not given. A key with more than
-    one in ``PARTS`` rows is dealt by a hash of the column ``spread`` over as many tasks as its rows ask for, and its
-    rows of ``right`` are repeated for each. There are fewer than ``PARTS`` such keys, which bounds what is broadcast,
-    and fewer than ``2 * PARTS`` repeats.
+    ``counts`` has each key with its number of rows ``n``. A key with more than one in ``PARTS`` of all rows is hot, so
+    there are fewer than ``PARTS`` of them, which bounds what is broadcast.
     """
-    counts = checkpoint(left.groupBy(key).agg(F.count("*").alias("n"))) if counts is None else counts
     row = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     if not row["most"] or row["most"] < FEW or row["most"] * PARTS <= row["total"]:
+        return None
+    hot = counts.where((F.col("n") * PARTS > row["total"]) & (F.col("n") >= FEW))
+    return checkpoint(hot.select(key, F.ceil(F.col("n") * PARTS / row["total"]).cast("int").alias("__parts")))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` where rows of ``left`` with a hot key are dealt by a hash of the column ``spread``.
+
+    Rows of ``right`` with such a key are repeated for each task: fewer than ``2 * PARTS`` repeats in all, if ``right``
+    has each key once.
+    """
+    if hot is None:
         return left.join(right, key, how)
-    hot = counts.where((F.col("n") * PARTS > row["total"]) & (F.col("n") >= FEW)).select(key, F.ceil(F.col("n") * PARTS / row["total"]).cast("int").alias("__parts"))
-    hot = F.broadcast(checkpoint(hot))
+    hot = F.broadcast(hot)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
     repeated = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")

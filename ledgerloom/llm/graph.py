@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, salted_join
+from .common import checkpoint, discard, hot_keys, salted_join
 
 #: Links that one task may hold. Only larger tables have their keys counted, so that nodes with many links are split.
 ONE_TASK = 1_000_000
@@ -30,7 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             if not split:
                 return rows.join(least.select("u", "m"), "u")
             made.append(checkpoint(least))
-            return salted_join(rows, made[-1].select("u", "m"), "u", "v", made[-1].select("u", "n"))
+            return salted_join(rows, made[-1].select("u", "m"), "u", "v", hot_keys(made[-1], "u"))
 
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_texts, checkpoint, discard, salted_join, small, unused, written
+from .common import append_columns, as_texts, checkpoint, discard, hot_keys, salted_join, small, unused, written
 from .graph import connected_components
 
 WORDS = 5
@@ -50,8 +50,8 @@ SKETCH = 32  #: values kept for estimates
 LISTED = 24  #: the smallest of them, which get inverted lists
 LIST = 16
 MISSED = 2e-6
-#: Comparisons left for each row of the long lists at which the last round takes all members as leaders.
-WORK = 8
+#: Comparisons of places left for each row of the lists at which the last round takes all members as leaders.
+WORK = 500
 #: An estimate of the similarity below this, at 32 values, is more than five deviations under 0.85.
 LEAST_ESTIMATE = 17 / 32
 
@@ -112,10 +112,10 @@ def estimate(a: list[int], b: list[int], n_a: int, n_b: int, percent: int = PERC
     return sum(1 for x in least if x in a and x in b) >= LEAST_ESTIMATE * len(least) * percent / PERCENT
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """The pairs (a, b) that the union sketch leaves, with all their columns."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    both = salted_join(pairs, side("a"), "a", "b").join(side("b"), "b")
+    both = salted_join(pairs, side("a"), "a", "b", hot).join(side("b"), "b")
     fields = [T.StructField("likely", T.BooleanType())]
     make = lambda: lambda sa, sb, na, nb: [[estimate(*x, percent) for x in zip(sa, sb, na, nb)]]
     return append_columns(both, ["sa", "sb", "na", "nb"], fields, make).where("likely").select(*pairs.columns)
@@ -136,9 +136,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return append_columns(texts, ["text"], fields, make).select("class", "set").where("class is not null").dropDuplicates(["class"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """The pairs whose whole sets are similar enough, with all their columns."""
-    both = salted_join(pairs, sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a", "b")
+    both = salted_join(pairs, sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a", "b", hot)
     both = both.join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
 
     def linked(a: bytes, b: bytes) -> bool:
@@ -177,14 +177,19 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     classes = checkpoint(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     places = classes.select("class", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     leaders = checkpoint(places.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("class", "n")).alias("leader")).where("length > 1"))
-    lengths = leaders.select("value", F.col("length").alias("n"))
-    lists = written(salted_join(places, leaders, "value", "class", lengths), "lists")
+    lists = written(salted_join(places, leaders, "value", "class", hot_keys(leaders.select("value", F.col("length").alias("n")), "value")), "lists")
     discard(leaders)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        likely = checkpoint(_likely(checkpoint(pairs.distinct()), classes, percent))
+    def confirm(pairs: DataFrame, led: bool) -> DataFrame:
+        """The linked ones of pairs (a, b); many of them may have the same ``a`` if they are ``led``."""
+        pairs = checkpoint(pairs.distinct())
+        hot = _hot_leaders(pairs) if led else None
+        likely = checkpoint(_likely(pairs, classes, percent, hot))
         wanted = likely.select(F.col("a").alias("class")).union(likely.select(F.col("b"))).distinct().join(classes.select("class", "doc_id"), "class")
-        return _linked(likely, written(_sets(docs, wanted, size), "sets"), percent)
+        sets = written(_sets(docs, wanted, size), "sets")
+        linked = checkpoint(_linked(likely, sets, percent, hot))
+        discard(pairs, likely, sets)
+        return linked
 
     # Documents given more than once link the classes of their texts.
     twice = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("doc_id", "a")
@@ -193,11 +198,11 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     # 1. Each class with one leader.
     star = lists.select(F.col("leader.class").alias("a"), F.col("class").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb")).where("a != b").where(_sized(percent))
     most = star.groupBy("b", "a").agg(F.count("*").alias("shared")).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    links = checkpoint(links.unionByName(confirm(most.select("a", "b"))))
+    links = checkpoint(links.unionByName(confirm(most.select("a", "b"), True)))
 
     # 2. Shorter lists in full, between components.
     short = checkpoint(_with_roots(lists.where(F.col("length") <= LIST).select("value", "class", "n"), links))
-    links = checkpoint(links.unionByName(confirm(_across(short, percent))))
+    links = checkpoint(links.unionByName(confirm(_across(short, percent), False)))
 
     # 3. Documents with too many long lists, by their rarest shingles.
     share = lists.groupBy("class").agg(F.count_if(F.col("length") > LIST).alias("long"), F.max("n").alias("n"))
@@ -207,7 +212,13 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
         return links
     sets = written(_sets(docs, classes.join(hot, "class", "left_semi").select("class", "doc_id"), size), "sets")
     rare = checkpoint(_with_roots(_rarest(sets, percent), links))
-    return checkpoint(links.unionByName(_by_rounds(rare, classes, sets, percent)))
+    links = checkpoint(links.unionByName(_by_rounds(rare, classes, sets, percent)))
+    discard(classes, sets)
+    return links
+
+
+def _hot_leaders(pairs: DataFrame) -> DataFrame | None:
+    return hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
@@ -222,58 +233,66 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     values = append_columns(sets, ["set"], fields, lambda: lambda s: [[np.frombuffer(x, np.int64) for x in s]])
     values = values.select("class", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
     lengths = checkpoint(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
-    counted = salted_join(values, lengths.select("value", F.col("n").alias("length")), "value", "class", lengths, how="left").withColumn("length", F.coalesce("length", F.lit(1)))
+    counted = salted_join(values, lengths.select("value", F.col("n").alias("length")), "value", "class", hot_keys(lengths, "value"), how="left").withColumn("length", F.coalesce("length", F.lit(1)))
     order = Window.partitionBy("class").orderBy("length", "value")
     ranked = counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     return ranked.where("length > 1").select("value", "class", "n", "pos")
 
 
-def _reaches(percent: int):
-    """Whether a pair can still share enough, if no shingle before these places is common."""
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
-    return most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-
-
 def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that tie all linked classes of the lists of ``rare`` (value, class, n, pos, root) together.
 
     A round tries each list's first members by place, those with the fewest shingles of their own, with all members that
     are in other components and that the places leave in reach. Tried leaders leave the list, and so does a list of one
-    component. A round has twice as many leaders a list as the one before. Once what is left to compare is in proportion
-    to the lists, all members outside a list's largest component are leaders. Pairs are tried once.
+    component. A round has four times as many leaders a list as the one before. Once what is left to compare is at most
+    ``WORK`` times the lists' rows, all members outside a list's largest component are leaders. Pairs are tried once.
     """
     links, tried, leaders = [], None, 1
     while True:
-        parts = checkpoint(rare.groupBy("value", "root").agg(F.count("*").alias("k")))
-        open_lists = checkpoint(parts.groupBy("value").agg(F.sum("k").alias("n"), F.max("k").alias("largest"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+        parts = rare.groupBy("value", "root").agg(F.count("*").alias("k"))
+        open_lists = checkpoint(parts.groupBy("value").agg(F.sum("k").alias("n"), F.max_by("k", F.struct("k", "root")).alias("largest"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
         size = open_lists.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - F.col("largest"))).alias("work")).first()
         if not size["rows"]:
+            discard(rare, open_lists)
             break
-        rare = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", open_lists.select("value", "n")))
+        hot = hot_keys(open_lists.select("value", "n"), "value")
+        left = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", hot))
+        discard(rare)
         last = size["work"] <= WORK * size["rows"]
-        order = Window.partitionBy("value").orderBy("pos", "class")
-        if last:
-            first = rare.where("root != main")
-        else:
-            first = rare.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
+        first = left.where("root != main")
+        if not last:
+            order = Window.partitionBy("value").orderBy("pos", "class")
+            first = left.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
         first = checkpoint(first.groupBy("value").agg(F.collect_list(F.struct("class", "n", "pos", "root")).alias("leaders")))
-        star = salted_join(rare, first, "value", "class", open_lists.select("value", "n")).withColumn("l", F.explode("leaders")).where("root != l.root")
-        if last:  # of two leaders, one is tried with the other
-            star = star.where("root = main or l.class < class")
-        star = star.select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.pos").alias("pa"), F.col("pos").alias("pb"))
-        pairs = star.where(_sized(percent)).where(_reaches(percent)).select("a", "b", "ra", "rb").distinct()
+        star = salted_join(left, first, "value", "class", hot).withColumn("l", F.explode(F.filter("leaders", lambda l: _in_reach(l, percent, last))))
+        pairs = star.select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb")).distinct()
         pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpoint(_linked(checkpoint(_likely(pairs, classes, percent)), sets, percent))
+        led = _hot_leaders(pairs)
+        likely = checkpoint(_likely(pairs, classes, percent, led))
+        found = checkpoint(_linked(likely, sets, percent, led))
         links.append(found.select("a", "b"))
+        discard(open_lists, likely)
         if last:
+            discard(left, first, pairs)
             break
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        joined = connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        joined = checkpoint(connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("now")))
         led = first.select("value", F.explode("leaders.class").alias("class"))
-        left = rare.drop("main").join(led, ["value", "class"], "left_anti")
-        rare = checkpoint(salted_join(left, joined, "root", "class", how="left").withColumn("root", F.coalesce("now", "root")).drop("now"))
-        leaders *= 2
-    return reduce(DataFrame.unionByName, links) if links else rare.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+        rare = left.drop("main").join(led, ["value", "class"], "left_anti")
+        by_root = hot_keys(rare.groupBy("root").agg(F.count("*").alias("n")), "root")
+        rare = checkpoint(salted_join(rare, joined, "root", "class", by_root, how="left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+        discard(left, first, joined)
+        leaders *= 4
+    return reduce(DataFrame.unionByName, links) if links else classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+
+
+def _in_reach(leader, percent: int, once: bool):
+    """Whether a row (class, n, pos, root, main) is to be tried with a leader of its list: in another component, near
+    enough in size, and able to share enough if no shingle before these places is common. Of two leaders, one is tried with the other."""
+    n, other = F.col("n"), leader["n"]
+    most = F.least(other - leader["pos"], n - F.col("pos")) + 1
+    fits = (leader["root"] != F.col("root")) & (100 * F.least(n, other) >= percent * F.greatest(n, other)) & (most * (100 + percent) >= (n + other) * percent)
+    return fits & ((F.col("root") == F.col("main")) | (leader["class"] < F.col("class"))) if once else fits
 
 
 def without_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -302,8 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = checkpoint(classes.join(roots, "class", "left").where("n > 1 or root is not null"))
     least = checkpoint(classes.where("root is not null").groupBy("root").agg(F.min("least").alias("all"), F.count("*").alias("n")))
-    named = salted_join(classes.drop("n"), least.drop("n"), "root", "class", least.select("root", "n"), how="left").select("class", F.coalesce("all", "least").alias("least"))
-    out = salted_join(found.drop("sketch"), named, "class", "doc_id", classes.select("class", "n"), how="left")
+    named = salted_join(classes, least.drop("n"), "root", "class", hot_keys(least, "root"), how="left").select("class", F.coalesce("all", "least").alias("least"))
+    out = salted_join(found.drop("sketch"), named, "class", "doc_id", hot_keys(classes, "class"), how="left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

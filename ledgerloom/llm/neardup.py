@@ -52,6 +52,8 @@ LIST = 16
 MISSED = 2e-6
 #: Comparisons of places left for each row of the lists at which the last round takes all members as leaders.
 WORK = 500
+#: Rounds with fewer leaders than these are always taken, as they unite most of a group of copies.
+FIRST_ROUNDS = 4
 #: An estimate of the similarity below this, at 32 values, is more than five deviations under 0.85.
 LEAST_ESTIMATE = 17 / 32
 
@@ -244,8 +246,9 @@ def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
     A round tries each list's first members by place, those with the fewest shingles of their own, with all members that
     are in other components and that the places leave in reach. Tried leaders leave the list, and so does a list of one
-    component. A round has four times as many leaders a list as the one before. Once what is left to compare is at most
-    ``WORK`` times the lists' rows, all members outside a list's largest component are leaders. Pairs are tried once.
+    component. A round has four times as many leaders a list as the one before. After the first two, once what is left to
+    compare is at most ``WORK`` times the lists' rows, all members outside a list's largest component are leaders. Pairs
+    are tried once.
     """
     links, tried, leaders = [], None, 1
     while True:
@@ -258,7 +261,7 @@ def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
         hot = hot_keys(open_lists.select("value", "n"), "value")
         left = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", hot))
         discard(rare)
-        last = size["work"] <= WORK * size["rows"]
+        last = leaders > FIRST_ROUNDS and size["work"] <= WORK * size["rows"]
         first = left.where("root != main")
         if not last:
             order = Window.partitionBy("value").orderBy("pos", "class")

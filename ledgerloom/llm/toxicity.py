@@ -5,8 +5,9 @@ unlabelled data: ``prior * E_P[l(g, +1)] + max(0, E_U[l(g, -1)] - prior * E_P[l(
 is the share of toxic rows. No row is used as a confirmed clean example. Where the second part is
 negative, the step goes the other way, which keeps the model from fitting the positives by heart.
 
-The fit uses at most ``max_positives`` and ``max_unlabelled`` rows, taken in the order of a hash of their
-keys; both bounds are parameters. Scores cover all rows and whole texts.
+The fit uses labelled rows alone: at most ``max_positives`` of those marked toxic, and at most ``max_unlabelled`` of
+all of them, whose marks are then not looked at. Both are taken in the order of a hash of their keys; the bounds are
+parameters. All words that tell the two apart by a test take part. Scores cover all rows and whole texts.
 
 A null or empty text scores by the bias alone. With no positive rows, the prior is 0 and all scores are 0.
 Rows of ``labels`` with a null key or label are not used; repeated rows are used once.
@@ -25,7 +26,6 @@ from .common import append_columns, as_texts, checkpoint
 
 MAX_POSITIVES = 4000
 MAX_UNLABELLED = 12000
-MAX_WORDS = 4096
 
 #: ASCII letters lower-cased; what is neither such a letter nor of a longer character parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,7 +87,7 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS, hold_out: bool = True) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, hold_out: bool = True) -> Model:
     """Fits a model; with ``hold_out``, rows of fold 1 take no part."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null")
@@ -98,9 +98,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not share:
         return Model({}, -30.0)
     prior = min(0.95, max(1e-4, float(share)))
-    pos = _sample(known.where("y = 1").join(keys, "doc_id", "left_semi").select("doc_id"), max_positives)
-    # Unlabelled text is drawn from all rows, confirmed ones too: the risk needs it to hold positives at the prior's rate.
-    chosen = pos.withColumn("p", F.lit(True)).unionByName(_sample(keys.distinct(), max_unlabelled).withColumn("p", F.lit(False)))
+    there = known.join(keys, "doc_id", "left_semi")
+    pos = _sample(there.where("y = 1").select("doc_id"), max_positives)
+    # Confirmed ones are among the unlabelled, too: the risk needs them to hold positives at the prior's rate.
+    chosen = pos.withColumn("p", F.lit(True)).unionByName(_sample(there.select("doc_id"), max_unlabelled).withColumn("p", F.lit(False)))
     # Bounded by the two parameters, so it may be broadcast.
     texts = as_texts(docs, id_col, text_col).join(F.broadcast(checkpoint(chosen)), "doc_id")
     fields = [T.StructField("words", T.ArrayType(T.BinaryType()))]
@@ -109,11 +110,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return Model({}, float(np.log(prior / (1 - prior))))
-    # Words by how far their shares differ; their number is bounded.
+    # Words whose shares differ by three deviations; the sample bounds their number.
     stats = bags.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("p")).alias("a"), F.count_if(~F.col("p")).alias("b")).where("a + b >= 8")
     share_all = (F.col("a") + F.col("b")) / (n_p + n_u)
     z = F.abs(F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(share_all * (1 - share_all) * (1 / n_p + 1 / n_u) + 1e-12)
-    vocab = [bytes(r["word"]) for r in stats.withColumn("z", z).where("z >= 3").orderBy(F.desc("z"), "word").limit(max_words).collect()]
+    vocab = [bytes(r["word"]) for r in stats.withColumn("z", z).where("z >= 3").orderBy(F.desc("z"), "word").collect()]
     place = {w: i for i, w in enumerate(vocab)}
     fields = [T.StructField("has", T.ArrayType(T.IntegerType()))]
     rows = append_columns(bags, ["words"], fields, lambda: lambda ws: [[[place[w] for w in r if w in place] for r in ws]]).select("doc_id", "p", "has").orderBy("doc_id", "p").collect()

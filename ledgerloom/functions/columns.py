@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of addresses and of transaction hashes.
 ADDRESS = "0x[0-9a-fA-F]{40}"
 TX_HASH = "0x[0-9a-fA-F]{64}"
 #: Fixed value: base-58 alphabet, without 0, O, I and l.
@@ -119,6 +120,12 @@ def version_parts(c: Column | str) -> Column:
     return F.struct((major != "").alias("parsed"), F.coalesce(major.try_cast("int"), F.lit(0)).alias("major"), F.coalesce(minor.try_cast("int"), F.lit(0)).alias("minor"), x.alias("text"))
 
 
+def padded(c: Column | str, width: int) -> Column:
+    """A number as text with zeros ahead, at least so wide."""
+    text = _c(c).cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def canonical_edge_id(c: Column | str) -> Column:
     """eth:007, 7 and "7" are the same edge."""
     digits = F.regexp_extract(F.trim(_c(c).cast("string")), "^(?:eth:)?0*([0-9]+)$", 1)

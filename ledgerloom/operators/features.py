@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import with_summary
+
 DAY = 86400
 
 
@@ -67,9 +69,9 @@ def intervals(edges: DataFrame, end: str) -> DataFrame:
 
 def temporal_encoding(edges: DataFrame, frequencies: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     """Time between a case's first and last transfer, from 0 to 1, with sines and cosines of its multiples of pi."""
-    case = Window.partitionBy("case_id")
-    lo, hi = F.min("ts").over(case), F.max("ts").over(case)
-    out = edges.withColumn("t", F.when(hi > lo, (F.col("ts") - lo) / (hi - lo)).otherwise(0.0))
+    out = with_summary(edges, ["case_id"], __lo=F.min("ts"), __hi=F.max("ts"))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    out = out.withColumn("t", F.when(hi > lo, (F.col("ts") - lo) / (hi - lo)).otherwise(0.0)).drop("__lo", "__hi")
     return out.withColumns({f"{n}{f}": fn(F.col("t") * f * F.pi()) for f in frequencies for n, fn in (("sin", F.sin), ("cos", F.cos))})
 
 
@@ -84,14 +86,16 @@ def propagate(features: DataFrame, weights: DataFrame, columns: Sequence[str], s
 
 def read_out(features: DataFrame, columns: Sequence[str], fn=F.max) -> DataFrame:
     """Features with a summary over the case beside them."""
-    case = Window.partitionBy("case_id")
-    return features.withColumns({f"case_{c}": fn(c).over(case) for c in columns})
+    return with_summary(features, ["case_id"], **{f"case_{c}": fn(c) for c in columns})
 
 
 def role_fusion(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Means of features over the case, over the source's and over the receiver's transfers."""
-    by = {"case": Window.partitionBy("case_id"), "src": Window.partitionBy("case_id", "src"), "dst": Window.partitionBy("case_id", "dst")}
-    return edges.withColumns({f"{k}_{c}": F.avg(c).over(w) for k, w in by.items() for c in columns})
+    out = edges
+    for name, keys in (("case", ["case_id"]), ("src", ["case_id", "src"]), ("dst", ["case_id", "dst"])):
+        means = edges.groupBy(*keys).agg(*(F.avg(c).alias(f"{name}_{c}") for c in columns))
+        out = out.join(means, keys)
+    return out
 
 
 def prototypes(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

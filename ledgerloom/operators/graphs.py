@@ -6,18 +6,25 @@ short and lost executors cost one iteration.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import kept, neighbors
-from .relational import top_n_per_group
+from .lookup import neighbors
+from .relational import kept, numbered, running_sums, top_n_per_group, with_summary
+
 
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes (case_id, node, step) that the seeds (case_id, node) reach along src to dst, with the least number of steps.
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
-    """Nodes (case_id, node, step) that the seeds (case_id, node) reach along src to dst, with the least number of steps."""
+    Goes on until no node is new, or for ``depth`` steps.
+    """
     steps = edges.select("case_id", F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
     frontier = seen = kept(seeds.select("case_id", "node").distinct().withColumn("step", F.lit(0)))
-    for n in range(1, most):
+    n = 0
+    while depth is None or n < depth:
+        n += 1
         to = steps.join(frontier.select("case_id", "node"), ["case_id", "node"]).select("case_id", F.col("to").alias("node")).distinct()
         frontier = kept(to.join(seen, ["case_id", "node"], "left_anti").withColumn("step", F.lit(n)))
         if frontier.isEmpty():
@@ -39,6 +46,22 @@ def corridor(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
     return edges.join(ahead, ["case_id", "src"], "left_semi").join(back, ["case_id", "dst"], "left_semi")
 
 
+def corridor_scores(edges: DataFrame, sources: DataFrame, targets: DataFrame, bucket: str = "asset") -> DataFrame:
+    """Pairs of nodes by bucket of value: summed capacity, and p_follow of 0.99 where they lie on a path of one bucket from a
+    source to a target that is no source, 0.01 elsewhere: case_id, bucket, src, dst, capacity, p_follow, action.
+
+    Amounts of different buckets do not mix: a path stays in its bucket.
+    """
+    split = edges.withColumn("bucket", F.coalesce(bucket, F.lit(""))).groupBy("case_id", "bucket", "src", "dst").agg(F.sum("amount").alias("capacity"))
+    keyed = split.withColumn("case_id", F.struct("case_id", "bucket"))
+    buckets = split.select("case_id", "bucket").distinct()
+    ends = lambda nodes: nodes.select("case_id", "node").distinct().join(buckets, "case_id").select(F.struct("case_id", "bucket").alias("case_id"), "node")
+    far = targets.select("case_id", "node").distinct().join(sources.select("case_id", "node").distinct(), ["case_id", "node"], "left_anti")
+    on_path = corridor(keyed, ends(sources), ends(far)).select("case_id", "src", "dst", F.lit(0.99).alias("p_follow"))
+    out = keyed.join(on_path, ["case_id", "src", "dst"], "left").withColumn("p_follow", F.coalesce("p_follow", F.lit(0.01)))
+    return out.select("case_id.*", "src", "dst", "capacity", "p_follow", F.when(F.col("p_follow") >= 0.5, "follow").otherwise("ignore").alias("action"))
+
+
 def enrich_outgoing(actionable: DataFrame, transfers: DataFrame, n: int) -> DataFrame:
     """Up to n outgoing transfers of each source of actionable edges that are not among them; hop is the source's least."""
     sources = actionable.groupBy("case_id", F.col("src").alias("address")).agg(F.min("hop").alias("hop"))
@@ -119,30 +142,40 @@ def beam_rollout(candidates: DataFrame, starts: DataFrame, threshold: float = 0.
 
 def state_rollout(states: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """States (case_id, node, depth) met from the seeds along selected edges (case_id, src, dst)."""
-    return reachable(states, seeds, depth + 1).withColumnRenamed("step", "depth")
+    return reachable(states, seeds, depth).withColumnRenamed("step", "depth")
 
 
-def push_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, epsilon: float = 1e-3, rounds: int = 20) -> DataFrame:
+def push_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, epsilon: float = 1e-3, beta: float = 0.7, symbol: str | None = None) -> DataFrame:
     """Approximate personalised rank by case: residuals above epsilon x degree push their rest along the outgoing amounts, all at once.
 
-    Rounds end when no residual is above its bound. Adds up to at most 1 a case.
+    With a ``symbol`` (asset or token), a residual remembers the one it came by: the part ``beta`` goes on along edges of that
+    symbol and the rest along the others; where a node has only one kind, that takes all. Rounds go on until no residual
+    is above its bound: each takes the part alpha of what is pushed out of play. Adds up to at most 1 a case.
     """
-    out = edges.groupBy("case_id", F.col("src").alias("node"), F.col("dst").alias("to")).agg(F.sum("amount").cast("double").alias("w"))
-    total = Window.partitionBy("case_id", "node")
-    out = kept(out.withColumn("w", F.col("w") / F.sum("w").over(total)).withColumn("degree", F.count("*").over(total)))
-    degree = out.select("case_id", "node", "degree").distinct()
-    n = F.count("*").over(Window.partitionBy("case_id"))
-    state = kept(sources.select("case_id", "node").distinct().withColumn("residual", 1 / n).withColumn("rank", F.lit(0.0)))
-    for _ in range(rounds):
-        state = state.join(degree, ["case_id", "node"], "left")
+    tag = F.lit("") if symbol is None else F.coalesce(symbol, F.lit(""))
+    out = edges.withColumn("via", tag).groupBy("case_id", F.col("src").alias("node"), F.col("dst").alias("to"), "via").agg(F.sum("amount").cast("double").alias("w"))
+    out = kept(out)
+    degree = out.groupBy("case_id", "node").agg(F.count_distinct("to").alias("degree"), F.sum("w").alias("total"))
+    own = out.groupBy("case_id", "node", "via").agg(F.sum("w").alias("own"))
+    degree = kept(degree)
+    flows = kept(out.join(own, ["case_id", "node", "via"]).join(degree.select("case_id", "node", "total"), ["case_id", "node"]))
+    starts = sources.select("case_id", "node").distinct()
+    n = starts.groupBy("case_id").agg(F.count("*").alias("n"))
+    state = kept(starts.join(n, "case_id").select("case_id", "node", F.lit("").alias("held"), (1 / F.col("n")).alias("residual"), F.lit(0.0).alias("rank")))
+    own = kept(own)
+    while True:
+        rows = state.join(degree, ["case_id", "node"], "left").join(own.withColumnRenamed("via", "held"), ["case_id", "node", "held"], "left")
         hot = F.col("residual") > epsilon * F.coalesce("degree", F.lit(1))
-        moved = kept(state.withColumn("push", F.when(hot, F.col("residual")).otherwise(0.0)).select("case_id", "node", "residual", "rank", "push", "degree"))
+        moved = kept(rows.withColumn("push", F.when(hot, F.col("residual")).otherwise(0.0)))
         if moved.where("push > 0").isEmpty():
-            return moved.select("case_id", "node", "rank", "residual")
-        stay = moved.select("case_id", "node", (F.col("rank") + alpha * F.col("push") + F.when(F.col("degree").isNull(), (1 - alpha) * F.col("push")).otherwise(0.0)).alias("rank"), (F.col("residual") - F.col("push")).alias("residual"))
-        flow = moved.where("push > 0").join(out.drop("degree"), ["case_id", "node"]).select("case_id", F.col("to").alias("node"), F.lit(0.0).alias("rank"), ((1 - alpha) * F.col("push") * F.col("w")).alias("residual"))
-        state = kept(stay.unionByName(flow).groupBy("case_id", "node").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual")))
-    return state.select("case_id", "node", "rank", "residual")
+            return moved.groupBy("case_id", "node").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual"))
+        stay = moved.select("case_id", "node", "held", (F.col("residual") - F.col("push")).alias("residual"), (F.col("rank") + alpha * F.col("push") + F.when(F.col("degree").isNull(), (1 - alpha) * F.col("push")).otherwise(0.0)).alias("rank"))
+        # Shares of the edges of the symbol that is held, and of all others.
+        same = F.when(F.col("o") >= F.col("total"), 1.0).otherwise(beta)
+        share = F.when(F.col("o").isNull(), F.col("w") / F.col("total")).when(F.col("held") == F.col("via"), same * F.col("w") / F.col("o")).otherwise((1 - same) * F.col("w") / (F.col("total") - F.col("o")))
+        pushed = moved.where("push > 0").select("case_id", "node", "held", F.col("own").alias("o"), "push").join(flows.drop("own"), ["case_id", "node"])
+        flow = pushed.select("case_id", F.col("to").alias("node"), F.col("via").alias("held"), ((1 - alpha) * F.col("push") * share).alias("residual"), F.lit(0.0).alias("rank"))
+        state = kept(stay.unionByName(flow).groupBy("case_id", "node", "held").agg(F.sum("residual").alias("residual"), F.sum("rank").alias("rank")))
 
 
 def conductance_sweep(edges: DataFrame, ranks: DataFrame, phi: float = 0.5) -> DataFrame:
@@ -151,8 +184,7 @@ def conductance_sweep(edges: DataFrame, ranks: DataFrame, phi: float = 0.5) -> D
     Conductance of a prefix: edges that leave it over the smaller of its volume and the rest's. An edge is inside from the
     place of its later end on, so running sums over places give all prefixes.
     """
-    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("rank"), "node"))
-    ranked = ranks.withColumn("place", place)
+    ranked = numbered(ranks.withColumn("__falling", -F.col("rank")), ["case_id"], ["__falling", "node"], "place").drop("__falling")
     pairs = edges.where("src != dst").groupBy("case_id", "src", "dst").agg(F.count("*").alias("w"))
     ends = pairs
     for end in ("src", "dst"):
@@ -163,17 +195,15 @@ def conductance_sweep(edges: DataFrame, ranks: DataFrame, phi: float = 0.5) -> D
     close = ends.select("case_id", F.col("last").alias("place"), (-F.col("w")).alias("cut"), F.col("w").alias("volume"))
     delta = enter.unionByName(close).groupBy("case_id", "place").agg(F.sum("cut").alias("cut"), F.sum("volume").alias("volume"))
     total = pairs.groupBy("case_id").agg((2 * F.sum("w")).alias("all"))
-    up_to = Window.partitionBy("case_id").orderBy("place")
     rows = ranked.join(delta, ["case_id", "place"], "left").join(total, "case_id").na.fill(0, ["cut", "volume"])
-    rows = rows.withColumns({"cut": F.sum("cut").over(up_to), "volume": F.sum("volume").over(up_to)})
+    rows = running_sums(rows, ["case_id"], "place", ["cut", "volume"])
     rows = rows.withColumn("conductance", F.coalesce(F.try_divide(F.col("cut"), F.least(F.col("volume"), F.col("all") - F.col("volume"))), F.lit(1.0)))
-    case = Window.partitionBy("case_id")
-    under = F.min(F.when(F.col("conductance") < phi, F.col("place"))).over(case)
-    least = F.min_by("place", F.struct("conductance", "place")).over(case)
-    return rows.withColumn("inside", F.col("place") <= F.coalesce(under, least)).select("case_id", "node", "rank", "place", "conductance", "inside")
+    under, least = F.min(F.when(F.col("conductance") < phi, F.col("place"))), F.min_by("place", F.struct("conductance", "place"))
+    rows = with_summary(rows, ["case_id"], __last=F.coalesce(under, least))
+    return rows.withColumn("inside", F.col("place") <= F.col("__last")).select("case_id", "node", "rank", "place", "conductance", "inside")
 
 
-def dense_peel(edges: DataFrame, epsilon: float = 0.1, rounds: int = 60) -> DataFrame:
+def dense_peel(edges: DataFrame, epsilon: float = 0.1) -> DataFrame:
     """Densest set of nodes by case under weights: passes drop all nodes at or below (1 + epsilon) x the mean degree; the best pass stands.
 
     Passes grow with the logarithm of the number of nodes, and the weight an inside node keeps is at least 1 / (2 + 2 epsilon)
@@ -182,7 +212,7 @@ def dense_peel(edges: DataFrame, epsilon: float = 0.1, rounds: int = 60) -> Data
     pairs = kept(edges.where("src != dst").groupBy("case_id", "src", "dst").agg(F.sum("amount").cast("double").alias("w")))
     alive = kept(pairs.select("case_id", F.explode(F.array("src", "dst")).alias("node")).distinct())
     history = None
-    for n in range(rounds):
+    for n in count():  # a pass drops a node at least
         for end in ("src", "dst"):
             pairs = pairs.join(alive.withColumnRenamed("node", end), ["case_id", end], "left_semi")
         pairs = kept(pairs)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import padded
 from .relational import keep_first, top_n_per_group
+from .relational import numbered as number_rows
 
 COLUMNS = ("case_id", "question_type", "subject", "predicate", "object")
 
@@ -55,7 +57,7 @@ def direct_link_questions(edges: DataFrame) -> DataFrame:
     yes = rows(pairs.withColumn("yes", F.lit("true")), "direct_link", "src", F.concat(F.lit("linked to "), "dst"), "yes")
     # The first node without a link is among the first 1 + degree nodes by name, so only those are met.
     nodes = pairs.select("case_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    placed = nodes.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("node")))
+    placed = number_rows(nodes, ["case_id"], ["node"], "place")
     asked = pairs.groupBy("case_id", "src").agg(F.count("*").alias("degree"))
     reach = asked.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int") + 2)))
     free = reach.join(placed, ["case_id", "place"]).where("node != src").join(pairs.withColumnRenamed("dst", "node"), ["case_id", "src", "node"], "left_anti")
@@ -73,5 +75,5 @@ def single_hop_questions(edges: DataFrame, by: str, cap: int = 4) -> DataFrame:
 def numbered(questions: DataFrame) -> DataFrame:
     """Questions without repeats, with ids that count within a case."""
     once = keep_first(questions, list(COLUMNS), [F.lit(0)])
-    n = F.row_number().over(Window.partitionBy("case_id").orderBy("question_type", "subject", "predicate", "object"))
-    return once.withColumn("qa_id", F.concat_ws(":", "case_id", F.lpad(n.cast("string"), 5, "0"), "question_type"))
+    counted = number_rows(once, ["case_id"], ["question_type", "subject", "predicate", "object"])
+    return counted.withColumn("qa_id", F.concat_ws(":", "case_id", padded("n", 5), "question_type")).drop("n")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 
 def hash_order(*cs: Column | str) -> Column:
     """A fixed random order: SHA-256 of the parts."""
@@ -19,6 +21,48 @@ def top_n_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
     return out.withColumnRenamed("__rank", rank) if rank else out.drop("__rank")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable copy in the shared folder, which cuts lineage."""
+    spark = df.sparkSession
+    path = scratch(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+    """Rows with their numbers from 1 by key, in the order of columns; no key is held by one task.
+
+    Rows are sorted over all tasks and written with their places. Only the numbers of rows by task and key go through a
+    window, which gives each task its offset. Rows that are equal in ``order`` should be equal in all columns.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    by = [*keys, *order]
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = kept(sorted_.withColumns({"__task": F.spark_partition_id(), "__place": place}))
+    counts = placed.groupBy("__task", *keys).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__ahead", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    out = placed.join(offsets, ["__task", *keys])
+    return out.withColumn(name, F.col("__ahead") + F.col("__place") - F.col("__first") + 1).drop("__task", "__place", "__ahead", "__first")
+
+
+def running_sums(rows: DataFrame, keys: Sequence[str], place: str, columns: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """Columns replaced by their sums up to a row's place (from 1), by key. Places are cut into blocks: windows hold one
+    block of a key, or the sums of its blocks."""
+    out = rows.withColumn("__block", F.floor((F.col(place) - 1) / block))
+    sums = out.groupBy(*keys, "__block").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.withColumns({f"__{c}": F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)) for c in columns})
+    within = Window.partitionBy(*keys, "__block").orderBy(place)
+    out = out.join(ahead, [*keys, "__block"])
+    return out.withColumns({c: F.sum(c).over(within) + F.col(f"__{c}") for c in columns}).drop("__block", *(f"__{c}" for c in columns))
+
+
+def with_summary(rows: DataFrame, keys: Sequence[str], **columns: Column) -> DataFrame:
+    """Rows with aggregates over their key: partial sums and a join in place of a window that holds all rows of a key."""
+    return rows.join(rows.groupBy(*keys).agg(*(c.alias(n) for n, c in columns.items())), list(keys))
+
+
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row by key, the first in the order."""
     return top_n_per_group(rows, keys, order, 1)

@@ -78,14 +78,6 @@ def max_outflow_source(t: Tables) -> DataFrame:
     return policies.max_outflow_scores(t.dense).select("case_id", "src", "rank", "probability")
 
 
-@query("merge_report_runs", """WITH d AS (SELECT *, 'https://' || regexp_replace(regexp_replace(split_part(split_part(split_part(url, '://', 2), '#', 1), '?', 1), '^www\\.', ''), '/+$', '') AS site FROM report_docs)
- SELECT site, count(DISTINCT run) AS n_runs, count(*) AS n_docs, min(grade) AS grade, arg_max(filename, struct_pack(a := length(filename), b := filename)) AS filename FROM (SELECT *, regexp_extract(site, 'https://([^/]*)', 1) AS host FROM d) x GROUP BY site""")
-def merge_report_runs(t: Tables) -> DataFrame:
-    site = F.regexp_replace(C.normalize_url("url", drop_query=True), "^http://", "https://")
-    rows = t.report_docs.withColumn("site", site)
-    return rows.groupBy("site").agg(F.count_distinct("run").alias("n_runs"), F.count("*").alias("n_docs"), F.min("grade").alias("grade"), F.max_by("filename", F.struct(F.length("filename"), F.col("filename"))).alias("filename"))
-
-
 @query("merge_mappings", """SELECT case_id, chain, address, role, list(DISTINCT entity_id ORDER BY entity_id) AS evidence, min(confidence) AS confidence, min(pos) AS from_block, max(pos) + 10 AS to_block, count(*) AS n_mappings FROM ev_entities GROUP BY ALL""")
 def merge_mappings(t: Tables) -> DataFrame:
     rows = t.ev_entities.select("case_id", "chain", "address", "role", F.array("entity_id").alias("evidence"), "confidence", F.col("pos").alias("from_block"), (F.col("pos") + 10).alias("to_block"))

@@ -25,9 +25,9 @@ def check_hops(t: Tables) -> DataFrame:
     return violations([("missing", rows.where("hop is null"), "edge_id"), ("low", rows.where("hop < 1"), "edge_id"), ("high", rows.where("hop > 2"), "edge_id")])
 
 
-@query("check_labels_candidates", """SELECT 'label_without_edge' AS rule, reported_id AS id FROM ev_edges WHERE substr(reported_id, 2) NOT IN (SELECT substr(edge_id, 5, 10) FROM dense WHERE edge_type = 0) UNION ALL SELECT 'small_set', case_id || '|' || src || '|' || asset FROM dense GROUP BY case_id, src, asset HAVING count(DISTINCT dst) < 20""")
+@query("check_labels_candidates", """SELECT 'label_without_edge' AS rule, reported_id AS id FROM ev_edges WHERE substr(reported_id, 2) NOT IN (SELECT substr(edge_id, 5) FROM dense WHERE edge_type = 0) UNION ALL SELECT 'small_set', case_id || '|' || src || '|' || asset FROM dense GROUP BY case_id, src, asset HAVING count(DISTINCT dst) < 20""")
 def check_labels_candidates(t: Tables) -> DataFrame:
-    edges = t.dense.where("edge_type = 0").select(F.expr("concat('R', substr(edge_id, 5, 10))").alias("reported_id"))
+    edges = t.dense.where("edge_type = 0").select(F.expr("concat('R', substr(edge_id, 5))").alias("reported_id"))
     lost = t.ev_edges.join(edges, "reported_id", "left_anti")
     small = t.dense.groupBy("case_id", "src", "asset").agg(F.count_distinct("dst").alias("n")).where("n < 20").withColumn("key", F.concat_ws("|", "case_id", "src", "asset"))
     return violations([("label_without_edge", lost, "reported_id"), ("small_set", small, "key")])

@@ -59,10 +59,18 @@ def reachability_check(t: Tables) -> DataFrame:
     return G.unreachable(_edges(t), _sources(t)).select("case_id", "edge_id")
 
 
-@query("flow_corridor", f"{_REACH}, b(case_id, node) AS (SELECT DISTINCT case_id, dst FROM ev_edges WHERE stage = 'cash_out' UNION SELECT e.case_id, e.src FROM b JOIN ev_edges e ON e.case_id = b.case_id AND e.dst = b.node) SELECT case_id, reported_id AS edge_id FROM ev_edges WHERE (case_id, src) IN (SELECT (case_id, node) FROM r) AND (case_id, dst) IN (SELECT (case_id, node) FROM b)")
+_BUCKETS = """b AS (SELECT DISTINCT case_id, asset FROM ev_edges), s AS (SELECT DISTINCT case_id, src AS node FROM ev_edges WHERE stage = 'theft'), g AS (SELECT DISTINCT case_id, dst AS node FROM ev_edges WHERE stage = 'cash_out' EXCEPT SELECT case_id, node FROM s),
+ r(case_id, asset, node) AS (SELECT case_id, asset, node FROM s JOIN b USING (case_id) UNION SELECT e.case_id, e.asset, e.dst FROM r JOIN ev_edges e ON e.case_id = r.case_id AND e.asset = r.asset AND e.src = r.node),
+ k(case_id, asset, node) AS (SELECT case_id, asset, node FROM g JOIN b USING (case_id) UNION SELECT e.case_id, e.asset, e.src FROM k JOIN ev_edges e ON e.case_id = k.case_id AND e.asset = k.asset AND e.dst = k.node)"""
+
+
+@query(
+    "flow_corridor",
+    f"WITH RECURSIVE {_BUCKETS} SELECT case_id, asset AS bucket, src, dst, capacity, p_follow, CASE WHEN p_follow > 0.5 THEN 'follow' ELSE 'ignore' END AS action FROM (SELECT case_id, asset, src, dst, sum(amount) AS capacity, CASE WHEN (case_id, asset, src) IN (SELECT (case_id, asset, node) FROM r) AND (case_id, asset, dst) IN (SELECT (case_id, asset, node) FROM k) THEN 0.99 ELSE 0.01 END AS p_follow FROM ev_edges GROUP BY ALL) x",
+)
 def flow_corridor(t: Tables) -> DataFrame:
     targets = t.ev_edges.where("stage = 'cash_out'").select("case_id", F.col("dst").alias("node"))
-    return G.corridor(_edges(t), _sources(t), targets).select("case_id", "edge_id")
+    return G.corridor_scores(_edges(t), _sources(t), targets)
 
 
 @query("beam_rollout")
@@ -84,9 +92,9 @@ def dense_peel(t: Tables) -> DataFrame:
 
 @query("push_rank")
 def push_rank(t: Tables) -> DataFrame:
-    return G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4)
+    return G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4, symbol="asset")
 
 
 @query("conductance_community")
 def conductance_community(t: Tables) -> DataFrame:
-    return G.conductance_sweep(t.dense, G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4).select("case_id", "node", "rank"))
+    return G.conductance_sweep(t.dense, G.push_rank(t.dense, active_sources(t, 1), epsilon=1e-4, symbol="asset").select("case_id", "node", "rank"))

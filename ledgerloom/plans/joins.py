@@ -14,7 +14,7 @@ from ..views import Tables
 @query("label_edge_join", """SELECT d.edge_id, d.case_id, r.stage AS label FROM dense d LEFT JOIN ev_edges r ON d.case_id = r.case_id AND 'R' || substr(d.edge_id, 5, 10) = r.reported_id""")
 def label_edge_join(t: Tables) -> DataFrame:
     labels = t.ev_edges.select("case_id", "reported_id", F.col("stage").alias("label"))
-    return t.dense.withColumn("reported_id", F.expr("concat('R', substr(edge_id, 5, 10))")).join(labels, ["case_id", "reported_id"], "left").select("edge_id", "case_id", "label")
+    return t.dense.withColumn("reported_id", F.expr("concat('R', substr(edge_id, 5))")).join(labels, ["case_id", "reported_id"], "left").select("edge_id", "case_id", "label")
 
 
 _RESOLVE = """WITH r AS (SELECT e.case_id, e.reported_id, coalesce(a.entity_id, e.src) AS src, e.dst FROM ev_edges e LEFT JOIN (SELECT case_id, address, min(entity_id) AS entity_id FROM ev_entities GROUP BY ALL) a ON a.case_id = e.case_id AND a.address = e.src)
@@ -86,11 +86,6 @@ def scanner_label_join(t: Tables) -> DataFrame:
     return named.join(F.broadcast(alias), F.contains(words, F.concat(F.lit(" "), F.regexp_replace("alias", "[^a-z0-9]+", " "), F.lit(" ")))).select("entity_id", "label")
 
 
-@query("attach_address_mappings", """SELECT case_id, address, CASE WHEN confidence = 'C' THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n FROM ev_entities GROUP BY ALL""")
-def attach_address_mappings(t: Tables) -> DataFrame:
-    return t.ev_entities.withColumn("outcome", F.when(F.col("address").rlike("^0x[0-9a-f]{40}$") & (F.col("confidence") != "C"), "accepted").otherwise("rejected")).groupBy("case_id", "address", "outcome").agg(F.count("*").alias("n"))
-
-
 @query("missing_references", """SELECT DISTINCT case_id, n AS address, 'address' AS type FROM (SELECT case_id, src AS n FROM ev_edges UNION ALL SELECT case_id, dst FROM ev_edges) x WHERE (case_id, n) NOT IN (SELECT (case_id, address) FROM ev_entities)""")
 def missing_references(t: Tables) -> DataFrame:
     return E.missing_references(t.ev_edges, t.ev_entities)
@@ -144,9 +139,9 @@ def legacy_path_pairs(t: Tables) -> DataFrame:
     return relational.top_n_per_group(both, ["case_id", "e1"], [relational.hash_order("e1", "e2")], 3).select("case_id", "e1", "e2")
 
 
-@query("reconcile_entities", """SELECT entity_id, CASE WHEN pos % 4 = 0 THEN 'unverifiable' WHEN pos % 6 = 1 OR pos % 6 = 5 THEN 'discrepancy' ELSE 'confirmed' END AS status FROM (SELECT entity_id, pos // 50 AS pos FROM ev_entities) x""")
+@query("reconcile_entities", """SELECT entity_id, CASE WHEN pos % 4 = 0 THEN 'unverifiable' WHEN pos % 6 = 1 OR pos % 6 = 5 THEN 'discrepancy' ELSE 'confirmed' END AS status FROM ev_entities""")
 def reconcile_entities(t: Tables) -> DataFrame:
-    stored = t.ev_entities.select("entity_id", "role", (F.col("pos") / 50).cast("long").alias("k"))
+    stored = t.ev_entities.select("entity_id", "role", F.col("pos").alias("k"))
     fresh = stored.where("k % 4 != 0").withColumn("role", F.when(F.col("k") % 6 == 1, "other").otherwise(F.col("role"))).withColumn("k", F.when(F.col("k") % 6 == 5, -1).otherwise(F.col("k")))
     return E.reconcile(stored, fresh, "entity_id", ["role", "k"]).select("entity_id", "status")
 

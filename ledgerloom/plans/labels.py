@@ -50,50 +50,3 @@ def recommended_action(t: Tables) -> DataFrame:
     who = E.attribution(t.ev_entities).select("case_id", F.col("address").alias("dst"), "role")
     rows = t.ev_edges.withColumn("verified", F.col("verification_status") == "chain_verified").join(who, ["case_id", "dst"], "left")
     return rows.select("reported_id", L.recommended_action("role", "stage", "verified").alias("recommended"), (F.col("verified") & (F.col("confidence") != "C")).alias("gt_usable"))
-
-
-@query("stage_pattern", """SELECT edge_id, CASE WHEN n = 1 AND rn = 1 THEN 'theft' WHEN rn = n THEN 'cash_out' WHEN rn = 1 THEN 'theft' ELSE 'layering' END AS stage, CASE WHEN fan > 3 THEN 'split' ELSE 'direct' END AS pattern FROM (SELECT reported_id AS edge_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, reported_id) AS rn, count(*) OVER (PARTITION BY case_id) AS n, count(*) OVER (PARTITION BY case_id, src) AS fan FROM ev_edges) x""")
-def stage_pattern(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    case = Window.partitionBy("case_id")
-    rows = t.ev_edges.select(F.col("reported_id").alias("edge_id"), F.row_number().over(case.orderBy("ts", "reported_id")).alias("rn"), F.count("*").over(case).alias("n"), F.count("*").over(Window.partitionBy("case_id", "src")).alias("fan"))
-    stage = F.when(F.col("rn") == 1, "theft").when(F.col("rn") == F.col("n"), "cash_out").otherwise("layering")
-    return rows.select("edge_id", stage.alias("stage"), F.when(F.col("fan") > 3, "split").otherwise("direct").alias("pattern"))
-
-
-@query("address_role", """SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'service' WHEN p_type LIKE '%BRASS%' THEN 'attacker_wallet' ELSE 'unknown' END AS role FROM part""")
-def address_role(t: Tables) -> DataFrame:
-    from .scalars import first_rule
-
-    return t.part.select("p_partkey", first_rule("p_type", (("STEEL", "service"), ("BRASS", "attacker_wallet")), "unknown").alias("role"))
-
-
-@query("qa_domain", """SELECT reported_id, CASE WHEN stage = 'theft' OR verification_status = 'chain_verified' THEN 'chain' ELSE 'general' END AS domain FROM ev_edges""")
-def qa_domain(t: Tables) -> DataFrame:
-    triples = F.array(F.struct(F.col("reported_id").alias("subject"), F.lit("stage").alias("predicate"), F.col("stage").alias("object")), F.struct(F.col("reported_id").alias("subject"), F.lit("status").alias("predicate"), F.col("verification_status").alias("object")))
-    chain = F.exists(triples, lambda x: x["object"].isin("theft", "chain_verified"))
-    return t.ev_edges.select("reported_id", F.when(chain, "chain").otherwise("general").alias("domain"))
-
-
-@query("build_entities", """SELECT case_id, address, min(origin) AS origin FROM (SELECT case_id, address, '1-' || role AS origin FROM ev_entities WHERE role IN ('victim', 'attacker_wallet') UNION ALL SELECT case_id, src, '2-mentioned' FROM ev_edges UNION ALL SELECT case_id, dst, '2-mentioned' FROM ev_edges UNION ALL SELECT case_id, address, '3-service' FROM ev_entities WHERE role IN ('mixer', 'exchange_deposit')) x GROUP BY case_id, address""")
-def build_entities(t: Tables) -> DataFrame:
-    known = t.ev_entities.where("role in ('victim', 'attacker_wallet')").select("case_id", "address", F.concat(F.lit("1-"), "role").alias("origin"))
-    text = t.ev_edges.select("case_id", F.concat_ws(" -> ", "src", "dst").alias("text"))
-    said = text.select("case_id", F.explode(C.mentions("text", C.ADDRESS)).alias("address"), F.lit("2-mentioned").alias("origin"))
-    service = t.ev_entities.where("role in ('mixer', 'exchange_deposit')").select("case_id", "address", F.lit("3-service").alias("origin"))
-    return known.unionByName(said).unionByName(service).groupBy("case_id", "address").agg(F.min("origin").alias("origin"))
-
-
-@query("build_report_edges", """SELECT entity_id, 'theft' AS kind, role AS detail FROM ev_entities WHERE role = 'attacker_wallet' UNION ALL SELECT entity_id, 'mixer', chain FROM ev_entities WHERE role = 'mixer' UNION ALL SELECT entity_id, 'cex', confidence FROM ev_entities WHERE role = 'exchange_deposit' UNION ALL SELECT entity_id, 'chain_hop', chain FROM ev_entities WHERE chain <> 'ethereum'""")
-def build_report_edges(t: Tables) -> DataFrame:
-    rule = lambda c, kind, detail: F.when(c, F.struct(F.lit(kind).alias("kind"), F.col(detail).alias("detail")))
-    rules = F.array_compact(F.array(rule(F.col("role") == "attacker_wallet", "theft", "role"), rule(F.col("role") == "mixer", "mixer", "chain"), rule(F.col("role") == "exchange_deposit", "cex", "confidence"), rule(F.col("chain") != "ethereum", "chain_hop", "chain")))
-    return t.ev_entities.select("entity_id", F.explode(rules).alias("e")).select("entity_id", "e.kind", "e.detail")
-
-
-@query("evidence_quality", """WITH n AS (SELECT case_id, count(*) AS n_edges FROM ev_edges GROUP BY 1), m AS (SELECT case_id, count(*) AS n_missing FROM (SELECT DISTINCT case_id, x FROM (SELECT case_id, src AS x FROM ev_edges UNION ALL SELECT case_id, dst FROM ev_edges) y WHERE (case_id, x) NOT IN (SELECT (case_id, address) FROM ev_entities)) z GROUP BY 1) SELECT case_id, n_edges, coalesce(n_missing, 0) AS n_missing, CASE WHEN n_missing IS NULL THEN 'complete' ELSE 'missing_references' END AS status FROM n LEFT JOIN m USING (case_id)""")
-def evidence_quality(t: Tables) -> DataFrame:
-    lost = E.missing_references(t.ev_edges, t.ev_entities).groupBy("case_id").agg(F.count("*").alias("n_missing"))
-    rows = t.ev_edges.groupBy("case_id").agg(F.count("*").alias("n_edges")).join(lost, "case_id", "left")
-    return rows.select("case_id", "n_edges", F.coalesce("n_missing", F.lit(0)).alias("n_missing"), F.when(F.col("n_missing").isNull(), "complete").otherwise("missing_references").alias("status"))

@@ -60,13 +60,6 @@ def address_sample_neighbors(t: Tables) -> DataFrame:
     return t.ev_entities.join(found, ["case_id", "address"], "left").groupBy("entity_id").agg(F.count("edge_id").alias("n_sample"), F.min("edge_id").alias("first_edge"))
 
 
-@query("external_annotations_join", """SELECT e.entity_id, CASE WHEN p = '1' THEN 'flagged_address' ELSE role END AS role, CASE WHEN p = '1' THEN 'A' WHEN p = '2' THEN 'B' ELSE confidence END AS confidence FROM (SELECT *, substr(sha256(address), 1, 1) AS h, CASE WHEN pos % 3 = 0 THEN '1' WHEN pos % 3 = 1 THEN '2' END AS p FROM ev_entities) e""")
-def external_annotations_join(t: Tables) -> DataFrame:
-    notes = t.ev_entities.where("pos % 3 < 2").select("entity_id", F.when(F.col("pos") % 3 == 0, "flagged").otherwise("blue").alias("tag"))
-    rows = t.ev_entities.join(notes, "entity_id", "left")
-    return rows.select("entity_id", F.when(F.col("tag") == "flagged", "flagged_address").otherwise(F.col("role")).alias("role"), F.when(F.col("tag") == "flagged", "A").when(F.col("tag") == "blue", "B").otherwise(F.col("confidence")).alias("confidence"))
-
-
 @query("transaction_tool_summary", f"""SELECT case_id, src, dst, edge_type, count(DISTINCT edge_id) AS n_edges, list(DISTINCT tx_hash ORDER BY tx_hash) AS hashes FROM dense WHERE block_number BETWEEN 7200 * 1000 AND 7200 * 3000 AND (case_id, src) IN (SELECT (case_id, address) FROM ev_entities) GROUP BY ALL""")
 def transaction_tool_summary(t: Tables) -> DataFrame:
     rows = t.dense.where("block_number between 7200 * 1000 and 7200 * 3000").join(_requests(t).withColumnRenamed("address", "src"), ["case_id", "src"], "left_semi")

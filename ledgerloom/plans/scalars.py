@@ -138,33 +138,6 @@ def date_windows(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", w["start"].alias("start_ts"), w["end"].alias("end_ts"))
 
 
-@query(
-    "incident_type",
-    """SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' THEN 'bridge_exploit' WHEN p_type LIKE '%STEEL%' THEN 'key_compromise' WHEN p_type LIKE '%ECONOMY%' THEN 'price_manipulation' ELSE 'other' END AS incident FROM part""",
-)
-def incident_type(t: Tables) -> DataFrame:
-    rules = (("BRASS", "bridge_exploit"), ("STEEL", "key_compromise"), ("ECONOMY", "price_manipulation"))
-    return t.part.select("p_partkey", first_rule("p_type", rules, "other").alias("incident"))
-
-
-def first_rule(c, rules, otherwise):
-    """Value of the first rule whose keyword stands in a text."""
-    out = None
-    for word, value in rules:
-        hit = F.contains(F.col(c), F.lit(word))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(otherwise)
-
-
-@query(
-    "policy_flags",
-    """SELECT entity_id, list_filter([CASE WHEN role = 'mixer' THEN 'no_trace_through_mixer' END, CASE WHEN role = 'exchange_deposit' THEN 'stop_at_exchange' END, CASE WHEN confidence = 'C' THEN 'needs_second_source' END], lambda x: x IS NOT NULL) AS flags FROM ev_entities""",
-)
-def policy_flags(t: Tables) -> DataFrame:
-    flag = lambda c, name: F.when(c, F.lit(name))
-    return t.ev_entities.select("entity_id", F.array_compact(F.array(flag(F.col("role") == "mixer", "no_trace_through_mixer"), flag(F.col("role") == "exchange_deposit", "stop_at_exchange"), flag(F.col("confidence") == "C", "needs_second_source"))).alias("flags"))
-
-
 @query(
     "scanner_targets",
     """SELECT DISTINCT chain, target, kind, CASE chain WHEN 'ethereum' THEN 'https://etherscan.io/' ELSE 'https://bscscan.com/' END || kind || '/' || target AS url FROM (SELECT chain, address AS target, 'address' AS kind FROM ev_entities UNION ALL SELECT 'ethereum', tx_hash, 'tx' FROM ev_edges) x""",
@@ -288,11 +261,6 @@ def public_view(rows: DataFrame) -> DataFrame:
     return out
 
 
-@query("compact_values", """SELECT p_partkey, p_brand || '; ' || p_type AS shown, CASE WHEN p_partkey % 2 = 0 THEN 'list' ELSE 'text' END AS answer_format, substr(p_name, 1, 8) AS short FROM part""")
-def compact_values(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.array_join(F.array("p_brand", "p_type"), "; ").alias("shown"), F.when(F.col("p_partkey") % 2 == 0, "list").otherwise("text").alias("answer_format"), F.substring("p_name", 1, 8).alias("short"))
-
-
 @query(
     "compact_facts",
     """SELECT case_id, list(reported_id ORDER BY reported_id) AS edges, list(substr(stage, 1, 5) ORDER BY reported_id) AS stages FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY reported_id) AS rn FROM ev_edges) x WHERE rn <= 5 GROUP BY case_id""",

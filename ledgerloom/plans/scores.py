@@ -35,13 +35,6 @@ def parse_answers(t: Tables) -> DataFrame:
     return t.events.select("event_id", parsed.alias("a")).select("event_id", "a.kind", "a.k")
 
 
-@query("check_existence_answer", """SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus = 'P' THEN 'no_answer' END, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'count_without_hashes' END, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 <> 0 THEN 'hashes_without_count' END], lambda x: x IS NOT NULL) AS errors FROM orders""")
-def check_existence_answer(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("found"), F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("0x1"))).alias("hashes"))
-    err = lambda c, name: F.when(c, F.lit(name))
-    return rows.select("o_orderkey", F.array_compact(F.array(err(F.col("found").isNull(), "no_answer"), err(F.col("found") & (F.size("hashes") == 0), "count_without_hashes"), err(~F.col("found") & (F.size("hashes") > 0), "hashes_without_count"))).alias("errors"))
-
-
 @query("check_edge_answer", """SELECT case_id AS task_id, ['missing', 'probability', 'repeated', 'unknown'] AS errors, count(*) FILTER (asset = 'R') + count(*) FILTER (asset = 'N' AND status = 'F') + count(*) FILTER (asset = 'A' AND status = 'P') + count(*) FILTER (asset <> 'R' AND edge_type = 1) AS n_errors FROM dense GROUP BY case_id""")
 def check_edge_answer(t: Tables) -> DataFrame:
     base = t.dense.select(F.col("case_id").alias("task_id"), "edge_id", "asset", "status", "edge_type")
@@ -53,20 +46,6 @@ def check_edge_answer(t: Tables) -> DataFrame:
     return S.edge_answer_errors(rows.unionByName(twice), asked).select("task_id", "errors", "n_errors")
 
 
-@query("check_sequential_answer", """WITH RECURSIVE r(case_id, node) AS (SELECT DISTINCT case_id, src FROM ev_edges WHERE stage = 'theft' UNION SELECT e.case_id, e.dst FROM r JOIN ev_edges e ON e.case_id = r.case_id AND e.src = r.node) SELECT case_id, count(*) AS n_steps, count(*) FILTER ((case_id, src) NOT IN (SELECT (case_id, node) FROM r)) AS n_unreachable FROM ev_edges GROUP BY case_id""")
-def check_sequential_answer(t: Tables) -> DataFrame:
-    from .graph import reachability_check
-
-    bad = reachability_check(t).groupBy("case_id").agg(F.count("*").alias("n_unreachable"))
-    return t.ev_edges.groupBy("case_id").agg(F.count("*").alias("n_steps")).join(bad, "case_id", "left").na.fill(0, ["n_unreachable"])
-
-
-@query("protocol_existence", """SELECT case_id, src, count(*) AS n_calls, count(*) FILTER (edge_type = 0 AND block_number BETWEEN 7200 * 500 AND 7200 * 3500) AS n_valid, bool_and(edge_type = 0) AS right_type FROM dense WHERE priority = '3-MEDIUM' GROUP BY ALL""")
-def protocol_existence(t: Tables) -> DataFrame:
-    ok = (F.col("edge_type") == 0) & F.col("block_number").between(7200 * 500, 7200 * 3500)
-    return t.dense.where("priority = '3-MEDIUM'").groupBy("case_id", "src").agg(F.count("*").alias("n_calls"), F.count_if(ok).alias("n_valid"), F.bool_and(F.col("edge_type") == 0).alias("right_type"))
-
-
 @query("protocol_tracing", """SELECT case_id AS task_id, count(DISTINCT dst) AS groups, count(DISTINCT CASE WHEN status = 'F' AND edge_type = 0 THEN dst END) AS covered, count(*) FILTER (status = 'F' AND edge_type = 0 AND asset = 'A') AS repeated, CAST(0 AS BIGINT) AS outside FROM dense GROUP BY case_id""")
 def protocol_tracing(t: Tables) -> DataFrame:
     groups = t.dense.select(F.col("case_id").alias("task_id"), "edge_id", F.col("dst").alias("group_id"))
@@ -74,14 +53,6 @@ def protocol_tracing(t: Tables) -> DataFrame:
     return S.protocol_cover(calls.unionByName(calls.where("asset = 'A'")), groups).select("task_id", "groups", "covered", "repeated", "outside")
 
 
-@query("score_existence", """SELECT case_id, src, CASE WHEN nf = 0 AND ng = 0 THEN 1.0 WHEN nf = 0 THEN 0.0 ELSE nb / nf END AS prec, CASE WHEN nf = 0 AND ng = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE nb / ng END AS recall, nf = ng AS count_right FROM (SELECT case_id, src, count(*) FILTER (asset = 'A' AND priority = '1-URGENT') AS ng, count(*) FILTER (asset = 'A' AND status = 'F') AS nf, count(*) FILTER (asset = 'A' AND priority = '1-URGENT' AND status = 'F') AS nb FROM dense GROUP BY ALL) x""")
-def score_existence(t: Tables) -> DataFrame:
-    gold, found = F.expr("asset = 'A' and priority = '1-URGENT'"), F.expr("asset = 'A' and status = 'F'")
-    rows = t.dense.groupBy("case_id", "src").agg(F.count_if(gold).alias("ng"), F.count_if(found).alias("nf"), F.count_if(gold & found).alias("nb"))
-    precision, recall = S.precision_recall(F.col("nb"), F.col("nf"), F.col("ng"), 1.0)
-    return rows.select("case_id", "src", precision.alias("prec"), recall.alias("recall"), (F.col("nf") == F.col("ng")).alias("count_right"))
-
-
 _RANK = "r AS (SELECT *, row_number() OVER (PARTITION BY case_id, src ORDER BY p_follow DESC, edge_id) AS rank FROM a)"
 
 
@@ -120,36 +91,12 @@ def ece(t: Tables) -> DataFrame:
     return S.ece(rows, ["lang"], "p", "quality")
 
 
-@query("score_sequential", f"WITH {_PRED}, s AS (SELECT case_id, src, count(*) FILTER (p_follow >= 0.5) AS nf, count(*) FILTER (gold = 'follow') AS ng, count(*) FILTER (p_follow >= 0.5 AND gold = 'follow') AS nb FROM a GROUP BY ALL) SELECT case_id, avg(CASE WHEN nf = 0 THEN 0.0 ELSE nb / nf END) AS prec, avg(CASE WHEN ng = 0 THEN 0.0 ELSE nb / ng END) AS recall, count(*) AS n_states FROM s GROUP BY case_id")
-def score_sequential(t: Tables) -> DataFrame:
-    sel, gold = F.col("p_follow") >= 0.5, F.col("gold") == "follow"
-    states = predictions(t).groupBy("case_id", "src").agg(F.count_if(sel).alias("nf"), F.count_if(gold).alias("ng"), F.count_if(sel & gold).alias("nb"))
-    precision, recall = S.precision_recall(F.col("nb"), F.col("nf"), F.col("ng"), 0.0)
-    return states.groupBy("case_id").agg(F.avg(precision).alias("prec"), F.avg(recall).alias("recall"), F.count("*").alias("n_states"))
-
-
-@query("attach_protocol", """SELECT o_orderkey, o_orderstatus = 'F' AND o_totalprice > 100000 AS overall, 5 * least(1.0, o_totalprice / 300000) AS groundedness FROM orders""")
-def attach_protocol(t: Tables) -> DataFrame:
-    task, protocol = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000
-    return t.orders.select("o_orderkey", (task & protocol).alias("overall"), (5 * F.least(F.lit(1.0), F.col("o_totalprice") / 300000)).alias("groundedness"))
-
-
 @query("normalize_judgements", """SELECT event_id, least(5.0, greatest(0.0, value / 10)) AS score, least(5.0, greatest(0.0, value / 10)) >= 3 AS passed FROM events""")
 def normalize_judgements(t: Tables) -> DataFrame:
     score = F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(F.col("value") / 10, F.lit(0.0))))
     return t.events.select("event_id", score.alias("score"), (score >= 3).alias("passed"))
 
 
-@query("repair_guard", """SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderkey % 2 = 0 AS accepted FROM orders""")
-def repair_guard(t: Tables) -> DataFrame:
-    answer = lambda decision, errors: F.struct(decision.alias("decision"), errors.alias("errors"))
-    original = answer(F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("selected"))).otherwise(F.array(F.lit("selected"), F.lit("probability"))))
-    repaired = answer(F.when(F.col("o_orderstatus") == "P", "X").otherwise(F.col("o_orderstatus")), F.array().cast("array<string>"))
-    same = F.to_json(F.struct(original["decision"].alias("d"))) == F.to_json(F.struct(repaired["decision"].alias("d")))
-    only = original["errors"] == F.array(F.lit("selected"))
-    return t.orders.select("o_orderkey", (same & only).alias("accepted"))
-
-
 @query("run_experiment")
 def run_experiment(t: Tables) -> DataFrame:
     """Policies over all cases: predictions by mode, scored and summed up."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from ..operators.relational import top_n_per_group
+from ..operators.relational import kept, top_n_per_group
 from ..registry import query
 from ..views import Tables
 
@@ -41,11 +41,28 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 @query(
     "nearest_task",
-    f"""WITH d AS (SELECT DISTINCT page_id, unnest(list_filter(regexp_extract_all(lower(url), '0x[0-9a-f]+|[a-z0-9_:-]{{2,}}'), lambda x: x <> '')) AS tok FROM pages), p AS (SELECT a.page_id, b.page_id AS nearest, count(*) AS shared FROM d a JOIN d b ON a.tok = b.tok AND a.page_id <> b.page_id GROUP BY ALL) SELECT page_id, nearest, shared FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY shared DESC, nearest) AS rn FROM p WHERE page_id % 5 = 0) x WHERE rn = 1""",
+    f"""WITH d AS (SELECT DISTINCT page_id, unnest(list_filter(regexp_extract_all(lower(url), '0x[0-9a-f]+|[a-z0-9_:-]{{2,}}'), lambda x: x <> '')) AS tok FROM pages), p AS (SELECT a.page_id, b.page_id AS nearest, count(*) AS shared FROM d a JOIN d b ON a.tok = b.tok AND a.page_id <> b.page_id GROUP BY ALL) SELECT page_id, nearest, shared FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY shared DESC, nearest) AS rn FROM p) x WHERE rn = 1""",
 )
 def nearest_task(t: Tables) -> DataFrame:
-    bag = t.pages.select("page_id", F.explode(F.array_distinct(tokens("url"))).alias("tok"))
-    asked = bag.where("page_id % 5 = 0")  # the stated query set
-    both = asked.join(bag.withColumnRenamed("page_id", "nearest"), "tok").where("page_id != nearest")
-    shared = both.groupBy("page_id", "nearest").agg(F.count("*").alias("shared"))
-    return top_n_per_group(shared, ["page_id"], [F.desc("shared"), F.col("nearest")], 1)
+    return nearest_by_tokens(t.pages.select("page_id", F.explode(F.array_distinct(tokens("url"))).alias("tok")), "page_id")
+
+
+def nearest_by_tokens(bag: DataFrame, key: str) -> DataFrame:
+    """For each key of a bag (key, tok; no repeats) the other one that shares the most tokens, the first by key among equals.
+
+    Tokens that all keys hold add the same to every pair: they are counted, not joined. A key that shares no other token
+    is nearest to the first of all keys but itself.
+    """
+    bag = kept(bag)
+    sizes = bag.groupBy("tok").agg(F.count("*").alias("df"))
+    n = bag.select(key).distinct().agg(F.count("*").alias("n"))
+    marked = kept(sizes.join(F.broadcast(n)).withColumn("everywhere", F.col("df") == F.col("n")))
+    common = marked.where("everywhere").agg(F.count("*").alias("common"))
+    rest = bag.join(marked.where("not everywhere and df > 1").select("tok"), "tok")
+    both = rest.join(rest.withColumnRenamed(key, "nearest"), "tok").where(F.col(key) != F.col("nearest"))
+    shared = both.groupBy(key, "nearest").agg(F.count("*").alias("shared"))
+    # The first two keys stand for all that share no rarer token.
+    first = bag.select(F.col(key).alias("nearest")).distinct().orderBy("nearest").limit(2)
+    other = bag.select(key).distinct().join(F.broadcast(first)).where(F.col(key) != F.col("nearest")).withColumn("shared", F.lit(0))
+    best = top_n_per_group(shared.unionByName(other), [key], [F.desc("shared"), F.col("nearest")], 1)
+    return best.join(F.broadcast(common)).withColumn("shared", F.col("shared") + F.col("common")).drop("common").where("shared > 0")

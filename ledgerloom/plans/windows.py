@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import padded
 from ..operators import evidence as E
 from ..operators import features as W
 from ..operators import policies, relational
@@ -101,12 +102,10 @@ def dedup_keep_first(t: Tables) -> DataFrame:
     return first.join(last, ["case_id", "src", "dst"])
 
 
-@query("sequence_ids", """SELECT reported_id, case_id || ':' || lpad(CAST(row_number() OVER (PARTITION BY case_id ORDER BY reported_id) AS VARCHAR), 4, '0') || ':' || stage AS qa_id FROM ev_edges""")
+@query("sequence_ids", """SELECT reported_id, case_id || ':' || lpad(CAST(n AS VARCHAR), greatest(4, length(CAST(n AS VARCHAR)))::INTEGER, '0') || ':' || stage AS qa_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY reported_id) AS n FROM ev_edges) x""")
 def sequence_ids(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("case_id").orderBy("reported_id"))
-    return t.ev_edges.select("reported_id", F.concat_ws(":", "case_id", F.lpad(n.cast("string"), 4, "0"), "stage").alias("qa_id"))
+    rows = relational.numbered(t.ev_edges.select("case_id", "reported_id", "stage"), ["case_id"], ["reported_id"])
+    return rows.select("reported_id", F.concat_ws(":", "case_id", padded("n", 4), "stage").alias("qa_id"))
 
 
 @query("temporal_encoding", """WITH x AS (SELECT edge_id, (ts - min(ts) OVER (PARTITION BY case_id)) / (max(ts) OVER (PARTITION BY case_id) - min(ts) OVER (PARTITION BY case_id)) AS t FROM dense) SELECT edge_id, t, """ + ", ".join(f"{n}(t * {f} * pi()) AS {n}{f}" for f in (1, 2, 4, 8) for n in ("sin", "cos")) + " FROM x")
@@ -134,15 +133,13 @@ def prevalence_sample(t: Tables) -> DataFrame:
 def sampled_to_rate(rows: DataFrame, label: str, rate: float, order) -> DataFrame:
     """All positives, and negatives in a hash order until positives are the given share.
 
-    The cut is the hash at the wanted rank, found by a distributed sort of the negatives; no window holds them all.
+    Negatives are numbered in a sort over all tasks, so that neither a window nor a limit holds them all.
     """
-    n_pos = rows.where(F.col(label)).count()
-    want = int(n_pos * (1 - rate) / rate)
     marked = rows.withColumn("__h", order)
-    neg = marked.where(~F.col(label))
-    cut = neg.select("__h").orderBy("__h").limit(want).agg(F.max("__h").alias("cut"))
-    kept = neg.join(F.broadcast(cut)).where(F.col("__h") <= F.col("cut")).drop("cut")
-    return marked.where(F.col(label)).unionByName(kept).drop("__h")
+    n = rows.agg(F.count_if(F.col(label)).alias("__positive"))
+    ranked = relational.numbered(marked.where(~F.col(label)).withColumn("__all", F.lit(0)), ["__all"], ["__h"], "__n")
+    few = ranked.join(F.broadcast(n)).where(F.col("__n") <= F.floor(F.col("__positive") * (1 - rate) / rate + 1e-9))
+    return marked.where(F.col(label)).drop("__h").unionByName(few.drop("__h", "__n", "__all", "__positive"))
 
 
 @query("select_seeds", """WITH s AS (SELECT case_id, src, max(amount) AS mx, sum(amount) AS total, count(*) AS n FROM dense GROUP BY ALL), p AS (SELECT case_id, src, mx::DOUBLE / (max(mx) OVER (PARTITION BY case_id))::DOUBLE AS p FROM s) SELECT case_id, src FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p DESC, src) AS rn FROM p WHERE p >= 0.9) x WHERE rn <= 3""")

@@ -13,7 +13,7 @@ from .views import VIEW_SQL, Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Modules that register queries, in the order of the inventory.
-PLANS = ("flows", "scalars", "sources", "lookups", "joins", "aggregates", "windows", "graph", "labels", "tasks", "questions", "checks", "scores", "learned", "texts")
+PLANS = ("flows", "scalars", "sources", "lookups", "joins", "aggregates", "windows", "graph", "labels", "tasks", "questions", "reports", "checks", "scores", "answers", "learned", "texts")
 
 
 def with_views(sql: str) -> str:

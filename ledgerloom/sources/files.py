@@ -16,6 +16,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -64,7 +66,10 @@ def replace_partitions(spark: SparkSession, path: str, old: DataFrame, new: Data
     old.repartition(*keys).write.partitionBy(*keys).parquet(path)
     purged = spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("purged"))
     counts = purged.join(new.groupBy(*keys).agg(F.count("*").alias("inserted")), list(keys))
-    out = spark.createDataFrame(counts.collect(), counts.schema)  # one row a partition
+    # The counts are written, as what they were read from is about to be replaced.
+    at = scratch(spark, "counts")
+    counts.write.parquet(at)
+    out = spark.read.schema(counts.schema).parquet(at)
     new.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return out
 

@@ -107,7 +107,7 @@ def test_chains_and_paths(spark):
 
 def test_ranks_add_up(spark):
     e = edges(spark, [("1", A, B, 3.0, 1), ("2", A, CC, 1.0, 2), ("3", B, D, 1.0, 3), ("4", D, A, 1.0, 4)])
-    rows = graphs.push_rank(e, active(spark, A), epsilon=1e-6, rounds=60).collect()
+    rows = graphs.push_rank(e, active(spark, A), epsilon=1e-6).collect()
     assert abs(sum(r["rank"] + r.residual for r in rows) - 1) < 1e-6
     rank = {r.node: r["rank"] for r in rows}
     assert rank[B] > rank[D]

@@ -11,7 +11,7 @@ from ..registry import query
 from ..views import Tables
 
 
-@query("label_edge_join", """SELECT d.edge_id, d.case_id, r.stage AS label FROM dense d LEFT JOIN ev_edges r ON d.case_id = r.case_id AND 'R' || substr(d.edge_id, 5, 10) = r.reported_id""")
+@query("label_edge_join", """SELECT d.edge_id, d.case_id, r.stage AS label FROM dense d LEFT JOIN ev_edges r ON d.case_id = r.case_id AND 'R' || substr(d.edge_id, 5) = r.reported_id""")
 def label_edge_join(t: Tables) -> DataFrame:
     labels = t.ev_edges.select("case_id", "reported_id", F.col("stage").alias("label"))
     return t.dense.withColumn("reported_id", F.expr("concat('R', substr(edge_id, 5))")).join(labels, ["case_id", "reported_id"], "left").select("edge_id", "case_id", "label")
@@ -91,15 +91,15 @@ def missing_references(t: Tables) -> DataFrame:
     return E.missing_references(t.ev_edges, t.ev_entities)
 
 
-@query("evidence_keyword_join", """SELECT region, source_id FROM (SELECT r_name AS region, source_id, row_number() OVER (PARTITION BY r_name ORDER BY pos) AS rn FROM region JOIN ev_sources ON contains(lower(finding), lower(r_name)) WHERE grade IN ('A', 'B', 'C', 'D')) x WHERE rn <= 5""")
+@query("evidence_keyword_join", """SELECT report_id, source_id FROM (SELECT report_id, source_id, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS rn FROM reports JOIN ev_sources ON contains(lower(finding), lower(victims[1])) WHERE grade IN ('A', 'B', 'C', 'D')) x WHERE rn <= 5""")
 def evidence_keyword_join(t: Tables) -> DataFrame:
-    words = t.region.select(F.col("r_name").alias("region"))
-    return E.keyword_sources(words, F.broadcast(t.ev_sources.where("grade in ('A', 'B', 'C', 'D')")), "region", "finding").select("region", "source_id")
+    words = t.reports.select("report_id", F.col("victims")[0].alias("keyword"))
+    return E.keyword_sources(words, F.broadcast(t.ev_sources.where("grade in ('A', 'B', 'C', 'D')")), "keyword", "finding").select("report_id", "source_id")
 
 
-@query("source_support_join", """SELECT n.n_nationkey AS fact, list(s.entity ORDER BY s.source_id) AS entities, min(s.grade) AS best FROM nation n JOIN ev_sources s ON s.pos IN (n.n_nationkey, (n.n_nationkey + 7) % 25) GROUP BY 1""")
+@query("source_support_join", """SELECT o_orderkey AS fact, list(s.entity ORDER BY s.source_id) AS entities, min(s.grade) AS best FROM orders JOIN ev_sources s ON s.pos IN (o_orderkey % 25, (o_orderkey + 7) % 25) GROUP BY 1""")
 def source_support_join(t: Tables) -> DataFrame:
-    facts = t.nation.select(F.col("n_nationkey").alias("fact"), F.explode(F.array("n_nationkey", (F.col("n_nationkey") + 7) % 25)).alias("pos"))
+    facts = t.orders.select(F.col("o_orderkey").alias("fact"), F.explode(F.array(F.col("o_orderkey") % 25, (F.col("o_orderkey") + 7) % 25)).alias("pos"))
     rows = facts.join(F.broadcast(t.ev_sources), "pos").groupBy("fact").agg(F.sort_array(F.collect_list(F.struct("source_id", "entity"))).alias("s"), F.min("grade").alias("best"))
     return rows.select("fact", F.col("s.entity").alias("entities"), "best")
 
@@ -153,10 +153,10 @@ def reconcile_edges(t: Tables) -> DataFrame:
     return E.reconcile(stored, fresh, "edge_id", ["src", "dst"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select_cases", """SELECT n_nationkey AS pos, n_name AS case_dir FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0)""")
+@query("select_cases", """SELECT c_custkey AS pos, c_name AS case_dir FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders)""")
 def select_cases(t: Tables) -> DataFrame:
-    allowed = t.nation.where("n_regionkey in (1, 3)").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("case_dir"))
-    there = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("case_dir"))
+    allowed = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("case_dir"))
+    there = t.orders.select(F.col("o_custkey").alias("pos")).distinct().join(t.customer.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("case_dir")), "pos").select("case_dir")
     return allowed.join(there, "case_dir", "left_semi").select("pos", "case_dir").orderBy("pos")
 
 

@@ -119,11 +119,11 @@ def short_id(t: Tables) -> DataFrame:
 
 @query(
     "slugs_and_ids",
-    """SELECT n_nationkey, trim(regexp_replace(lower(n_name || ' & Co.'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') || '_2022' AS case_key FROM nation""",
+    """SELECT c_custkey, trim(regexp_replace(lower(c_name || ' & Co.'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') || '_2022' AS case_key FROM customer""",
 )
 def slugs_and_ids(t: Tables) -> DataFrame:
-    case = F.concat(F.lit("01-2022-"), F.col("n_name"), F.lit("-2022"))
-    return t.nation.select("n_nationkey", C.slug(F.concat(F.col("n_name"), F.lit(" & Co."))).alias("slug"), C.compact_case_id(case).alias("case_key"))
+    case = F.concat(F.lit("01-2022-"), F.col("c_name"), F.lit("-2022"))
+    return t.customer.select("c_custkey", C.slug(F.concat(F.col("c_name"), F.lit(" & Co."))).alias("slug"), C.compact_case_id(case).alias("case_key"))
 
 
 @query("parse_amounts", """SELECT o_orderkey, floor(o_totalprice) AS amount, 'USDC' AS symbol FROM orders""")

@@ -29,10 +29,18 @@ def scan_case_documents(t: Tables) -> DataFrame:
     return S.case_documents(rows, ("summary", "evidence"))
 
 
-@query("discover_documents", """SELECT CASE WHEN grade IN ('A', 'B') THEN 'main' ELSE 'other' END AS namespace, count(*) AS n FROM report_docs WHERE source_type <> 'forum' GROUP BY 1""")
+_FOLDER = "CASE source_type WHEN 'forum' THEN '_skipped' WHEN 'audit' THEN '01-audit' ELSE '02-news' END"
+
+
+@query("discover_documents", f"""SELECT * FROM (SELECT CASE WHEN grade IN ('A', 'B') THEN 'main' ELSE 'other' END AS namespace, {_FOLDER} AS case_dir, count(*) AS n_rows, true AS sized FROM report_docs GROUP BY ALL) x WHERE case_dir <> '_skipped'""")
 def discover_documents(t: Tables) -> DataFrame:
-    listed = t.report_docs.select(F.concat(F.lit("/data/"), F.when(F.col("grade").isin("A", "B"), "main").otherwise("other"), F.lit("/"), F.when(F.col("source_type") == "forum", "_skipped").otherwise("01-case"), F.lit("/"), F.col("filename")).alias("path"))
-    return S.discovered(listed, "[.]pdf$").groupBy("namespace").agg(F.count("*").alias("n"))
+    """Document files below a folder, by namespace and case folder, with the rows that they hold."""
+    path = S.scratch(t.spark, "documents")
+    rows = t.report_docs.select(F.when(F.col("grade").isin("A", "B"), "main").otherwise("other").alias("namespace"), F.expr(_FOLDER).alias("case_dir"), "url", "filename")
+    rows.repartition("namespace", "case_dir").write.partitionBy("namespace", "case_dir").json(path)
+    files = S.document_files(t.spark, path, "*.json")
+    held = t.spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count("*").alias("n_rows"))
+    return files.join(held, "path").groupBy("namespace", "case_dir").agg(F.sum("n_rows").alias("n_rows"), F.bool_and(F.col("n_bytes") > 0).alias("sized"))
 
 
 @query("sink_jsonl", """SELECT o_orderpriority AS case_dir, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
@@ -64,19 +72,26 @@ def export_table(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("is_hard_negative", F.col("label") == "hard_negative").withColumn("is_boundary", F.col("label") == "boundary")
 
 
-@query("verify_manifest", """SELECT n_regionkey AS part, count(*) AS n_rows, true AS matches FROM nation GROUP BY 1""")
+@query("verify_manifest", """SELECT o_orderstatus AS part, o_orderstatus = 'F' AS matches, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'changed' ELSE 'missing,unlisted' END AS statuses FROM orders GROUP BY 1""")
 def verify_manifest(t: Tables) -> DataFrame:
-    rows = t.nation.select(F.col("n_regionkey").alias("part"), F.concat_ws("|", "n_nationkey", "n_name").alias("line"))
-    now = S.table_digests(rows, "part", "line")
-    before = S.table_digests(rows.repartition(3), "part", "line")
-    both = now.alias("a").join(before.alias("b"), "part", "full_outer")
-    return both.select("part", F.col("a.n_rows").alias("n_rows"), F.coalesce((F.col("a.digest") == F.col("b.digest")) & (F.col("a.n_rows") == F.col("b.n_rows")), F.lit(False)).alias("matches"))
-
-
-@query("restore_local_artifacts", """SELECT n_name AS case_dir, n_nationkey AS doc FROM nation WHERE n_nationkey % 5 <> 0""")
+    """Files held against a manifest of their digests; here one part has changed and one has other names since."""
+    path = S.scratch(t.spark, "files")
+    t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").repartition("o_orderstatus").write.option("maxRecordsPerFile", 100_000).partitionBy("o_orderstatus").json(path)
+    files = S.file_digests(t.spark, path)
+    part = F.regexp_extract("path", "o_orderstatus=([^/]*)", 1)
+    at = S.scratch(t.spark, "manifest")
+    changed = F.when(part == "O", F.sha2("sha256", 256)).otherwise(F.col("sha256"))
+    files.select(F.when(part == "P", F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"), "n_bytes", changed.alias("sha256")).write.json(at)
+    manifest = t.spark.read.schema("path string, n_bytes long, sha256 string").json(at)
+    return S.verified(files, manifest).groupBy(part.alias("part")).agg(F.bool_and(F.col("status") == "ok").alias("matches"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+
+
+@query("restore_local_artifacts", """SELECT o_orderkey AS doc, 'case ' || CAST(o_custkey AS VARCHAR) AS case_dir FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def restore_local_artifacts(t: Tables) -> DataFrame:
-    published = t.nation.select(F.when(F.col("n_nationkey") % 5 == 0, F.lit("../x")).otherwise(F.col("n_name")).alias("case_dir"), F.col("n_nationkey").alias("doc"))
-    return S.restorable(published, published.limit(0).select("case_dir"), force=False).select("case_dir", "doc")
+    name = F.concat(F.lit("case "), F.col("o_custkey").cast("string"))
+    published = t.orders.select(F.when(F.col("o_orderkey") % 5 == 0, F.lit("../x")).otherwise(name).alias("case_dir"), F.col("o_orderkey").alias("doc"))
+    existing = t.customer.where("c_acctbal < 0").select(F.concat(F.lit("case "), F.col("c_custkey").cast("string")).alias("case_dir"))
+    return S.restorable(published, existing, force=False).select("case_dir", "doc")
 
 
 @query("upsert_latest", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, 100 AS created_at FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice + 1, 200 FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0""")
@@ -113,11 +128,13 @@ def scan_transfer_sheet(t: Tables) -> DataFrame:
     return sheet.select("tx_hash", F.col("timestamp").cast("long").alias("ts"), "from_address", "to_address", F.col("value").cast("double").alias("value"))
 
 
-@query("case_list_scan", """SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) AS pos, 1 AS times FROM nation""")
+@query("case_list_scan", """SELECT 'case ' || CAST(c_custkey AS VARCHAR) AS name, row_number() OVER (ORDER BY c_custkey) AS pos, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS times FROM customer""")
 def case_list_scan(t: Tables) -> DataFrame:
+    """An ordered list in several files, with comments, blank lines and names that stand twice."""
     path = S.scratch(t.spark, "list")
-    lines = t.nation.select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "  # comment").otherwise("")).alias("value"), "n_nationkey")
-    lines.coalesce(1).sortWithinPartitions("n_nationkey").select("value").write.text(path)
+    name = F.concat(F.lit("case "), F.col("c_custkey").cast("string"))
+    lines = t.customer.select("c_custkey", F.explode(F.array_compact(F.array(F.concat(name, F.lit("  # comment")), F.lit(""), F.when(F.col("c_custkey") % 10 == 0, name)))).alias("value"))
+    lines.orderBy("c_custkey").select("value").write.option("maxRecordsPerFile", 100_000).text(path)
     return S.case_list(t.spark, path)
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import version_parts
@@ -42,17 +42,33 @@ def case_documents(rows: DataFrame, artifacts: Sequence[str]) -> DataFrame:
     return out.select("case_dir", "n_stages", (F.size(F.array_except(F.array(*map(F.lit, artifacts)), "have")) == 0).alias("complete"))
 
 
-def discovered(paths: DataFrame, pattern: str) -> DataFrame:
-    """Documents by name, but for folders that start with _ or xx-, with namespace, case folder and name."""
+def document_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Files below a folder by name, but for folders that start with _ or xx-: path, n_bytes, modified, and namespace, case
+    folder and name by the layout (<namespace>/<case>/<file>, also as key=value folders). Only metadata are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return discovered(files.select("path", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified")))
+
+
+def discovered(files: DataFrame, pattern: str = ".") -> DataFrame:
+    """Files (path and more) by name, but for folders that start with _ or xx-, with namespace, case folder and name."""
     parts = F.split("path", "/")
-    rows = paths.where(F.col("path").rlike(pattern) & ~F.col("path").rlike("/(?:_|xx-)[^/]*/"))
-    return rows.select("path", F.element_at(parts, -3).alias("namespace"), F.element_at(parts, -2).alias("case_dir"), F.element_at(parts, -1).alias("name"))
+    folder = lambda i: F.regexp_replace(F.element_at(parts, i), "^[^=]*=", "")
+    rows = files.where(F.col("path").rlike(pattern) & ~F.col("path").rlike("/(?:[^/=]*=)?(?:_|xx-)[^/]*/"))
+    return rows.select(*files.columns, folder(-3).alias("namespace"), folder(-2).alias("case_dir"), F.element_at(parts, -1).alias("name"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, n_bytes and SHA-256 of the files below a folder. A file is read by one task; writers bound its rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def table_digests(rows: DataFrame, part: str, line: str) -> DataFrame:
-    """Rows and an order-free digest by part, to hold against a manifest. No part is gathered: the digest adds up row hashes."""
-    half = lambda i: F.sum(F.conv(F.substring(F.sha2(line, 256), i, 12), 16, 10).cast("decimal(38,0)"))
-    return rows.groupBy(part).agg(F.count("*").alias("n_rows"), F.concat_ws(":", half(1).cast("string"), half(13).cast("string")).alias("digest"))
+def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path and status of files held against a manifest: ok, changed, missing (no file) or unlisted."""
+    both = files.alias("f").join(manifest.alias("m"), "path", "full_outer")
+    same = (F.col("f.n_bytes") == F.col("m.n_bytes")) & (F.col("f.sha256") == F.col("m.sha256"))
+    status = F.when(F.col("f.sha256").isNull(), "missing").when(F.col("m.sha256").isNull(), "unlisted").when(same, "ok").otherwise("changed")
+    return both.select("path", status.alias("status"))
 
 
 def restorable(published: DataFrame, existing: DataFrame, force: bool) -> DataFrame:
@@ -91,11 +107,15 @@ def transfer_sheet(sheet: DataFrame) -> DataFrame:
 
 
 def case_list(spark: SparkSession, path: str) -> DataFrame:
-    """Names of an ordered list file, without comments and blanks: name, pos, times (more than 1 is an error)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    names = lines.select("at", F.trim(F.regexp_replace("line", "#.*$", "")).alias("name")).where("name != ''")
-    first = names.groupBy("name").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("times"))
-    return first.select("name", F.row_number().over(Window.orderBy("at")).cast("long").alias("pos"), "times")
+    """Names of an ordered list, in one file or several in the order of their names, without comments and blanks: name, pos,
+    times (more than 1 is an error)."""
+    from ..operators.relational import numbered
+
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    names = lines.select("file", "at", F.trim(F.regexp_replace("line", "#.*$", "")).alias("name")).where("name != ''")
+    first = names.groupBy("name").agg(F.min(F.struct("file", "at")).alias("first"), F.count("*").cast("int").alias("times"))
+    rows = first.select("name", "times", "first.*", F.lit(0).alias("all"))
+    return numbered(rows, ["all"], ["file", "at"], "pos").select("name", F.col("pos").cast("long").alias("pos"), "times")
 
 
 def latest_version(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

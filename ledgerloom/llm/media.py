@@ -4,10 +4,10 @@
 or more a task. An archive is written under a name of its own and counts only if the table of archives that
 ``store`` returns names it, so that what a lost or repeated task leaves behind is never read.
 
-The data source ``archive_media`` plans from that table's names and sizes alone: each archive is cut into byte
-ranges. A reader takes the members whose headers start in its range, by the directory at the archive's end,
-streams them in Arrow batches of bounded size, and retries each member on its own, by its offset, with a
-file opened anew.
+The data source ``archive_media`` plans from a written index of names and sizes, one row an archive: each archive is
+cut into byte ranges. A task gets its range alone. A reader takes the members whose headers start in its range, by the
+directory at the archive's end, streams them in Arrow batches of bounded size, and retries each member on its own, by its
+offset, with a file opened anew.
 
 A null text counts as empty; an empty payload is one row of zeros. Members keep the key of their row, null
 keys too, and rows that repeat are members of their own. An archive of no members is not written.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import struct
 import time
 import uuid
@@ -25,10 +24,12 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,8 +106,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives below ``folder``; returns the table of archives: path, n_members, n_bytes."""
-    folder = folder.replace("file:///", "/") if folder.startswith("file:///") else folder.replace("file:/", "/") if folder.startswith("file:/") else folder
-
+    folder = _plain(folder)
     small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ class ByteRange(InputPartition):
 
 
 class ArchiveMedia(DataSource):
-    """Options: ``archives`` (JSON list of [path, bytes]) and ``range_bytes``."""
+    """Options: ``index`` (a folder of Parquet files with path and n_bytes of each archive) and ``range_bytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -177,11 +177,12 @@ class ArchiveMedia(DataSource):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
-        self.archives = json.loads(options["archives"])
+        self.index = options["index"]
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in self.archives for at in range(0, size, self.range_bytes)]
+        archives = sorted(zip(*(c.to_pylist() for c in read_index(self.index).columns)))
+        return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in archives for at in range(0, size, self.range_bytes)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks for one partition where none is planned
@@ -205,6 +206,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "member", "offset", "media"])
 
 
+def read_index(folder: str) -> pa.Table:
+    """path and n_bytes of all archives of an index."""
+    fs, at = _filesystem(folder)
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")]
+    parts = [pq.read_table(p, columns=["path", "n_bytes"], filesystem=fs) for p in sorted(files)]
+    return pa.concat_tables(parts) if parts else pa.table({"path": pa.array([], pa.string()), "n_bytes": pa.array([], pa.int64())})
+
+
+@lru_cache(maxsize=2)
 def directory(path: str) -> list[zipfile.ZipInfo]:
     """Members of an archive, from the directory at its end."""
     fs, at = _filesystem(path)
@@ -242,11 +252,17 @@ def _retried(what, tries: int = TRIES):
 def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Members of the archives that the table names: doc_id, member, offset, media.
 
-    Names and sizes of archives, one for ``ARCHIVE_BYTES`` of payload, are all that planning gathers.
+    The index is written to the shared folder; planning reads it there, one row for ``ARCHIVE_BYTES`` of payload.
     """
     spark.dataSource.register(ArchiveMedia)
-    named = [[r["path"], r["n_bytes"]] for r in archives.select("path", "n_bytes").orderBy("path").collect()]
-    return spark.read.format("archive_media").option("archives", json.dumps(named)).option("range_bytes", range_bytes).load()
+    index = fresh_path(spark, "index")
+    archives.select("path", "n_bytes").write.parquet(index)
+    return spark.read.format("archive_media").option("index", _plain(index)).option("range_bytes", range_bytes).load()
+
+
+def _plain(path: str) -> str:
+    """A local path without its scheme."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -207,6 +207,9 @@ def test_png_round_trip():
 def test_member_retry(tmp_path, monkeypatch):
     import zipfile
 
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
     path = str(tmp_path / "a.zip")
     with zipfile.ZipFile(path, "w") as z:
         for i in range(5):
@@ -222,7 +225,9 @@ def test_member_retry(tmp_path, monkeypatch):
 
     monkeypatch.setattr(media, "read_member", flaky)
     size = (tmp_path / "a.zip").stat().st_size
-    reader = media.ArchiveReader({"archives": f'[["{path}", {size}]]', "range_bytes": "40"})
+    (tmp_path / "index").mkdir()
+    pq.write_table(pa.table({"path": [path], "n_members": [5], "n_bytes": [size]}), str(tmp_path / "index" / "part-0.parquet"))
+    reader = media.ArchiveReader({"index": str(tmp_path / "index"), "range_bytes": "40"})
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert [r["doc_id"] for r in rows] == list(range(5)) and [len(r["media"]) for r in rows] == [1, 2, 3, 4, 5]
     monkeypatch.setattr(media, "read_member", lambda p, m: (_ for _ in ()).throw(OSError("gone")))

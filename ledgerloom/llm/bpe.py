@@ -49,10 +49,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Bytes of pre-tokens and their ids that a worker remembers.
+MEMORY_BYTES = 96 << 20
+
+
 class BytePairCodec:
     """Encoder and decoder for one vocabulary file, with a bounded memory of pre-tokens seen."""
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -136,18 +140,21 @@ class BytePairCodec:
 
 
 class _Memory(dict):
-    """Results by key; emptied when full, so that its size stays bounded."""
+    """Results by key; emptied when they take so many bytes, about, so that its size stays bounded."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
         made = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
+            if self.held >= self.most:
                 self.clear()
+                self.held = 0
             self[key] = made
+            # A text, a byte string and a slot of the table, as Python holds them.
+            self.held += 190 + 4 * len(key) + (len(made) if isinstance(made, bytes) else 0)
         return made
 
 

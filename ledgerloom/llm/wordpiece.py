@@ -14,14 +14,14 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import _Memory, byte_alphabet
+from .bpe import MEMORY_BYTES, _Memory, byte_alphabet
 from .common import append_columns, as_texts
 
 
 class LongestMatchCounter:
     """Counts pieces of words; ``starts`` are pieces at a word's start, ``continuations`` those after it."""
 
-    def __init__(self, starts: list[bytes], continuations: list[bytes], memory: int = 400_000):
+    def __init__(self, starts: list[bytes], continuations: list[bytes], memory: int = MEMORY_BYTES):
         self.next: list[dict[int, int]] = [{}, {}]
         piece = [False, False]
         for root, pieces in ((0, starts), (1, continuations)):

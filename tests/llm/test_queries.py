@@ -1,6 +1,7 @@
 """The operators as Spark jobs: odd rows with defined results, and whole queries against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -458,5 +459,110 @@ def test_pipeline(spark, tmp_path):
     assert all(r.decoded_sha256 == want[r.doc_id] for r in last)
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    """The registered queries that SQL can express, on the provided tables."""
+    import duckdb
+
+    df = queries.QUERIES[name](spark, DATA)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    cur = con.execute(queries.SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, ([r[n] for n in names] for r in df.collect()))) == sorted(map(str, map(list, cur.fetchall())))
+
+
+@pytest.fixture(scope="module")
+def real():
+    """Texts of the provided tables by key."""
+    import pyarrow.parquet as pq
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables")
+    t = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"])
+    return dict(zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist()))
+
+
+def test_token_counts_of_whole_query(spark, real):
+    """Greedy longest matches by trying all lengths, over all words of the provided documents."""
+    starts, rest = (set(p) for p in wordpiece.vocabulary(queries.tokenizer_path()))
+    longest = max(map(len, starts | rest))
+    known = {}
+
+    def pieces(word):
+        if word not in known:
+            at = n = 0
+            while at < len(word):
+                vocab = rest if at else starts
+                end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocab), None)
+                if end is None:
+                    n = 1
+                    break
+                at, n = end, n + 1
+            known[word] = n
+        return known[word]
+
+    want = {i: (len((t or "").encode().split()), sum(map(pieces, (t or "").encode().split()))) for i, t in real.items()}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in queries.op8_tokens(spark, DATA).collect()}
+    assert got == want
+
+
+def test_pseudonyms_of_whole_query(spark, real):
+    """The registered query over all documents: spans hold the values, pseudonyms link equal values, and all of it inverts."""
+    rows = queries.op1_pii(spark, DATA).collect()
+    assert len(rows) == len(real)
+    back, made, found = pii.Pseudonymizer(queries.PII_KEY, back=True), {}, 0
+    for r in rows:
+        text = real[r.doc_id] or ""
+        assert back.apply(r.text or "")[0] == text
+        spans = [s.split(":") for s in filter(None, r.found.split(","))]
+        assert r.n_pii == len(spans)
+        shift = 0
+        for kind, start, end in spans:
+            value, start, end = text[int(start) : int(end)], int(start), int(end)
+            length = re.compile(r"[0-9.]*[0-9]").match(r.text, start + shift).end() - start - shift if kind == "ip" else end - start
+            pseudonym = r.text[start + shift : start + shift + length]
+            shift += length - (end - start)
+            assert made.setdefault((kind, value), pseudonym) == pseudonym
+            found += 1
+    assert found > 50
+    assert len({(k, p) for (k, _), p in made.items()}) == len(made)
+
+
+def test_media_features_of_whole_query(spark, real):
+    rows = {r.doc_id: r for r in queries.op4_media(spark, DATA).collect()}
+    assert set(rows) == set(real)
+    for i, t in real.items():
+        data = (t or "").encode()
+        p = media.payload(data)
+        image = media.to_png(p, len(data))
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), media.feature(p))
+
+
+def test_long_varied_copies(spark):
+    """Near copies of 20,000 different words, in groups that lists do not tell apart, and varied long texts in other operators."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(20_000)]
+    texts = []
+    for k in range(20):
+        w = list(base)
+        at = rng.randrange(len(w) - 400)
+        w[at : at + 40 * k] = [f"e{rng.randrange(10**9)}" for _ in range(40 * k)]
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:10_000] + [f"o{k}w{i}" for i in range(10_000)]) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = neardup.near_duplicates(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == brute_components(texts)
+    assert licenses.license_labels(docs.limit(3)).agg(F.sum("n_words")).first()[0] == 60_000
+
+
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == ["op1_pii", "op2_bpe", "op3_neardup", "op4_media", "op5_mixing", "op6_secrets", "op7_topk", "op8_tokens", "op9_licenses", "op10_toxicity"]

@@ -33,11 +33,26 @@ def check_labels_candidates(t: Tables) -> DataFrame:
     return violations([("label_without_edge", lost, "reported_id"), ("small_set", small, "key")])
 
 
-@query("check_tasks", """SELECT 'no_answer' AS rule, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'deprecated_type', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'leak', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 0""")
-def check_tasks(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", "a").alias("answer"), F.col("o_orderpriority").alias("task_type"), F.create_map(F.when(F.col("o_orderkey") % 10 == 0, "gold_paths").otherwise("edges"), F.lit(1)).alias("context"))
+#: Types that are no longer asked.
+DEPRECATED = ("single_hop_next_hop_prediction", "direct_link_verification")
+
+
+def task_violations(tasks: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule, id) of tasks (task_id, task_type, answer, context as a map) and of their candidates (task_id, candidate_id):
+    no answer, a deprecated type, an oracle key in the context, a candidate that is neither an edge nor summed up (``known``: candidate_id)."""
     leak = F.size(F.array_intersect(F.map_keys("context"), F.array(*map(F.lit, ORACLE_KEYS)))) > 0
-    return violations([("no_answer", rows.where("answer is null"), "o_orderkey"), ("deprecated_type", rows.where("task_type = '5-LOW'"), "o_orderkey"), ("leak", rows.where(leak), "o_orderkey")])
+    lost = candidates.join(known.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    return violations([("no_answer", tasks.where("answer is null or answer = ''"), "task_id"), ("deprecated_type", tasks.where(F.col("task_type").isin(*DEPRECATED)), "task_id"), ("leak", tasks.where(leak), "task_id"), ("candidate_unknown", lost, "candidate_id")])
+
+
+@query("check_tasks", """SELECT 'no_answer' AS rule, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'deprecated_type', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'leak', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'candidate_unknown', 'pair:' || edge_id FROM dense WHERE edge_type = 1 AND asset = 'R'""")
+def check_tasks(t: Tables) -> DataFrame:
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", DEPRECATED[0]).otherwise("path_completion")
+    tasks = t.orders.select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") != "P", "a").alias("answer"), kind.alias("task_type"), F.create_map(F.when(F.col("o_orderkey") % 10 == 0, "gold_paths").otherwise("edges"), F.lit(1)).alias("context"))
+    pair = F.concat(F.lit("pair:"), "edge_id")
+    candidates = t.dense.select(F.col("tx_hash").alias("task_id"), F.when(F.col("edge_type") == 0, F.col("edge_id")).otherwise(pair).alias("candidate_id"))
+    summed = t.dense.where("asset != 'R'").select(pair.alias("candidate_id"))
+    return task_violations(tasks, candidates, t.dense.select(F.col("edge_id").alias("candidate_id")).unionByName(summed))
 
 
 @query("check_existence_tasks", """SELECT 'not_in_chain' AS rule, CAST(l_orderkey AS VARCHAR) AS id FROM lineitem WHERE l_quantity > 49 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'window', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09""")

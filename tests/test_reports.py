@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import answers, detectors, graphs, relational, summaries
+from ledgerloom.operators import answers, detectors, experiment, graphs, relational, summaries
 from ledgerloom.operators import reports as R
+from ledgerloom.plans import checks
 
 A, B, CC, D = ("0x" + c * 40 for c in "abcd")
 H = "0x" + "1" * 64
@@ -172,6 +173,31 @@ def test_ranks_remember_their_symbol(spark):
     assert abs(plain[CC] - plain[D]) < 1e-9
 
 
+def test_three_task_run(spark):
+    e = [(A, B, "ab", 100.0, 1), (B, CC, "bc", 90.0, 2), (A, D, "ad", 1.0, 3)]
+    rows = [(task, *r) for task in ("eac", "pc", "snf") for r in e]
+    candidates = spark.createDataFrame(rows, "task_id string, src string, dst string, edge_id string, amount double, ts long").withColumns({"block_number": F.col("ts"), "token_address": F.lit(None).cast("string"), "asset": F.lit("E"), "edge_type": F.lit(0), "amount": F.col("amount").cast("decimal(18,4)")})
+    gold = candidates.select("task_id", "edge_id", F.when(F.col("edge_id") == "ad", "ignore").otherwise("follow").alias("gold"))
+    tasks = spark.createDataFrame([("eac", "edge_action_classification", A, None), ("pc", "path_completion", A, None), ("snf", experiment.SEEDLESS, None, [A, CC]), ("empty", "path_completion", A, None), ("lost", "path_completion", None, None)], "task_id string, task_type string, start_node string, seeds array<string>")
+    candidates = candidates.unionByName(candidates.where("task_id = 'pc'").withColumn("task_id", F.lit("lost")))
+    results, stages = experiment.run(tasks, candidates, gold, "poison")
+    got = {r.task_id: r for r in results.collect()}
+    assert {k: r.status for k, r in got.items()} == {"eac": "completed", "pc": "completed", "snf": "completed", "empty": "failed", "lost": "failed"}
+    assert (got["empty"].error, got["lost"].error) == ("no candidates", "no start node")
+    assert got["snf"].seeds == [A] and got["pc"].n_paths == 2 and got["pc"].accuracy is not None
+    per = {(r.task_id, r.stage): r.n for r in stages.collect()}
+    assert len(per) == 15 and per["snf", "node_detection"] == 1 and per["eac", "task_loaded"] == 3 and per["pc", "scoring"] == 3
+    cases = lambda *c: spark.createDataFrame([(x,) for x in c], "case_id string")
+    assert experiment.leaked_cases(cases("a", "b"), cases("b", "c")).count() == 1
+
+
+def test_tasks_are_checked(spark):
+    tasks = spark.createDataFrame([("1", "path_completion", "a", {"edges": 1}), ("2", checks.DEPRECATED[1], "", {"gold_paths": 1})], "task_id string, task_type string, answer string, context map<string, int>")
+    candidates = spark.createDataFrame([("1", "e1"), ("1", "p1"), ("2", "zz")], "task_id string, candidate_id string")
+    known = spark.createDataFrame([("e1",), ("p1",)], "candidate_id string")
+    assert sorted((r.rule, r.id) for r in checks.task_violations(tasks, candidates, known).collect()) == [("candidate_unknown", "zz"), ("deprecated_type", "2"), ("leak", "2"), ("no_answer", "2")]
+
+
 def test_long_paths_are_reached(spark):
     n = 60
     edges = spark.createDataFrame([("c", f"n{i}", f"n{i + 1}") for i in range(n)], "case_id string, src string, dst string")

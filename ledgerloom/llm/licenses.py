@@ -1,8 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
 A text becomes its words (ASCII letters and digits and all characters beyond ASCII, A-Z lower-cased), joined
-by single spaces. One regex over the plain text finds documents that hold any of the rules' stems; only those
-go on. A rule's keyword gates its regex. Matches are marked in the text, so that splitting it at spaces gives
+by single spaces. Plain searches find documents that hold any of the rules' stems; only those go on. A rule's keyword gates its regex. Matches are marked in the text, so that splitting it at spaces gives
 their first and last words. A detection is suppressed if another one contains it and has the higher priority,
 or the same and more words, or as many and an earlier rule. Texts of few detections compare them in place; for those of
 more than ``FEW_FOUND`` the same is done by a sweep, as running maxima over the detections in order.
@@ -49,13 +48,32 @@ def signatures() -> tuple[Signature, ...]:
 
 
 _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Any text that a rule matches holds one of these, in any case.
-STEMS = (
-    "licen[sc]|copyright|reserved|warrant|unencumbered|proprietary|shareware|freeware|redistribution|creative|apache|bsd|gpl|zlib|wtfpl|beerware|cecill|openrail"
-    "|hereby|permission"
-    f"|public{_GAP}domain|provided{_GAP}as{_GAP}is|as{_GAP}is{_GAP}basis|evaluation{_GAP}purposes|commercial{_GAP}use|research{_GAP}(?:purposes|use)|commons{_GAP}clause|data{_GAP}commons|open{_GAP}rail"
-    "|(?<![0-9a-z])(?:cc|cc0|mit|isc|psf|asl|mpl|perl)(?![0-9a-z])"
+#: Any text that a rule matches holds one of these, in any case,
+STEMS = ("licens", "licenc", "copyright", "reserved", "warrant", "unencumbered", "proprietary", "shareware", "freeware", "redistribution", "creative", "apache", "bsd", "gpl", "zlib", "wtfpl", "beerware", "cecill", "openrail", "hereby", "permission")
+#: or one of these where its pattern is found, too.
+PHRASES = (
+    ("public", f"public{_GAP}domain"),
+    ("provided", f"provided{_GAP}as{_GAP}is"),
+    ("basis", f"as{_GAP}is{_GAP}basis"),
+    ("evaluation", f"evaluation{_GAP}purposes"),
+    ("commercial", f"commercial{_GAP}use"),
+    ("research", f"research{_GAP}(?:purposes|use)"),
+    ("commons", f"commons{_GAP}clause|data{_GAP}commons"),
+    ("rail", f"open{_GAP}rail"),
+    ("cc", f"(?<![0-9a-z])cc(?:0|{_GAP}by)(?![0-9a-z])"),
+    ("asl", f"asl{_GAP}2{_GAP}0"),
+    ("perl", f"as{_GAP}perl"),
+    # Short names count only as what something is under: in other languages they are words.
+    *((w, f"under{_GAP}(?:the{_GAP})?(?:terms{_GAP}of{_GAP}(?:the{_GAP})?)?{w}(?![0-9a-z])") for w in ("mit", "isc", "psf", "mpl")),
 )
+
+
+def _may_match(low: Column) -> Column:
+    """Whether a lower-cased text may hold a match; plain searches come first, as most texts hold none of the words."""
+    plain = [F.contains(low, F.lit(s)) for s in STEMS]
+    return reduce(Column.__or__, plain + [F.contains(low, F.lit(w)) & low.rlike(p) for w, p in PHRASES])
+
+
 #: Beyond so many detections in a text, suppression is worked out by a sweep.
 FEW_FOUND = 200
 
@@ -85,8 +103,8 @@ def scan_licenses(docs: DataFrame, rules: tuple[Signature, ...] | None = None, i
         )
     )
     text = F.coalesce("text", F.lit(""))
-    gated = F.when(F.col("n_words").isNotNull() & F.col("text").rlike(f"(?i)(?:{STEMS})"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", _UPPER, _LOW), _PARTS, " ")), F.lit(" ")))
-    out = as_texts(docs, id_col, text_col).select("doc_id", "text", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"))
+    gated = F.when(_may_match(F.col("low")), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", _UPPER, _LOW), _PARTS, " ")), F.lit(" ")))
+    out = as_texts(docs, id_col, text_col).select("doc_id", "text", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.lower("text").alias("low"))
     out = out.select("doc_id", "n_words", gated.alias("joined"))
 
     def detect(rule: Column) -> Column:

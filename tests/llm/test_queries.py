@@ -359,11 +359,16 @@ def test_license_rules(spark, monkeypatch, few):
 
     monkeypatch.setattr(licenses, "FEW_FOUND", few)
     rules, rng = licenses.signatures(), random.Random(3)
-    language, stem = Language(rng), re.compile(licenses.STEMS, re.I)
+    language = Language(rng)
+
+    def passes(text):
+        low = text.lower()
+        return any(s in low for s in licenses.STEMS) or any(w in low and re.search(p, low) for w, p in licenses.PHRASES)
+
     members = [(r, language.of(parser.parse(r.pattern))) for r in rules for _ in range(4)]
     assert len(rules) > 200 and len({r.pattern for r in rules}) > 200
     for r, m in members:
-        assert re.fullmatch(r.pattern, m) and r.keyword in m and stem.search(m) and stem.search(m.replace(" ", " - ").upper()), (r, m)
+        assert re.fullmatch(r.pattern, m) and r.keyword in m and passes(m) and passes(m.replace(" ", " - ").upper()), (r, m)
     texts = [m for _, m in members[::3]]
     for _ in range(60):
         parts = [rng.choice(members)[1] if rng.random() < 0.6 else rng.choice(["the", "x y z", "license", "terms of", "under", "2 0", "version 3"]) for _ in range(rng.randint(1, 30))]

@@ -100,7 +100,7 @@ FOLDED = 6
 LOWER, LOWERED = 0.98, 200
 
 
-def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, most_rate: float | None = None, total: float | None = None, only_first_rises: bool = False, most_steps: int = 40, tolerance: float = 1e-6) -> Mix:
+def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, most_rate: float | None = None, total: float | None = None, only_first_rises: bool = False, most_steps: int = 100, tolerance: float = 1e-6) -> Mix:
     """Rates for rows of n_tokens and p.
 
     ``total`` is the number of tokens aimed at, in times of those there are. None takes the least total of 1 or more
@@ -140,7 +140,7 @@ def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, mo
         for _ in range(most_steps):
             rest = reached - target
             worst = np.abs(rest).max()
-            if worst <= tolerance * max(total, 1e-12) or slow > 2:
+            if worst <= tolerance * max(total, 1e-12) or (slow > 2 and len(totals) > 1):
                 break
             step = metric @ rest
             moved = F.col("rate") - sum((F.lit(float(step[i])) * a[i] for i in range(1, k)), F.lit(float(step[0])) * a[0])

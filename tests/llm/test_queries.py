@@ -536,7 +536,7 @@ def test_pseudonyms_of_whole_query(spark, real):
             shift += length - (end - start)
             assert made.setdefault((kind, value), pseudonym) == pseudonym
             found += 1
-    assert found > 50
+    assert found >= 20  # so many are planted in the smallest table
     assert len({(k, p) for (k, _), p in made.items()}) == len(made)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hardneg, licenses, media, mixing, neardup, pii, secrets, topk, toxicity, wordpiece
+from . import bpe, collocations, hardneg, licenses, media, mixing, neardup, pii, secrets, topk, toxicity, wordpiece
 from .common import table
 
 #: The key of the registered pseudonym query; a user gives another.
@@ -86,6 +86,10 @@ def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
     "op12_hardneg": op12_hardneg,
+    "op13_collocations": op13_collocations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,5 +169,40 @@ WITH part AS (
   WHERE n.place <= 5
 )
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 10
+""",
+    "op13_collocations": rf"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents) d
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM words CROSS JOIN (VALUES (1), (2), (3)) s(m) WHERE len(w) >= m
+  ) p GROUP BY lang, m, phrase
+), found AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+         CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM found) c
+  JOIN f x ON x.lang = c.lang AND x.m = c.k AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.m = c.m - c.k AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts
+), longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM found WHERE m = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM found WHERE m = 3
+  ) s GROUP BY lang, phrase
+), ranked AS (
+  SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS INTEGER) AS rank
+  FROM lowest b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE place = 1 AND (g.most IS NULL OR 100 * g.most < 50 * b.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, hardneg, licenses, media, mixing, neardup, pii, secrets, topk, toxicity, wordpiece
+from . import bpe, collocations, hardneg, htmltext, licenses, media, mixing, neardup, pii, secrets, topk, toxicity, wordpiece
 from .common import table
 
 #: The key of the registered pseudonym query; a user gives another.
@@ -82,6 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold("doc_id") == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_maintext": op11_maintext,
     "op12_hardneg": op12_hardneg,
     "op13_collocations": op13_collocations,
 }

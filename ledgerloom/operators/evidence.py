@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import last_before, top_n_per_group
+
 
 def resolve_reported(reported: DataFrame, addresses: DataFrame) -> DataFrame:
     """Reported ends to addresses: those of the entity, all pairs of both ends, else the end itself where it is an address.
@@ -100,22 +102,35 @@ def keyword_sources(rows: DataFrame, sources: DataFrame, keyword: str, text: str
 
 
 def two_hop_paths(edges: DataFrame) -> DataFrame:
-    """Each edge with the first edge that leaves its end, not before it."""
-    a = edges.select("case_id", F.col("edge_id").alias("first_edge"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("ts").alias("t1"))
-    b = edges.select("case_id", F.col("edge_id").alias("second_edge"), F.col("src").alias("b"), F.col("dst").alias("c"), F.col("ts").alias("t2"))
-    both = a.join(b, ["case_id", "b"]).where("t2 >= t1 and first_edge != second_edge")
-    return both.groupBy("case_id", "first_edge").agg(F.min(F.struct("t2", "second_edge", "c")).alias("n")).select("case_id", "first_edge", F.col("n.second_edge").alias("second_edge"))
+    """Each edge with the first other edge that leaves its end, not before it; equal times count, by id.
+
+    An as-of join over one sorted stream of arrivals and departures, from late to early; of equal times departures come
+    first. An edge that comes back to where it starts may find itself; it also looks just before its own departure.
+    """
+    look = F.lit(None).cast("string")
+    row = lambda node, kind, leaves: edges.select("case_id", F.col(node).alias("node"), "ts", F.lit(kind).alias("kind"), "edge_id", leaves.alias("leaves"))
+    again = edges.where("src = dst").select("case_id", F.col("src").alias("node"), "ts", F.lit(0).alias("kind"), "edge_id", look.alias("leaves"))
+    stream = row("src", 0, F.col("edge_id")).unionByName(row("dst", 1, look)).unionByName(again)
+    stream = stream.withColumn("own", F.col("leaves").isNotNull())
+    seen = last_before(stream, ["case_id", "node"], [F.desc("ts"), "kind", F.desc("edge_id"), "own"], "leaves", "next").where("NOT own")
+    other, behind = F.max(F.when((F.col("kind") == 1) & (F.col("next") != F.col("edge_id")), F.col("next"))), F.max(F.when(F.col("kind") == 0, F.col("next")))
+    found = seen.groupBy("case_id", F.col("edge_id").alias("first_edge")).agg(F.coalesce(other, behind).alias("second_edge"))
+    return found.where("second_edge IS NOT NULL")
 
 
 def stage_sequences(edges: DataFrame, cap: int = 24) -> DataFrame:
-    """Pairs of a source's edges in order whose stages differ, at most ``cap`` a case (the inventory's own limit)."""
+    """Pairs of a source's edges in order whose stages differ, at most ``cap`` a case (the inventory's own limit).
+
+    The first ``cap`` pairs of a source begin at its first ``cap`` edges, as each of them has a later edge of another stage
+    or ends the pairs, and end within the first 2 x ``cap`` edges of a stage; no others are joined.
+    """
     at = Window.partitionBy("case_id", "src").orderBy("ts", "reported_id")
     rows = edges.withColumn("i", F.row_number().over(at))
-    a = rows.select("case_id", "src", F.col("i").alias("i1"), F.col("stage").alias("s1"), F.col("reported_id").alias("e1"))
-    b = rows.select("case_id", "src", F.col("i").alias("i2"), F.col("stage").alias("s2"), F.col("reported_id").alias("e2"))
+    near = top_n_per_group(rows, ["case_id", "src", "stage"], [F.col("i")], 2 * cap)
+    a = near.where(F.col("i") <= cap).select("case_id", "src", F.col("i").alias("i1"), F.col("stage").alias("s1"), F.col("reported_id").alias("e1"))
+    b = near.select("case_id", "src", F.col("i").alias("i2"), F.col("stage").alias("s2"), F.col("reported_id").alias("e2"))
     both = a.join(b, ["case_id", "src"]).where("i1 < i2 and s1 != s2")
-    w = Window.partitionBy("case_id").orderBy("src", "i1", "i2")
-    return both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("case_id", "e1", "e2")
+    return top_n_per_group(both, ["case_id"], [F.col("src"), F.col("i1"), F.col("i2")], cap).select("case_id", "e1", "e2")
 
 
 def line_graph(edges: DataFrame, directed: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import with_summary
+from .relational import top_n_per_group, with_summary
 
 DAY = 86400
 
@@ -84,11 +84,46 @@ def propagate(features: DataFrame, weights: DataFrame, columns: Sequence[str], s
     return out
 
 
+def spread(edges: DataFrame, columns: Sequence[str], steps: int = 1) -> DataFrame:
+    """What ``propagate`` over ``evidence.line_graph`` gives, without the line graph: case_id, edge_id and the columns.
+
+    An edge's neighbours are the edges at its source and at its receiver; those at both, between the same two nodes, would
+    count twice. So sums over neighbours are sums by node less sums by pair: work grows with the edges, at a hub too.
+    """
+
+    def sums(rows: DataFrame, of: dict) -> DataFrame:
+        loop = F.col("src") == F.col("dst")
+        named = {k: f"__{k}" for k in of}
+        by_node = rows.select("case_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"), *(c.alias(k) for k, c in of.items())).groupBy("case_id", "node").agg(*(F.sum(k).alias(k) for k in of))
+        low, high = F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")
+        by_pair = rows.where(~loop).select("case_id", low, high, *(c.alias(k) for k, c in of.items())).groupBy("case_id", "low", "high").agg(*(F.sum(k).alias(f"{n}_pair") for k, n in named.items()))
+        out = rows.withColumns({"low": F.when(~loop, F.least("src", "dst")), "high": F.when(~loop, F.greatest("src", "dst"))})
+        for end in ("src", "dst"):
+            out = out.join(by_node.select("case_id", F.col("node").alias(end), *(F.col(k).alias(f"{n}_{end}") for k, n in named.items())), ["case_id", end])
+        out = out.join(by_pair, ["case_id", "low", "high"], "left")
+        total = lambda n: F.when(loop, F.col(f"{n}_src")).otherwise(F.col(f"{n}_src") + F.col(f"{n}_dst") - F.col(f"{n}_pair"))
+        return out.select(*rows.columns, *(total(n).alias(n) for n in named.values()))
+
+    rows = sums(edges.select("case_id", "edge_id", "src", "dst", *columns), {"k": F.lit(1)}).withColumnRenamed("__k", "degree")
+    for _ in range(steps):
+        summed = sums(rows, {c: F.col(c) / F.sqrt("degree") for c in columns})
+        rows = summed.select("case_id", "edge_id", "src", "dst", "degree", *((F.col(f"__{c}") / F.sqrt("degree")).alias(c) for c in columns))
+    return rows.select("case_id", "edge_id", *columns)
+
+
 def read_out(features: DataFrame, columns: Sequence[str], fn=F.max) -> DataFrame:
     """Features with a summary over the case beside them."""
     return with_summary(features, ["case_id"], **{f"case_{c}": fn(c) for c in columns})
 
 
+def read_out_top(features: DataFrame, columns: Sequence[str], n: int = 3) -> DataFrame:
+    """Features with the mean of the n greatest values of each column over the case beside them (top_...)."""
+    long = features.select("case_id", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("v")).select("case_id", "v.*")
+    top = top_n_per_group(long, ["case_id", "name"], [F.desc("value")], n).groupBy("case_id", "name").agg(F.avg("value").alias("mean"))
+    wide = top.groupBy("case_id").agg(*(F.max(F.when(F.col("name") == c, F.col("mean"))).alias(f"top_{c}") for c in columns))
+    return features.join(wide, "case_id")
+
+
 def role_fusion(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Means of features over the case, over the source's and over the receiver's transfers."""
     out = edges

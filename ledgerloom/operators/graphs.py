@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookup import neighbors
-from .relational import kept, numbered, running_sums, top_n_per_group, with_summary
+from .relational import dropped, kept, last_before, numbered, running_sums, top_n_per_group, with_summary
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -71,12 +71,64 @@ def enrich_outgoing(actionable: DataFrame, transfers: DataFrame, n: int) -> Data
 
 
 def successors(edges: DataFrame) -> DataFrame:
-    """Each transfer with the first one that leaves its receiver later (edge_id, next_id); an as-of join by one window."""
+    """Each transfer with the first one that leaves its receiver later (edge_id, next_id); an as-of join over one sorted stream."""
     arrive = edges.select("case_id", F.col("dst").alias("node"), "ts", F.lit(0).alias("kind"), "edge_id", F.lit(None).cast("string").alias("leaves"))
     leave = edges.select("case_id", F.col("src").alias("node"), "ts", F.lit(1).alias("kind"), "edge_id", F.col("edge_id").alias("leaves"))
     # From late to early; at equal times arrivals come first, so that only later departures have been seen.
-    w = Window.partitionBy("case_id", "node").orderBy(F.desc("ts"), "kind", F.desc("edge_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return arrive.unionByName(leave).withColumn("next_id", F.last("leaves", ignorenulls=True).over(w)).where("kind = 0").select("case_id", "edge_id", "next_id")
+    seen = last_before(arrive.unionByName(leave), ["case_id", "node"], [F.desc("ts"), "kind", F.desc("edge_id")], "leaves", "next_id")
+    return seen.where("kind = 0").select("case_id", "edge_id", "next_id")
+
+
+def claimed_chains(edges: DataFrame, most: int = 40) -> DataFrame:
+    """Transfers by chain: case_id, edge_id, chain_id, place. Each transfer, in the order of time and id, starts a chain unless
+    one that started before has taken it; a chain follows successors until it meets one that is taken.
+
+    As a transfer has one successor, a chain takes what the earliest transfer above it reaches: pointers are doubled, and
+    each transfer keeps the earliest start that has come down to it, with the number of steps from there.
+    """
+    step = successors(edges).join(edges.select("case_id", "edge_id", "ts"), ["case_id", "edge_id"])
+    at = kept(step.select("case_id", "edge_id", F.col("next_id").alias("jump"), F.struct("ts", F.col("edge_id").alias("start"), F.lit(0).cast("long").alias("steps")).alias("best")))
+    for n in range(most):
+        moving = at.where("jump IS NOT NULL")
+        if moving.isEmpty():
+            return at.select("case_id", "edge_id", F.col("best.start").alias("chain_id"), F.col("best.steps").alias("place"))
+        down = moving.groupBy("case_id", F.col("jump").alias("edge_id")).agg(F.min(F.struct("best.ts", "best.start", (F.col("best.steps") + (1 << n)).alias("steps"))).alias("__came"))
+        far = at.select("case_id", F.col("edge_id").alias("jump"), F.col("jump").alias("__far"))
+        now = at.join(down, ["case_id", "edge_id"], "left").join(far, ["case_id", "jump"], "left")
+        now = kept(now.select("case_id", "edge_id", F.col("__far").alias("jump"), F.least("best", F.coalesce("__came", "best")).alias("best")))
+        dropped(at)
+        at = now
+    raise RuntimeError("chains have a cycle")
+
+
+def arrivals(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes (case_id, node, arrival) that the seeds reach along transfers in the order of time, with the earliest time.
+
+    A transfer leads on only if it is not before the arrival at its source; seeds are there from the start (null). Each
+    round relaxes the transfers of nodes whose arrival became earlier, until none does. Transfers without a time lead nowhere.
+    """
+    start = F.lit(-(1 << 62))
+    steps = edges.where("ts IS NOT NULL").select("case_id", F.col("src").alias("node"), F.col("dst").alias("to"), "ts")
+    seen = kept(seeds.select("case_id", "node").distinct().withColumn("arrival", start))
+    frontier, first = seen, seen
+    while True:
+        near = steps.join(frontier, ["case_id", "node"]).where("ts >= arrival").groupBy("case_id", F.col("to").alias("node")).agg(F.min("ts").alias("now"))
+        better = near.join(seen, ["case_id", "node"], "left").where("arrival IS NULL OR now < arrival").select("case_id", "node", F.col("now").alias("arrival"))
+        frontier = kept(better)
+        if frontier.isEmpty():
+            dropped(frontier)
+            return seen.select("case_id", "node", F.when(F.col("arrival") != start, F.col("arrival")).alias("arrival"))
+        grown = kept(seen.unionByName(frontier).groupBy("case_id", "node").agg(F.min("arrival").alias("arrival")))
+        if seen is not first:
+            dropped(seen)
+        seen = grown
+
+
+def unreached_in_order(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges that no seed reaches through earlier edges: the source is not reached, or only after the edge."""
+    seen = arrivals(edges, seeds).select("case_id", F.col("node").alias("src"), "arrival", F.lit(True).alias("__seen"))
+    out = edges.join(seen, ["case_id", "src"], "left")
+    return out.where("__seen IS NULL OR ts IS NULL AND arrival IS NOT NULL OR ts < arrival").drop("__seen", "arrival")
 
 
 def chains(edges: DataFrame, most: int = 40) -> DataFrame:

@@ -26,10 +26,37 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._kept_at = path
+    return again
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def last_before(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """Rows with the last ``value`` that is not null, up to themselves in the order of columns, by key.
+
+    Rows are sorted over all tasks, so a key with many rows lies in several. Within a task a window finds the last value;
+    those of the tasks before come from a window over one row a task and key.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    by = [*keys, *order]
+    placed = kept(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"__task": F.spark_partition_id(), "__place": place}))
+    ends = placed.groupBy("__task", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__place"))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__ahead", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    within = Window.partitionBy("__task", *keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("__own", F.last(value, ignorenulls=True).over(within)).join(ends, ["__task", *keys])
+    return out.withColumn(name, F.coalesce("__own", "__ahead")).drop("__task", "__place", "__own", "__ahead")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "n") -> DataFrame:
     """Rows with their numbers from 1 by key, in the order of columns; no key is held by one task.
 
     Rows are sorted over all tasks and written with their places. Only the numbers of rows by task and key go through a

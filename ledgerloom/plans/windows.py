@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import padded
-from ..operators import evidence as E
 from ..operators import features as W
 from ..operators import policies, relational
 from ..operators.relational import hash_order, top_n_per_group
@@ -194,10 +193,23 @@ def case_disjoint_guard(t: Tables) -> DataFrame:
  SELECT e AS edge_id, x AS log_amount, max(x) OVER (PARTITION BY case_id) AS case_log_amount FROM x2""")
 def line_graph_propagate(t: Tables) -> DataFrame:
     edges = t.ev_edges.withColumnRenamed("reported_id", "edge_id").withColumn("log_amount", F.log1p(F.col("amount").cast("double")))
-    out = W.propagate(edges, E.line_graph(edges), ["log_amount"], steps=2)
+    out = W.spread(edges, ["log_amount"], steps=2)
     return W.read_out(out, ["log_amount"]).drop("case_id")
 
 
+@query(
+    "line_graph_read_outs",
+    """WITH d AS (SELECT case_id, reported_id AS e, src, dst, ln(1 + amount::DOUBLE) AS x FROM ev_edges), n AS (SELECT case_id, e, src AS n FROM d UNION SELECT case_id, e, dst FROM d), p AS (SELECT DISTINCT a.case_id, a.e AS e1, b.e AS e2 FROM n a JOIN n b ON a.case_id = b.case_id AND a.n = b.n), g AS (SELECT case_id, e1, count(*) AS k FROM p GROUP BY ALL),
+ x1 AS (SELECT p.case_id, p.e1 AS e, sum(x / sqrt(u.k * v.k)) AS x FROM p JOIN g u ON u.case_id = p.case_id AND u.e1 = p.e1 JOIN g v ON v.case_id = p.case_id AND v.e1 = p.e2 JOIN d ON d.case_id = p.case_id AND d.e = p.e2 GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x DESC) AS rn FROM x1)
+ SELECT case_id, count(*) AS n, max(x) AS case_max, avg(x) AS case_mean, avg(x) FILTER (rn <= 3) AS case_top FROM r GROUP BY case_id""",
+)
+def line_graph_read_outs(t: Tables) -> DataFrame:
+    edges = t.ev_edges.withColumnRenamed("reported_id", "edge_id").withColumn("x", F.log1p(F.col("amount").cast("double")))
+    out = W.read_out_top(W.spread(edges, ["x"]), ["x"])
+    return out.groupBy("case_id").agg(F.count("*").alias("n"), F.max("x").alias("case_max"), F.avg("x").alias("case_mean"), F.max("top_x").alias("case_top"))
+
+
 @query("role_fusion", """SELECT edge_id, avg(ln(1 + amount::DOUBLE)) OVER (PARTITION BY case_id) AS case_x, avg(ln(1 + amount::DOUBLE)) OVER (PARTITION BY case_id, src) AS src_x, avg(ln(1 + amount::DOUBLE)) OVER (PARTITION BY case_id, dst) AS dst_x FROM dense""")
 def role_fusion(t: Tables) -> DataFrame:
     return W.role_fusion(t.dense.withColumn("x", F.log1p(F.col("amount").cast("double"))), ["x"]).select("edge_id", "case_x", "src_x", "dst_x")

@@ -463,7 +463,11 @@ def made_page(rng: random.Random, words: Sequence[str]) -> str:
 
 def word_pool(pages: DataFrame, id_col: str, html_col: str, most: int) -> list[str]:
     """Words of at most ``most`` pages, those first by a hash of their ids."""
-    rows = pages.where(F.length(html_col) > 0).select(F.substring(F.col(html_col).cast("string"), 1, 20_000).alias("h")).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(html_col))).limit(most).collect()
+    place = F.xxhash64(F.col(id_col), F.col(html_col))
+    there = pages.where(F.length(html_col) > 0)
+    # Hashes first, so that tasks send no pages that are not taken.
+    last = there.select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p")).first()[0]
+    rows = there.where(place <= last).select(F.substring(F.col(html_col).cast("string"), 1, 20_000).alias("h")).limit(most).collect() if last is not None else []
     words = [w for r in rows for b in blocks(r.h) for w in b.text.split() if len(w) < 40 and "<" not in w and "&" not in w]
     rng = random.Random(1)
     return rng.sample(words, 20_000) if len(words) > 20_000 else words or ["lorem", "ipsum", "dolor", "sit", "amet"]

@@ -140,31 +140,46 @@ def qa_domain(given: Column, link_semantics: Column, subject: Column, edge: Colu
 GRADES = "ABCD"
 
 
-def with_evidence(rows: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
-    """Evidence and confidence of rows by their keywords: the first ``most`` sources, by position, that hold one.
+def tier(keywords: Column | list[str], grades: str | None = None, most: int = 5) -> Column:
+    """One way to find evidence: sources of these grades (null: all) that hold a keyword, the first ``most``."""
+    words = keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
+    return F.struct(words.alias("keywords"), F.lit(grades).cast("string").alias("grades"), F.lit(most).alias("most"))
 
-    ``rows`` has keywords and grades (those that count; null: all), which are dropped. Sources are the short list of a
-    study, gathered into one row.
+
+def with_evidence(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence and confidence of rows by their ``tiers``, which are dropped: the first of them that finds a source counts.
+
+    Sources are the short list of a study, gathered into one row that all tasks get; they stand in the order of position.
     """
     one = sources.agg(F.array_sort(F.collect_list(F.struct("pos", "source_id", "grade", F.lower(F.concat_ws(" ", "entity", "finding")).alias("text")))).alias("__sources"))
-    fits = lambda s: (F.col("grades").isNull() | F.contains(F.col("grades"), s["grade"])) & F.exists("keywords", lambda k: (k != "") & F.contains(s["text"], F.lower(k)))
-    out = rows.join(F.broadcast(one)).withColumn("__hits", F.slice(F.filter("__sources", fits), 1, most))
+
+    def found(t: Column) -> Column:
+        fits = lambda s: (t["grades"].isNull() | F.contains(t["grades"], s["grade"])) & F.exists(t["keywords"], lambda k: (k != "") & F.contains(s["text"], F.lower(k)))
+        return F.slice(F.filter("__sources", fits), 1, t["most"])
+
+    out = rows.join(F.broadcast(one)).withColumn("__found", F.filter(F.transform("tiers", found), lambda h: F.size(h) > 0))
+    out = out.withColumn("__hits", F.coalesce(F.get("__found", F.lit(0)), F.slice("__sources", 1, 0)))
     best = F.array_min(F.filter(F.transform("__hits", lambda s: s["grade"]), lambda g: F.contains(F.lit(GRADES), g)))
-    return out.withColumns({"evidence": F.transform("__hits", lambda s: s["source_id"]), "confidence": F.coalesce(best, F.lit("U"))}).drop("keywords", "grades", "__sources", "__hits")
+    return out.withColumns({"evidence": F.transform("__hits", lambda s: s["source_id"]), "confidence": F.coalesce(best, F.lit("U"))}).drop("tiers", "__sources", "__found", "__hits")
 
 
-# Services by the words that name them: id, name, role, words.
+# Services by the words that name them: id, name, role, words, and the words and grades of their evidence.
 SERVICES = (
-    ("entity:tornado_cash", "Tornado Cash", "mixer_contract_set", ("tornado",)),
-    ("entity:dex_route", "DEX route", "dex_or_swap_route", ("DEX", "swap", "1inch", "Uniswap", "Curve")),
-    ("entity:maker", "Maker", "lending_protocol", ("Maker", "borrow", "DAI")),
-    ("entity:curve", "Curve", "dex_or_swap_route", ("Curve", "SynthSwap")),
-    ("entity:oneinch", "1inch", "dex_or_swap_route", ("1inch",)),
-    ("entity:ftx", "FTX", "centralized_exchange", ("FTX",)),
-    ("entity:cryptocom", "Crypto.com", "centralized_exchange", ("Crypto.com",)),
-    ("entity:huobi", "Huobi", "centralized_exchange", ("Huobi",)),
-    ("entity:blender_io", "Blender.io", "bitcoin_mixer", ("blender",)),
+    ("entity:tornado_cash", "Tornado Cash", "mixer_contract_set", ("tornado",), ("Tornado Cash", "mixer"), "ABC"),
+    ("entity:dex_route", "DEX route", "dex_or_swap_route", ("DEX", "swap", "1inch", "Uniswap", "Curve"), ("DEX", "swap", "1inch", "Uniswap", "Curve"), "BCD"),
+    ("entity:maker", "Maker", "lending_protocol", ("Maker", "borrow", "DAI"), ("Maker", "borrow", "DAI"), "BCD"),
+    ("entity:curve", "Curve", "dex_or_swap_route", ("Curve", "SynthSwap"), ("Curve", "SynthSwap"), "BCD"),
+    ("entity:oneinch", "1inch", "dex_or_swap_route", ("1inch",), ("1inch",), "BCD"),
+    ("entity:ftx", "FTX", "centralized_exchange", ("FTX",), ("FTX",), "BCD"),
+    ("entity:cryptocom", "Crypto.com", "centralized_exchange", ("Crypto.com",), ("Crypto.com",), "BCD"),
+    ("entity:huobi", "Huobi", "centralized_exchange", ("Huobi",), ("Huobi",), "BCD"),
+    ("entity:blender_io", "Blender.io", "bitcoin_mixer", ("blender",), ("Blender", "mixer"), "ABC"),
 )
+# Words of sources about attackers in general, and about sanctions, with the grades that count.
+ATTACKER_WORDS, ATTACKER_GRADES = ("attacker address", "hacker address", "Lazarus", "OFAC"), "ABCD"
+SANCTION_WORDS, SANCTION_GRADES = ("OFAC", "sanction", "SDN"), "AB"
+#: Attackers up to this place may be backed by sources about sanctions alone.
+SANCTION_PLACES = 4
 
 
 def report_text(rows: DataFrame) -> Column:
@@ -189,19 +204,31 @@ def attackers(reports: DataFrame) -> DataFrame:
 
 
 def entities(reports: DataFrame, sources: DataFrame) -> DataFrame:
-    """Victims, attackers, addresses that are merely mentioned, and services: report_id, entity_id, type, role, address, evidence, confidence."""
+    """Victims, attackers, addresses that are merely mentioned, and services: report_id, entity_id, type, role, address, evidence, confidence.
+
+    An attacker's evidence is what names the address; else, for the first one, what tells of attackers; else, for the first
+    few, what tells of sanctions.
+    """
     base = reports.withColumn("text", report_text(reports))
-    victims = base.select("report_id", F.explode(F.array_distinct("victims")).alias("label")).select("report_id", entity_id(F.col("label")).alias("entity_id"), F.lit("contract_or_protocol").alias("type"), F.lit("victim").alias("role"), F.lit(None).cast("string").alias("address"), F.array("label", F.lit("bridge"), F.lit("victim")).alias("keywords"), F.lit(None).cast("string").alias("grades"))
-    named = attackers(reports)
-    fake = holds(F.col("said"), "fake sysvar")
-    role = F.when((F.col("format") != "evm") & fake, "fake_sysvar_account").when(F.col("place") == 0, "attacker_initial").when(F.col("format") == "evm", "attacker_ethereum_wallet").otherwise("attacker_solana_wallet")
-    address = lambda rows, role: rows.select("report_id", F.col("address").alias("entity_id"), F.lit("address").alias("type"), role.alias("role"), "address", F.array("address").alias("keywords"), F.lit(None).cast("string").alias("grades"))
+    none = F.lit(None).cast("string")
+
+    def entity(rows: DataFrame, id_: Column, kind: str, role: Column, address: Column, *tiers: Column) -> DataFrame:
+        ways = F.array_compact(F.array(*tiers))
+        return rows.select("report_id", id_.alias("entity_id"), F.lit(kind).alias("type"), role.alias("role"), address.alias("address"), ways.alias("tiers"))
+
+    victims = base.select("report_id", F.explode(F.array_distinct("victims")).alias("label"))
+    victims = entity(victims, entity_id(F.col("label")), "contract_or_protocol", F.lit("victim"), none, tier(F.array("label", F.lit("bridge"), F.lit("victim"))))
+    named, address = attackers(reports), F.col("address")
+    fake = (F.col("format") != "evm") & holds(F.col("said"), "fake sysvar")
+    role = F.when(fake, "fake_sysvar_account").when(F.col("place") == 0, "attacker_initial").when(F.col("format") == "evm", "attacker_ethereum_wallet").otherwise("attacker_solana_wallet")
+    about = F.when(F.col("place") == 0, tier(list(ATTACKER_WORDS), ATTACKER_GRADES))
+    sanctions = F.when(F.col("place") < SANCTION_PLACES, tier(list(SANCTION_WORDS), SANCTION_GRADES))
+    found = entity(named, address, "address", role, address, tier(F.array("address")), about, sanctions)
     said = base.select("report_id", F.explode(C.mentions("text", C.ADDRESS)).alias("address")).join(named.select("report_id", "address"), ["report_id", "address"], "left_anti")
-    services = None
-    for id_, _, kind, words in SERVICES:
-        rows = base.where(holds(F.col("text"), *words)).select("report_id", F.lit(id_).alias("entity_id"), F.lit("service").alias("type"), F.lit(kind).alias("role"), F.lit(None).cast("string").alias("address"), F.array(*map(F.lit, words)).alias("keywords"), F.lit("ABCD").alias("grades"))
-        services = rows if services is None else services.unionByName(rows)
-    return with_evidence(victims.unionByName(address(named, role)).unionByName(address(said, F.lit("mentioned_address"))).unionByName(services), sources)
+    found = found.unionByName(entity(said, address, "address", F.lit("mentioned_address"), address, tier(F.array("address"), most=3)))
+    for id_, _, kind, words, evidence, grades in SERVICES:
+        found = found.unionByName(entity(base.where(holds(F.col("text"), *words)), F.lit(id_), "service", F.lit(kind), none, tier(list(evidence), grades)))
+    return with_evidence(victims.unionByName(found), sources)
 
 
 _AMOUNT = "([0-9][0-9,.]*)"

@@ -72,21 +72,30 @@ def qa_domain(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", R.qa_domain(F.col("given"), F.col("link"), F.col("subject"), F.lit(""), F.col("reason"), F.col("origins")).alias("domain"))
 
 
+def _tier_sql(words: str, grades: str | None = None, most: int = 5) -> str:
+    return f"{{'k': {words}, 'g': {'NULL' if grades is None else repr(grades)}::VARCHAR, 'most': {most}}}"
+
+
 _SERVICE_SQL = " UNION ALL ".join(
-    f"SELECT report_id, '{id_}', 'service', '{role}', CAST(NULL AS VARCHAR), [{_sql_list(words)}], 'ABCD' FROM r WHERE " + " OR ".join(f"contains(lower(x), '{w.lower()}')" for w in words) for id_, _, role, words in R.SERVICES
+    f"SELECT report_id, '{id_}', 'service', '{role}', CAST(NULL AS VARCHAR), [{_tier_sql(f'[{_sql_list(evidence)}]', grades)}] FROM r WHERE " + " OR ".join(f"contains(lower(x), '{w.lower()}')" for w in words) for id_, _, role, words, evidence, grades in R.SERVICES
 )
+_ATTACKER_TIERS = f"list_filter([{_tier_sql('[addr]')}, CASE WHEN place = 0 THEN {_tier_sql(f'[{_sql_list(R.ATTACKER_WORDS)}]', R.ATTACKER_GRADES)} END, CASE WHEN place < 4 THEN {_tier_sql(f'[{_sql_list(R.SANCTION_WORDS)}]', R.SANCTION_GRADES)} END], lambda t: t IS NOT NULL)"
 
 
 @query(
     "build_entities",
     f"""WITH r AS (SELECT *, {_TEXT} AS x FROM reports),
  a AS (SELECT report_id, addr, fake, CAST(row_number() OVER (PARTITION BY report_id ORDER BY entry) - 1 AS INTEGER) AS place FROM (SELECT report_id, unnest(range(len(attackers))) AS entry, unnest(list_transform(attackers, lambda s: regexp_extract(s, '(0x[0-9a-f]{{40}}|So1+[0-9])', 1))) AS addr, unnest(list_transform(attackers, lambda s: contains(s, 'fake sysvar'))) AS fake FROM reports) q),
- e(report_id, entity_id, type, role, address, keywords, grades) AS (SELECT report_id, 'entity:' || regexp_replace(lower(victims[1]), '[^a-z0-9]+', '_', 'g'), 'contract_or_protocol', 'victim', CAST(NULL AS VARCHAR), [victims[1], 'bridge', 'victim'], CAST(NULL AS VARCHAR) FROM reports
- UNION ALL SELECT report_id, addr, 'address', CASE WHEN addr LIKE 'So%' AND fake THEN 'fake_sysvar_account' WHEN place = 0 THEN 'attacker_initial' WHEN addr LIKE '0x%' THEN 'attacker_ethereum_wallet' ELSE 'attacker_solana_wallet' END, addr, [addr], NULL FROM a
- UNION ALL SELECT report_id, m, 'address', 'mentioned_address', m, [m], NULL FROM (SELECT report_id, unnest(list_distinct(regexp_extract_all(fund_flow, '0x[0-9a-f]{{40}}'))) AS m FROM reports) y UNION ALL {_SERVICE_SQL}),
- h AS (SELECT e.report_id, e.entity_id, e.role, s.source_id, s.grade, row_number() OVER (PARTITION BY e.report_id, e.entity_id, e.role ORDER BY s.pos) AS rn FROM e JOIN ev_sources s ON (e.grades IS NULL OR contains(e.grades, s.grade)) AND len(list_filter(e.keywords, lambda k: contains(lower(s.entity || ' ' || s.finding), lower(k)))) > 0),
- g AS (SELECT report_id, entity_id, role, list(source_id ORDER BY rn) AS evidence, min(CASE WHEN contains('ABCD', grade) THEN grade END) AS best FROM h WHERE rn <= 5 GROUP BY ALL)
- SELECT e.report_id, e.entity_id, e.type, e.role, e.address, coalesce(g.evidence, []) AS evidence, coalesce(g.best, 'U') AS confidence FROM e LEFT JOIN g ON g.report_id = e.report_id AND g.entity_id = e.entity_id AND g.role = e.role""",
+ e(report_id, entity_id, type, role, address, tiers) AS (SELECT report_id, 'entity:' || regexp_replace(lower(victims[1]), '[^a-z0-9]+', '_', 'g'), 'contract_or_protocol', 'victim', CAST(NULL AS VARCHAR), [{_tier_sql("[victims[1], 'bridge', 'victim']")}] FROM reports
+ UNION ALL SELECT report_id, addr, 'address', CASE WHEN addr LIKE 'So%' AND fake THEN 'fake_sysvar_account' WHEN place = 0 THEN 'attacker_initial' WHEN addr LIKE '0x%' THEN 'attacker_ethereum_wallet' ELSE 'attacker_solana_wallet' END, addr, {_ATTACKER_TIERS} FROM a
+ UNION ALL SELECT report_id, m, 'address', 'mentioned_address', m, [{_tier_sql('[m]', most=3)}] FROM (SELECT report_id, unnest(list_distinct(regexp_extract_all(fund_flow, '0x[0-9a-f]{{40}}'))) AS m FROM reports) y UNION ALL {_SERVICE_SQL}),
+ w AS (SELECT report_id, entity_id, role, unnest(range(len(tiers))) AS n, unnest(tiers) AS t FROM e),
+ k AS (SELECT report_id, entity_id, role, n, t.g AS g, t.most AS most, unnest(t.k) AS word FROM w),
+ hit AS (SELECT word, s.pos, s.source_id, s.grade FROM (SELECT DISTINCT word FROM k) d JOIN ev_sources s ON contains(lower(s.entity || ' ' || s.finding), lower(d.word))),
+ h AS (SELECT *, row_number() OVER (PARTITION BY report_id, entity_id, role, n ORDER BY pos) AS rn FROM (SELECT DISTINCT report_id, entity_id, role, n, most, pos, source_id, grade FROM k JOIN hit USING (word) WHERE g IS NULL OR contains(g, grade)) u),
+ g AS (SELECT report_id, entity_id, role, n, list(source_id ORDER BY rn) AS evidence, min(CASE WHEN contains('ABCD', grade) THEN grade END) AS best FROM h WHERE rn <= most GROUP BY ALL),
+ f AS (SELECT report_id, entity_id, role, arg_min(evidence, n) AS evidence, arg_min(coalesce(best, 'U'), n) AS best FROM g GROUP BY ALL)
+ SELECT e.report_id, e.entity_id, e.type, e.role, e.address, coalesce(f.evidence, []) AS evidence, coalesce(f.best, 'U') AS confidence FROM e LEFT JOIN f ON f.report_id = e.report_id AND f.entity_id = e.entity_id AND f.role = e.role""",
 )
 def build_entities(t: Tables) -> DataFrame:
     return R.entities(t.reports, t.ev_sources).select("report_id", "entity_id", "type", "role", "address", "evidence", "confidence")

@@ -94,7 +94,7 @@ class Tables:
     @cached_property
     def ev_sources(self) -> DataFrame:
         return self.nation.join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
-            "n_nationkey as pos", "concat('S', lpad(cast(n_nationkey as string), 2, '0')) as source_id", "n_name as entity", "substr('ABCDE', n_regionkey + 1, 1) as grade", "concat(n_name, ' of ', r_name) as finding"
+            "n_nationkey as pos", "concat('S', lpad(cast(n_nationkey as string), 2, '0')) as source_id", "n_name as entity", "substr('ABCDE', n_regionkey + 1, 1) as grade", "concat(n_name, ' of ', r_name, case n_nationkey % 6 when 0 then '; OFAC list' when 1 then '; attacker address' when 2 then '; Tornado Cash, a mixer' else '' end) as finding"
         )
 
     @cached_property
@@ -155,7 +155,7 @@ VIEW_SQL: dict[str, str] = {
  CASE WHEN amount < 20000 THEN 'C' WHEN amount < 50000 THEN 'B' ELSE 'A' END AS confidence
  FROM dense WHERE priority = '1-URGENT' AND status = 'F'""",
     "ev_sources": """SELECT n_nationkey AS pos, 'S' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS source_id, n_name AS entity,
- substr('ABCDE', n_regionkey + 1, 1) AS grade, n_name || ' of ' || r_name AS finding FROM nation JOIN region ON n_regionkey = r_regionkey""",
+ substr('ABCDE', n_regionkey + 1, 1) AS grade, n_name || ' of ' || r_name || CASE n_nationkey % 6 WHEN 0 THEN '; OFAC list' WHEN 1 THEN '; attacker address' WHEN 2 THEN '; Tornado Cash, a mixer' ELSE '' END AS finding FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "reports": f"""SELECT o_orderkey AS report_id, 'case_' || CAST(year(o_orderdate) AS VARCHAR) AS case_id,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'Cross-chain Bridge' WHEN '2-HIGH' THEN 'Lending' ELSE 'Exchange' END AS protocol_type,
  CASE o_orderkey % 5 WHEN 0 THEN 'Validator takeover' WHEN 1 THEN 'Oracle abuse' WHEN 2 THEN 'Reentrancy' ELSE 'Access control' END AS vulnerability_type,

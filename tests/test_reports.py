@@ -28,6 +28,21 @@ def test_incident_types_and_flags(spark):
     assert len(row.s) == 3 + 4 and "detect_large_address_fanout_laundering_pattern" in row.s
 
 
+def test_evidence_falls_back(spark):
+    """An address that no source names: attackers in general for the first, sanctions for the first four, nothing after."""
+    sol = ["So" + str(i) + "1" * 30 for i in range(1, 7)]
+    df = reports(spark, {"attackers": sol, "fund_flow": "Tornado and Blender", "victims": []})
+    rows = [("S1", 1, "E", "Lazarus"), ("S2", 2, "D", "hacker ADDRESS"), ("S3", 3, "B", "an SDN entry"), ("S4", 4, "C", "OFAC sanction"), ("S5", 5, "A", f"see {sol[1]}"), ("S6", 6, "D", "a mixer"), ("S7", 7, "C", "A Mixer")]
+    sources = spark.createDataFrame([(i, p, g, "", f) for i, p, g, f in rows], "source_id string, pos int, grade string, entity string, finding string")
+    got = {r.entity_id: (r.evidence, r.confidence) for r in R.entities(df, sources).collect()}
+    assert got[sol[0]] == (["S2", "S4"], "C")  # attackers, grades A to D
+    assert got[sol[1]] == (["S5"], "A")  # named
+    assert got[sol[2]] == got[sol[3]] == (["S3"], "B")  # sanctions, grades A and B
+    assert got[sol[4]] == got[sol[5]] == ([], "U")
+    assert got["entity:tornado_cash"] == got["entity:blender_io"] == (["S7"], "C")
+    assert {r.entity_id: r.evidence for r in R.entities(df, sources.limit(0)).collect()}[sol[0]] == []
+
+
 def test_address_roles(spark):
     rows = [("attacker", "service", "cex_deposit"), ("x", "service", "mixer_deposit"), ("bridge", "service", ""), ("router", "service", ""), ("centralized_exchange", "service", None), ("mixer_contract_set", "service", ""), ("x", "contract_or_protocol", ""), (None, "service", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, role string, kind string, pattern string")

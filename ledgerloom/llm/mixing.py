@@ -8,12 +8,14 @@
    posterior) meet the targets: least squares by projected gradient. All rates are updated in place, each from
    its own posteriors and the residuals; an iteration moves only the sums by domain. The squares are weighted
    by the inverse Gram matrix of the domains, for which a step of 1 is right. The sums that are reached are part of the
-   result; targets that cannot be met raise an error where ``strict`` is set.
+   result. Where the total is free and no total above zero can meet the weights, rates stay as they are, and the difference
+   from the weights is the residual; with ``strict`` that is an error.
 3. ``copies`` turns a rate into whole copies: its whole part, and one more where a hash of the key falls
    below the rest.
 
 Documents without words have no tokens; their rate stays 1, or the nearest that is allowed. Rows with a null text count
-as empty. Labels with nulls are not used. Without labels all posteriors are equal.
+as empty; tables without any token are met as they are, with a residual of 0. Labels with nulls are not used. Without labels
+all posteriors are equal.
 """
 
 from __future__ import annotations
@@ -96,8 +98,62 @@ class Mix:
 
 #: Steps that are worked out anew from the last table before rates are written again.
 FOLDED = 6
-#: A total that cannot be met is lowered by this, so many times at most.
-LOWER, LOWERED = 0.98, 200
+#: Steps without a new least residual after which a fit ends.
+STUCK = 8
+#: A free total is this share of the greatest one that cells of like posteriors can meet.
+OF_GREATEST = 0.99
+#: Levels of a posterior by the number of domains, so that there are at most some thousands of cells.
+LEVELS = {2: 4096, 3: 64, 4: 24, 5: 12}
+
+
+def greatest_total(soft: DataFrame, a: list[Column], weights: list[float], least_rate: float, top: float) -> float:
+    """About the greatest total at which ``weights`` can be met by rates between the bounds; 0 or less if there is none.
+
+    Documents are summed by cells of like posteriors, at most some thousands, in one pass. The sums that rates reach are a
+    convex set, so the total is the least value of its support function over all directions l with l . weights = 1: the
+    rates that reach farthest are the greatest where l . a is positive and the least elsewhere.
+    """
+    k = len(weights)
+    level = LEVELS.get(k, 4)
+    cells = soft.groupBy(*(F.floor(F.col("p")[i] * level).alias(f"c{i}") for i in range(k - 1))).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(a)))
+    sums = np.array([[r[f"s{i}"] or 0.0 for i in range(k)] for r in cells.collect()]).reshape(-1, k)
+    w = np.array(weights)
+    # Directions that keep l . weights: the null space of the weights.
+    across = np.linalg.svd(w[None, :])[2][1:]
+
+    def support(at: np.ndarray) -> float:
+        along = sums @ (w / (w @ w) + at @ across)
+        return float(np.maximum(along, 0).sum() * top + np.minimum(along, 0).sum() * least_rate)
+
+    def least(at: np.ndarray, axis: int, reach: float = 1e4) -> float:
+        """Of the support function over the axes from ``axis`` on, by golden sections."""
+        if axis == len(at):
+            return support(at)
+        value = lambda x: least(np.array([*at[:axis], x, *at[axis + 1 :]]), axis + 1)
+        lo, hi, part = -reach, reach, 0.6180339887498949
+        x, y = hi - part * (hi - lo), lo + part * (hi - lo)
+        fx, fy = value(x), value(y)
+        for _ in range(70):
+            if fx < fy:
+                hi, y, fy = y, x, fx
+                x = hi - part * (hi - lo)
+                fx = value(x)
+            else:
+                lo, x, fx = x, y, fy
+                y = lo + part * (hi - lo)
+                fy = value(y)
+        return min(fx, fy)
+
+    if k <= 3:
+        return least(np.zeros(k - 1), 0)
+    # More domains: lines in random directions through the best point so far.
+    rng, at, best = np.random.default_rng(0), np.zeros(k - 1), support(np.zeros(k - 1))
+    for n in range(400):
+        d = rng.standard_normal(k - 1) * 0.98**n
+        for x in np.linspace(-4, 4, 81):
+            if (v := support(at + x * d)) < best:
+                best, at = v, at + x * d
+    return best
 
 
 def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, most_rate: float | None = None, total: float | None = None, only_first_rises: bool = False, most_steps: int = 100, tolerance: float = 1e-6) -> Mix:
@@ -105,7 +161,7 @@ def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, mo
 
     ``total`` is the number of tokens aimed at, in times of those there are. None takes the least total of 1 or more
     for which ``weights`` can be met while every document keeps ``least_rate``; where ``most_rate`` is given, about the
-    greatest total that can be met. With ``only_first_rises``, a domain but the first whose share is below its weight
+    greatest total that can be met (see ``greatest_total``). With ``only_first_rises``, a domain but the first whose share is below its weight
     keeps its share, and the first takes up the rest.
     """
     k = len(weights)
@@ -122,43 +178,44 @@ def fit_rates(soft: DataFrame, weights: list[float], least_rate: float = 0.0, mo
     start = min(top, max(1.0, least_rate))
     rated = soft.withColumn("rate", F.lit(start))
     if not gram.trace():
-        return Mix(rated, (there * start).tolist(), (np.array(weights) * (total or 1.0)).tolist())
+        return Mix(rated, (there * start).tolist(), (there * start).tolist())
     if only_first_rises:
         rest = [min(w, float(t)) for w, t in zip(weights[1:], there[1:] / there.sum())]
         weights = [1 - sum(rest), *rest]
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-12 * gram.trace())
-    if total is not None:
-        totals = [total]
-    elif most_rate is None:
-        totals = [max([1.0, *(least_rate * t / w for t, w in zip(there, weights) if w > 0)])]
-    else:
-        totals = [min([top * t / w for t, w in zip(there, weights) if w > 0]) * LOWER**n for n in range(LOWERED)]
+    free_total, even = total is None, np.abs(there - np.array(weights) * there.sum()).max()
+    if free_total and most_rate is None:
+        total = max([1.0, *(least_rate * t / w for t, w in zip(there, weights) if w > 0)])
+    elif free_total and even <= tolerance:
+        total = start * there.sum()
+    elif free_total:
+        total = OF_GREATEST * greatest_total(soft, a, weights, least_rate, top)
+        if total <= 1e-6:
+            return Mix(rated, (there * start).tolist(), (np.array(weights) * there.sum() * start).tolist())
+    target = np.array(weights) * total
     folded, reached, metric, written_rates = 0, there * start, inverse, []
-    for total in totals:
-        target = np.array(weights) * total
-        slow = 0
-        for _ in range(most_steps):
-            rest = reached - target
-            worst = np.abs(rest).max()
-            if worst <= tolerance * max(total, 1e-12) or (slow > 2 and len(totals) > 1):
-                break
-            step = metric @ rest
-            moved = F.col("rate") - sum((F.lit(float(step[i])) * a[i] for i in range(1, k)), F.lit(float(step[0])) * a[0])
-            moved = F.greatest(F.lit(float(least_rate)), moved)
-            rated = rated.withColumn("rate", moved if most_rate is None else F.least(F.lit(top), moved))
-            folded += 1
-            if folded == FOLDED:
-                folded, rated = 0, checkpoint(rated)
-                written_rates.append(rated)
-            # Rows that a bound holds do not move, so the metric of the next step leaves them out.
-            free = F.when((F.col("rate") > float(least_rate)) & (F.col("rate") < F.lit(top)), 1.0).otherwise(0.0)
-            row = rated.agg(*(F.sum(F.col("rate") * a[i]).alias(f"s{i}") for i in range(k)), *(F.sum(free * a[i] * a[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
-            reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-            now, moving = np.abs(reached - target).max(), square(row)
-            slow = slow + 1 if now > 0.7 * worst else 0
-            metric = np.linalg.pinv(moving + np.eye(k) * 1e-9 * moving.trace()) if now < worst and moving.trace() > 0 else inverse
-        if np.abs(reached - target).max() <= 1e-3 * total:
+    least, stuck = np.inf, 0
+    for _ in range(most_steps):
+        rest = reached - target
+        worst = np.abs(rest).max()
+        stuck = 0 if worst < 0.999 * least else stuck + 1
+        least = min(least, worst)
+        if worst <= tolerance * max(total, 1e-12) or (free_total and stuck >= STUCK):
             break
+        step = metric @ rest
+        moved = F.col("rate") - sum((F.lit(float(step[i])) * a[i] for i in range(1, k)), F.lit(float(step[0])) * a[0])
+        moved = F.greatest(F.lit(float(least_rate)), moved)
+        rated = rated.withColumn("rate", moved if most_rate is None else F.least(F.lit(top), moved))
+        folded += 1
+        if folded == FOLDED:
+            folded, rated = 0, checkpoint(rated)
+            written_rates.append(rated)
+        # Rows that a bound holds do not move, so the metric of the next step leaves them out.
+        free = F.when((F.col("rate") > float(least_rate)) & (F.col("rate") < F.lit(top)), 1.0).otherwise(0.0)
+        row = rated.agg(*(F.sum(F.col("rate") * a[i]).alias(f"s{i}") for i in range(k)), *(F.sum(free * a[i] * a[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
+        reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+        now, moving = np.abs(reached - target).max(), square(row)
+        metric = np.linalg.pinv(moving + np.eye(k) * 1e-9 * moving.trace()) if now < worst and moving.trace() > 0 else inverse
     discard(*written_rates[:-1])
     return Mix(rated, reached.tolist(), target.tolist())
 

@@ -193,7 +193,7 @@ def _met(rows: DataFrame, anchors: DataFrame, pieces: int, shape: tuple[int, int
             order = Window.partitionBy("anchor", "slot").orderBy(F.desc("key"), "vec_id")
             out.append(written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n), "met"))
             for b in sent:
-                b.unpersist()
+                b.destroy()
     if not out:
         return rows.sparkSession.createDataFrame([], f"{_FIELDS}, rank int")
     found = out[0]

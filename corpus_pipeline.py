@@ -1,11 +1,12 @@
 """A corpus pipeline over ``documents``: five stages, each over all that the one before kept.
 
-``run`` writes each stage's result as Parquet in the shared folder and reads it again.
+``run`` writes each stage's result as Parquet in the shared folder, reads it again and deletes it after the next stage.
 
 Rows with a null or empty text pass toxicity (scored by the bias), near-duplicates (linked with nothing), secrets and
-mixing (no tokens, so kept once), and are encoded as no tokens. Of rows that repeat a key near-duplicates keeps one;
-rows with a null key stay. Empty tables give empty results. Columns beyond those of ``documents`` are carried along up
-to the last stage, whatever their names.
+mixing (no tokens, so nothing to thin out), and are encoded as no tokens. Of rows that repeat a key near-duplicates keeps one;
+rows with a null key stay. Empty tables, tables without any text and tables without labels go through all stages; where
+nothing tells domains apart, mixing keeps all that is there. Columns beyond those of ``documents`` are carried along up to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, mixing, neardup, secrets, toxicity
-from ledgerloom.llm.common import table, written
+from ledgerloom.llm.common import discard, table, written
 from ledgerloom.llm.queries import tokenizer_path
 
 #: Documents that score as high are rejected.
@@ -39,8 +40,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Meets the weights by thinning out what is too much, over the documents that are left; none comes twice."""
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), WEIGHTS, total=None, most_rate=1.0, only_first_rises=True, strict=True)
+    """Meets the weights by thinning out what is too much, over the documents that are left; none comes twice.
+
+    Where the weights cannot be met, all documents stay.
+    """
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), WEIGHTS, total=None, most_rate=1.0, only_first_rises=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return docs

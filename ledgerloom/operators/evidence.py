@@ -63,6 +63,30 @@ def match_transactions(reported: DataFrame, transfers: DataFrame, tolerance: flo
     return both.drop("bin").withColumn("reasons", match_reasons())
 
 
+def reasoned_matches(reported: DataFrame, transfers: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """The rows of ``match_transactions`` that have a reason, without the pairs that have none.
+
+    All reasons but the same amount, which lies in the same bin, are equal values of both sides. So rows meet by bin and by
+    what makes a reason: the source, the pair turned round, the asset or the amount; a pair that meets by several is kept
+    where the first of them brought it.
+    """
+    wide = float(2 * tolerance)
+    place = lambda c: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(1e-6))) / F.lit(wide)).cast("long")
+
+    def ways(source, turned, asset, amount):
+        # A null makes no reason, so its key is left out.
+        keys = [("source", F.col(source)), ("turned", F.concat(F.col(turned[0]), F.lit(">"), F.col(turned[1]))), ("asset", F.col(asset)), ("amount", F.col(amount).cast("decimal(38,10)").cast("string"))]
+        return F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("way"), v.alias("value")) for i, (_, v) in enumerate(keys))), lambda x: x["value"].isNotNull())).alias("key")
+
+    left = reported.withColumn("key", ways("src", ("dst", "src"), "asset", "amount")).withColumn("bin", F.explode(F.array(*(place("amount") + i for i in (-1, 0, 1)))))
+    right = transfers.select("case_id", F.col("edge_id").alias("tx_edge"), F.col("src").alias("tx_src"), F.col("dst").alias("tx_dst"), F.col("amount").alias("tx_amount"), F.col("asset").alias("tx_asset"), F.col("ts").alias("tx_ts"))
+    right = right.withColumn("key", ways("tx_src", ("tx_src", "tx_dst"), "tx_asset", "tx_amount")).withColumn("bin", place("tx_amount"))
+    both = left.join(right, ["case_id", "bin", "key"]).where(F.abs(F.col("tx_amount") - F.col("amount")).cast("double") <= F.col("amount").cast("double") * tolerance)
+    same = [F.col("src") == F.col("tx_src"), (F.col("src") == F.col("tx_dst")) & (F.col("dst") == F.col("tx_src")), F.col("asset") == F.col("tx_asset"), F.col("amount") == F.col("tx_amount")]
+    brought = F.array_position(F.array(*(F.coalesce(c, F.lit(False)) for c in same)), True) - 1
+    return both.where(F.col("key.way") == brought).drop("bin", "key").withColumn("reasons", match_reasons())
+
+
 def match_reasons():
     reason = lambda c, name: F.when(c, F.lit(name))
     return F.array_compact(

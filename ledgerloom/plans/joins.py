@@ -74,7 +74,7 @@ def report_tx_theta_join(t: Tables) -> DataFrame:
 
 @query("edge_match_reasons", f"SELECT * FROM ({_MATCH}) x WHERE len(reasons) > 0")
 def edge_match_reasons(t: Tables) -> DataFrame:
-    return E.match_transactions(t.ev_edges.select("case_id", "reported_id", "src", "dst", "asset", "amount"), t.dense).where(F.size("reasons") > 0).select("reported_id", "tx_edge", "reasons")
+    return E.reasoned_matches(t.ev_edges.select("case_id", "reported_id", "src", "dst", "asset", "amount"), t.dense).select("reported_id", "tx_edge", "reasons")
 
 
 @query("scanner_label_join", """SELECT e.entity_id, n.n_name AS label FROM ev_entities e JOIN nation n ON e.pos % 25 = n.n_nationkey""")

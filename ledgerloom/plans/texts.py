@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..operators import retrieval
 from ..operators.relational import kept, top_n_per_group
 from ..registry import query
 from ..views import Tables
@@ -21,22 +22,7 @@ _TOKENS = "list_filter(regexp_extract_all(lower(text), '0x[0-9a-f]+|[a-z0-9_:-]{
  SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) x WHERE rn <= 10""",
 )
 def tfidf_topk(t: Tables) -> DataFrame:
-    return tfidf(t.documents.select("doc_id", "text"), t.benchmark, 10)
-
-
-def tfidf(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k documents for each query by weighted shared tokens: item_id, doc_id, score.
-
-    Postings are cut down to tokens that a query has before anything is counted.
-    """
-    asked = queries.select("item_id", F.explode(tokens("text")).alias("tok")).groupBy("item_id", "tok").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("tok").distinct()
-    tf = docs.select("doc_id", F.explode(tokens("text")).alias("tok")).join(wanted, "tok", "left_semi").groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weighted = asked.join(df, "tok").join(F.broadcast(n)).withColumn("w", (1 + F.log("qtf")) * F.greatest(F.log((F.col("n") + 1) / (F.col("df") + 0.5)), F.lit(0.1)))
-    scored = tf.join(weighted, "tok").groupBy("item_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) * F.col("w")), 4).alias("score"))
-    return top_n_per_group(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], k)
+    return retrieval.tfidf(t.documents.select("doc_id", "text"), t.benchmark, 10, tokens)
 
 
 @query(

@@ -19,7 +19,7 @@ from .relational import dropped, kept, top_n_per_group
 
 #: Documents of a block, about.
 BLOCK = 64
-#: Blocks of a query that are scored first; together they have k documents as a rule.
+#: Blocks of a query that are scored first, beside one for each of the k documents that are sought.
 FIRST = 2
 #: Scores are rounded to so many places before they are ranked.
 PLACES = 4
@@ -66,7 +66,7 @@ def scored(index: Index, chosen: DataFrame) -> DataFrame:
 def bounded_blocks(index: Index, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of the blocks to score first (item_id, block), their scores, and the other blocks that may have one of the k best."""
     bounds = kept(index.blocks.join(index.weights, "tok").groupBy("item_id", "block").agg(F.sum(F.col("most") * F.col("w")).alias("bound")))
-    first = kept(top_n_per_group(bounds, ["item_id"], [F.desc("bound"), F.col("block")], FIRST))
+    first = kept(top_n_per_group(bounds, ["item_id"], [F.desc("bound"), F.col("block")], k + FIRST))
     found = kept(scored(index, first))
     best = top_n_per_group(found, ["item_id"], [F.desc("score"), F.col("doc_id")], k, rank="place")
     floors = best.where(F.col("place") == k).select("item_id", F.col("score").alias("floor"))

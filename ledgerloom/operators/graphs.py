@@ -26,10 +26,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
     while depth is None or n < depth:
         n += 1
         to = steps.join(frontier.select("case_id", "node"), ["case_id", "node"]).select("case_id", F.col("to").alias("node")).distinct()
-        frontier = kept(to.join(seen, ["case_id", "node"], "left_anti").withColumn("step", F.lit(n)))
-        if frontier.isEmpty():
+        new = kept(to.join(seen, ["case_id", "node"], "left_anti").withColumn("step", F.lit(n)))
+        if new.isEmpty():
+            dropped(new)
             break
-        seen = kept(seen.unionByName(frontier))
+        grown = kept(seen.unionByName(new))
+        dropped(*({seen, frontier}))
+        seen, frontier = grown, new
+    if frontier is not seen:
+        dropped(frontier)
     return seen
 
 
@@ -137,10 +142,10 @@ def chains(edges: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         far = at.select("case_id", F.col("edge_id").alias("end"), F.col("end").alias("far"), F.col("length").alias("more"))
         now = kept(at.join(far, ["case_id", "end"]).select("case_id", "edge_id", F.col("far").alias("end"), (F.col("length") + F.col("more")).alias("length"), (F.col("more") > 0).alias("moved")))
-        moved = not now.where("moved").isEmpty()
-        at = now.drop("moved")
-        if not moved:
-            return at
+        dropped(at)
+        at = now
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
     raise RuntimeError("chains have a cycle")
 
 
@@ -171,7 +176,7 @@ def beam_rollout(candidates: DataFrame, starts: DataFrame, threshold: float = 0.
     step = candidates.select("case_id", F.col("src").alias("node"), "edge_id", F.col("dst").alias("to"), F.col("p_follow").alias("p"))
     has = step.select("case_id", "node").distinct().withColumn("leads", F.lit(True))
     at = starts.select("case_id", "node").distinct().withColumns({"path": F.array().cast("array<string>"), "seen": F.array("node"), "probability": F.lit(1.0), "used": F.lit(0)})
-    out = None
+    out, rounds = None, []
 
     def ended(rows: DataFrame, reason) -> DataFrame:
         return rows.select("case_id", "path", "probability", reason.alias("reason"))
@@ -188,8 +193,11 @@ def beam_rollout(candidates: DataFrame, starts: DataFrame, threshold: float = 0.
         part = ended(over, F.lit("budget")).unionByName(ended(stuck, F.when(F.col("leads"), "no_follow").otherwise("dead_end")))
         out = part if out is None else out.unionByName(part)
         at = kept(top_n_per_group(grown.drop("parent"), ["case_id"], [F.desc("probability"), F.concat_ws(",", "path")], beam))
+        rounds.append(at)
     out = out.unionByName(ended(at.join(has, ["case_id", "node"], "left"), F.when(F.col("leads"), "budget").otherwise("dead_end")))
-    return out.where(F.size("path") > 0)
+    out = kept(out.where(F.size("path") > 0))
+    dropped(*rounds)
+    return out
 
 
 def state_rollout(states: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -215,19 +223,24 @@ def push_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, epsilon
     n = starts.groupBy("case_id").agg(F.count("*").alias("n"))
     state = kept(starts.join(n, "case_id").select("case_id", "node", F.lit("").alias("held"), (1 / F.col("n")).alias("residual"), F.lit(0.0).alias("rank")))
     own = kept(own)
+    dropped(out)
     while True:
         rows = state.join(degree, ["case_id", "node"], "left").join(own.withColumnRenamed("via", "held"), ["case_id", "node", "held"], "left")
         hot = F.col("residual") > epsilon * F.coalesce("degree", F.lit(1))
         moved = kept(rows.withColumn("push", F.when(hot, F.col("residual")).otherwise(0.0)))
         if moved.where("push > 0").isEmpty():
-            return moved.groupBy("case_id", "node").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual"))
+            result = kept(moved.groupBy("case_id", "node").agg(F.sum("rank").alias("rank"), F.sum("residual").alias("residual")))
+            dropped(moved, state, degree, flows, own)
+            return result
         stay = moved.select("case_id", "node", "held", (F.col("residual") - F.col("push")).alias("residual"), (F.col("rank") + alpha * F.col("push") + F.when(F.col("degree").isNull(), (1 - alpha) * F.col("push")).otherwise(0.0)).alias("rank"))
         # Shares of the edges of the symbol that is held, and of all others.
         same = F.when(F.col("o") >= F.col("total"), 1.0).otherwise(beta)
         share = F.when(F.col("o").isNull(), F.col("w") / F.col("total")).when(F.col("held") == F.col("via"), same * F.col("w") / F.col("o")).otherwise((1 - same) * F.col("w") / (F.col("total") - F.col("o")))
         pushed = moved.where("push > 0").select("case_id", "node", "held", F.col("own").alias("o"), "push").join(flows.drop("own"), ["case_id", "node"])
         flow = pushed.select("case_id", F.col("to").alias("node"), F.col("via").alias("held"), ((1 - alpha) * F.col("push") * share).alias("residual"), F.lit(0.0).alias("rank"))
-        state = kept(stay.unionByName(flow).groupBy("case_id", "node", "held").agg(F.sum("residual").alias("residual"), F.sum("rank").alias("rank")))
+        now = kept(stay.unionByName(flow).groupBy("case_id", "node", "held").agg(F.sum("residual").alias("residual"), F.sum("rank").alias("rank")))
+        dropped(state, moved)
+        state = now
 
 
 def conductance_sweep(edges: DataFrame, ranks: DataFrame, phi: float = 0.5) -> DataFrame:
@@ -265,17 +278,21 @@ def dense_peel(edges: DataFrame, epsilon: float = 0.1) -> DataFrame:
     alive = kept(pairs.select("case_id", F.explode(F.array("src", "dst")).alias("node")).distinct())
     history = None
     for n in count():  # a pass drops a node at least
+        left = pairs
         for end in ("src", "dst"):
-            pairs = pairs.join(alive.withColumnRenamed("node", end), ["case_id", end], "left_semi")
-        pairs = kept(pairs)
+            left = left.join(alive.withColumnRenamed("node", end), ["case_id", end], "left_semi")
+        left = kept(left)
+        dropped(pairs)
+        pairs = left
         half = pairs.select("case_id", F.explode(F.array("src", "dst")).alias("node"), "w")
         degree = alive.join(half.groupBy("case_id", "node").agg(F.sum("w").alias("d")), ["case_id", "node"], "left").na.fill(0.0, ["d"])
         mean = degree.groupBy("case_id").agg(F.avg("d").alias("mean"), F.count("*").alias("size"))
         scored = kept(degree.join(mean, "case_id").withColumns({"density": F.col("mean") / 2, "pass": F.lit(n)}))
         history = scored if history is None else history.unionByName(scored)
-        alive = scored.where(F.col("d") > (1 + epsilon) * F.col("mean")).select("case_id", "node")
-        alive = kept(alive)
+        dropped(alive)
+        alive = kept(scored.where(F.col("d") > (1 + epsilon) * F.col("mean")).select("case_id", "node"))
         if alive.isEmpty():
             break
+    dropped(pairs, alive)
     best = history.groupBy("case_id").agg(F.max_by("pass", F.struct(F.col("density"), -F.col("pass"))).alias("pass"))
     return history.join(best, ["case_id", "pass"]).select("case_id", "node", "density", "size")

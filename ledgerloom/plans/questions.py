@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import questions as Q
+from ..operators.relational import dropped, kept
 from ..registry import query
 from ..views import Tables
 from .labels import _REC, recommended_action
@@ -112,4 +113,9 @@ _ALL = " UNION ALL ".join(f"SELECT case_id, question_type, subject, predicate, o
 
 @query("qa_all", f"WITH u AS (SELECT DISTINCT * FROM ({_ALL}) z) SELECT case_id, question_type, subject, predicate, object, case_id || ':' || lpad(CAST(row_number() OVER (PARTITION BY case_id ORDER BY question_type, subject, predicate, object) AS VARCHAR), 5, '0') || ':' || question_type AS qa_id FROM u")
 def qa_all(t: Tables) -> DataFrame:
-    return Q.numbered(reduce(DataFrame.unionByName, (f(t) for f, _ in PARTS.values())))
+    """All parts; the views that most of them read are written once, and deleted when all rows are numbered and written."""
+    views = {name: kept(getattr(t, name)) for name in ("ev_edges", "ev_entities")}
+    t.__dict__.update(views)
+    out = Q.numbered(reduce(DataFrame.unionByName, (f(t) for f, _ in PARTS.values())))
+    dropped(*views.values())
+    return out

@@ -43,6 +43,22 @@ def discover_documents(t: Tables) -> DataFrame:
     return files.join(held, "path").groupBy("namespace", "case_dir").agg(F.sum("n_rows").alias("n_rows"), F.bool_and(F.col("n_bytes") > 0).alias("sized"))
 
 
+_PATHS = """CASE WHEN page_id % 4 < 2 THEN 'cases' ELSE 'summarized' END || '/' || CASE WHEN page_id % 11 = 0 THEN '_old' WHEN page_id % 11 = 1 THEN 'xx-draft' ELSE 'case_' || CAST(page_id % 50 AS VARCHAR) END || CASE WHEN page_id % 13 = 0 THEN '/deep' ELSE '' END || '/' || CASE page_id % 4 WHEN 0 THEN 'case.json' WHEN 1 THEN 'run_' || CAST(page_id AS VARCHAR) || '.json' WHEN 2 THEN 'summary.json' ELSE CASE WHEN page_id % 3 = 0 THEN 'chain_evidence.json' ELSE 'case.json' END END"""
+
+
+@query(
+    "document_metadata",
+    f"""WITH f AS (SELECT page_id, {_PATHS} AS path FROM pages), p AS (SELECT *, string_split(path, '/') AS x FROM f),
+ d AS (SELECT *, CASE WHEN x[1] = 'cases' AND x[3] = 'case.json' THEN 'case_report_manifest' WHEN x[1] = 'summarized' AND x[3] = 'summary.json' THEN 'case_report_summary' WHEN x[1] = 'summarized' AND x[3] = 'chain_evidence.json' THEN 'chain_evidence' WHEN x[1] = 'cases' AND x[3] LIKE 'run%.json' THEN 'report_collection_run' END AS document_type FROM p WHERE len(x) = 3 AND NOT starts_with(x[2], '_') AND NOT x[2] LIKE 'xx-%')
+ SELECT path, x[1] || '.' || regexp_replace(x[3], '[.][^.]*$', '') AS namespace, document_type, x[2] AS case_dir, CASE WHEN page_id % 5 > 1 THEN 'id_' || CAST(page_id AS VARCHAR) END AS case_id, CASE WHEN page_id % 5 > 2 THEN 'name' END AS case_name FROM d WHERE document_type IS NOT NULL""",
+)
+def document_metadata(t: Tables) -> DataFrame:
+    """Type, case and namespace of a document a page; contents are objects with and without id and name, and other text."""
+    content = F.expr("case page_id % 5 when 0 then html when 1 then '[1]' when 2 then to_json(named_struct('case_id', concat('id_', cast(page_id as string)), 'case_name', '')) else to_json(named_struct('case_id', concat('id_', cast(page_id as string)), 'case_name', 'name')) end")
+    files = t.pages.select(F.expr(_PATHS.replace("VARCHAR", "STRING")).alias("path"), content.alias("content"))
+    return S.case_documents(files, include_runs=True)
+
+
 @query("sink_jsonl", """SELECT o_orderpriority AS case_dir, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
 def sink_jsonl(t: Tables) -> DataFrame:
     path = S.scratch(t.spark, "jsonl")

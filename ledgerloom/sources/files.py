@@ -57,6 +57,30 @@ def discovered(files: DataFrame, pattern: str = ".") -> DataFrame:
     return rows.select(*files.columns, folder(-3).alias("namespace"), folder(-2).alias("case_dir"), F.element_at(parts, -1).alias("name"))
 
 
+# Documents of a case by the folder and the name of their file; any other run is a collection run.
+DOCUMENTS = {("cases", "case.json"): "case_report_manifest", ("summarized", "summary.json"): "case_report_summary", ("summarized", "chain_evidence.json"): "chain_evidence"}
+RUN = "report_collection_run"
+
+
+def case_documents(files: DataFrame, include_runs: bool = False) -> DataFrame:
+    """Documents of cases among files (path below the root, content): path, namespace, document_type, case_dir, case_id, case_name.
+
+    A document lies at cases/<case>/case.json or summarized/<case>/summary.json or chain_evidence.json, with ``include_runs``
+    also at cases/<case>/run*.json; folders that start with _ or xx- are left out. Id and name come from the content; they
+    are null where it is no JSON object or has none.
+    """
+    parts = F.split("path", "/")
+    rows = files.where((F.size(parts) == 3) & ~parts[1].rlike("^(?:_|xx-)")).select("path", "content", parts[0].alias("__base"), parts[1].alias("case_dir"), parts[2].alias("__name"))
+    kind = F.lit(None).cast("string")
+    for (base, name), value in DOCUMENTS.items():
+        kind = F.when((F.col("__base") == base) & (F.col("__name") == name), value).otherwise(kind)
+    if include_runs:
+        kind = F.when((F.col("__base") == "cases") & F.col("__name").rlike(r"^run.*[.]json$"), RUN).otherwise(kind)
+    said = lambda key: F.nullif(F.get_json_object("content", f"$.{key}"), F.lit(""))
+    namespace = F.concat_ws(".", "__base", F.regexp_replace("__name", "[.][^.]*$", ""))
+    return rows.withColumn("document_type", kind).where("document_type IS NOT NULL").select("path", namespace.alias("namespace"), "document_type", "case_dir", said("case_id").alias("case_id"), said("case_name").alias("case_name"))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, n_bytes and SHA-256 of the files below a folder. A file is read by one task; writers bound its rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

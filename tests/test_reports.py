@@ -43,6 +43,17 @@ def test_evidence_falls_back(spark):
     assert {r.entity_id: r.evidence for r in R.entities(df, sources.limit(0)).collect()}[sol[0]] == []
 
 
+def test_case_documents(spark):
+    from ledgerloom.sources.files import case_documents
+
+    full = '{"case_id": "c1", "case_name": "One"}'
+    rows = [("cases/a/case.json", full), ("cases/a/run_2.json", "[]"), ("cases/_b/case.json", full), ("cases/xx-c/case.json", full), ("summarized/a/summary.json", '{"case_id": ""}'), ("summarized/a/chain_evidence.json", "no json"), ("summarized/a/case.json", full), ("cases/a/b/case.json", full), ("case.json", full), ("cases/a/notes.json", full), ("cases/d/case.json", None)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    plain = {r.path: tuple(r)[1:] for r in case_documents(files).collect()}
+    assert plain == {"cases/a/case.json": ("cases.case", "case_report_manifest", "a", "c1", "One"), "summarized/a/summary.json": ("summarized.summary", "case_report_summary", "a", None, None), "summarized/a/chain_evidence.json": ("summarized.chain_evidence", "chain_evidence", "a", None, None), "cases/d/case.json": ("cases.case", "case_report_manifest", "d", None, None)}
+    assert {r.path for r in case_documents(files, include_runs=True).collect()} - set(plain) == {"cases/a/run_2.json"}
+
+
 def test_address_roles(spark):
     rows = [("attacker", "service", "cex_deposit"), ("x", "service", "mixer_deposit"), ("bridge", "service", ""), ("router", "service", ""), ("centralized_exchange", "service", None), ("mixer_contract_set", "service", ""), ("x", "contract_or_protocol", ""), (None, "service", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, role string, kind string, pattern string")

@@ -63,6 +63,7 @@ PHRASES = (
     ("cc", f"(?<![0-9a-z])cc(?:0|{_GAP}by)(?![0-9a-z])"),
     ("asl", f"asl{_GAP}2{_GAP}0"),
     ("perl", f"as{_GAP}perl"),
+    ("mpl", f"mpl{_GAP}(?:v(?:{_GAP})?)?2{_GAP}0"),
     ("attribution", f"mit{_GAP}no{_GAP}attribution"),
     # Short names count only as what something is under: in other languages they are words.
     *((w, f"under{_GAP}(?:the{_GAP})?(?:terms{_GAP}of{_GAP}(?:the{_GAP})?)?{w}(?![0-9a-z])") for w in ("mit", "isc", "psf", "mpl")),

@@ -1,10 +1,10 @@
-"""Boosted trees against a plain tree search and on held-out rows; registries of detectors."""
+"""Boosted trees and a layered network against a plain tree search and on held-out rows; registries of detectors."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import boosting, detectors
+from ledgerloom.operators import boosting, detectors, layered
 
 
 def test_first_split_is_the_best():
@@ -56,6 +56,41 @@ def test_classes_on_held_out_rows(spark):
     assert (one[1].leaf == two[1].leaf).all()
 
 
+def test_network_gradients():
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((30, 4)), rng.integers(0, 3, 30)
+    net = layered.train(x, y, 3, hidden=5, epochs=1)
+    v = net.inputs(x)
+
+    def loss():
+        z = np.maximum(v @ net.w1 + net.b1, 0) @ net.w2 + net.b2
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(30), y])) + 0.01 / 60 * float((net.w1**2).sum() + (net.w2**2).sum())
+
+    for name, g in zip(("w1", "b1", "w2", "b2"), layered.gradients(net, v, y, 0.01)):
+        a = getattr(net, name)
+        at = np.unravel_index(np.argmax(np.abs(g)), a.shape)
+        a[at] += 1e-5
+        up = loss()
+        a[at] -= 2e-5
+        down = loss()
+        a[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-3), name
+
+
+def test_network_on_held_out_rows(spark):
+    rows = made(spark, 1200)
+    train = F.col("edge_id").cast("int") % 2 == 0
+    net = layered.fit_network(rows.where(train), ["a", "b", "c"], 4, ["edge_id"], rate=0.01)
+    names = [f"p{i}" for i in range(4)]
+    out = layered.with_class_probabilities(rows.where(~train).withColumn("p0", F.lit("mine")), net, ["a", "b", "c"], names)
+    best = F.array_position(F.array(*names), F.greatest(*names)) - 1
+    assert out.select(F.avg((best == F.col("label")).cast("double"))).first()[0] > 0.95
+    odd = spark.createDataFrame([("1", None, float("nan"), float("inf"), None)], rows.schema)
+    assert sum(layered.with_class_probabilities(odd, net, ["a", "b", "c"], names).select(*names).first()) == pytest.approx(1)
+    none = layered.fit_network(rows.where("false"), ["a", "b", "c"], 4, ["edge_id"])
+    assert list(layered.with_class_probabilities(odd, none, ["a", "b", "c"], names).select(*names).first()) == [0.25] * 4
+
+
 def test_odd_rows(spark):
     schema = "edge_id string, a double, label int"
     empty = spark.createDataFrame([], schema)

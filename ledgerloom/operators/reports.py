@@ -36,6 +36,7 @@ def flags(rules: Sequence[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(v)) for c, v in rules)))
 
 
+# Kinds of incidents and the words that call for them.
 def incident_type(protocol: Column, vulnerability: Column, cause: Column) -> Column:
     return chosen(
         [
@@ -84,6 +85,7 @@ def skills(text: Column, has_exchange_flow: Column) -> Column:
     return flags([(F.lit(True), n) for n in ALWAYS_SKILLS] + rules)
 
 
+# Roles of addresses and the words that call for them.
 def address_role(role: Column, kind: Column, pattern: Column | None = None) -> Column:
     """Role of an address by its entity and, if given, the pattern of a flow; never more than they say."""
     pattern = F.lit("") if pattern is None else pattern

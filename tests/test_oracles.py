@@ -49,7 +49,7 @@ def test_oracle(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["beam_rollout", "dense_peel", "push_rank", "run_experiment", "multi_method_predict", "fit_logistic", "model_registry"])
+@pytest.mark.parametrize("name", ["beam_rollout", "dense_peel", "push_rank", "suspicious_set", "fit_mlp", "fit_boosted", "node_detector_1pct", "run_experiment", "multi_method_predict", "fit_logistic", "model_registry"])
 def test_without_twin(spark, name):
     rows = registry.QUERIES[name](spark, DATA).collect()
     if name == "push_rank":
@@ -57,6 +57,13 @@ def test_without_twin(spark, name):
         for r in rows:
             total[r.case_id] = total.get(r.case_id, 0) + r["rank"] + r.residual
         assert all(abs(t - 1) < 1e-6 for t in total.values())
+    if name == "suspicious_set":
+        assert all(0 <= r.share <= 1 and r.size >= 1 for r in rows) and max(r.share for r in rows) == 1
+    if name in ("fit_mlp", "fit_boosted"):
+        # Better than the most frequent of four actions.
+        assert sum(r.n * r.accuracy for r in rows) / sum(r.n for r in rows) > 0.3 and all(0 <= r.accuracy <= 1 for r in rows)
+    if name == "node_detector_1pct":
+        assert all(0 <= r.p <= 1 and 1 <= r["rank"] <= 10 for r in rows)
     if name == "model_registry":
         assert all(r.difference == 0 for r in rows)
     if name == "beam_rollout":

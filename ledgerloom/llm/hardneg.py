@@ -11,7 +11,8 @@ scores.
 3. Negatives: anchors meet all other rows; each positive's score gives a range of scores, in which the first rows count.
 
 Anchors come in pieces of at most ``PIECE_BYTES``, ``PIECES`` of them to a job; rows stay where they are and are read once a
-job. A task holds a block of candidates and the best rows of one piece's anchors.
+job. A task holds the anchors of a job's pieces, at most 64 MB of vectors (some 300 MB as Python numbers), a block of candidates
+and the best rows of each anchor so far.
 
 Rows with a null id, label or vector, or with a null or non-finite component, take no part. Rows equal in id, label and
 vector count once. Rows that share an id but differ are rows of their own; they are never positives of each other. Vectors

@@ -26,7 +26,7 @@ def scan_case_documents(t: Tables) -> DataFrame:
     for kind in ("summary", "evidence"):
         docs.select(F.col("case_id").alias("case_dir"), F.lit(kind).alias("artifact"), "n_stages").write.partitionBy("case_dir", "artifact").mode("append").json(path)
     rows = t.spark.read.schema("n_stages long, case_dir string, artifact string").json(path)
-    return S.case_documents(rows, ("summary", "evidence"))
+    return S.complete_cases(rows, ("summary", "evidence"))
 
 
 _FOLDER = "CASE source_type WHEN 'forum' THEN '_skipped' WHEN 'audit' THEN '01-audit' ELSE '02-news' END"

@@ -54,6 +54,15 @@ def test_case_documents(spark):
     assert {r.path for r in case_documents(files, include_runs=True).collect()} - set(plain) == {"cases/a/run_2.json"}
 
 
+def test_complete_cases(spark):
+    """Documents of a case by artifact; a case without one of them is not complete."""
+    from ledgerloom.sources.files import complete_cases
+
+    rows = spark.createDataFrame([(3, "a", "summary"), (3, "a", "evidence"), (1, "b", "summary"), (2, "c", "evidence"), (2, "c", "evidence")], "n_stages long, case_dir string, artifact string")
+    got = {r.case_dir: (r.n_stages, r.complete) for r in complete_cases(rows, ("summary", "evidence")).collect()}
+    assert got == {"a": (3, True), "b": (1, False), "c": (2, False)}
+
+
 def test_address_roles(spark):
     rows = [("attacker", "service", "cex_deposit"), ("x", "service", "mixer_deposit"), ("bridge", "service", ""), ("router", "service", ""), ("centralized_exchange", "service", None), ("mixer_contract_set", "service", ""), ("x", "contract_or_protocol", ""), (None, "service", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, role string, kind string, pattern string")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_texts, checkpoint, discard, hot_keys, salted_join, small, unused, written
+from .common import append_columns, as_texts, checkpoint, discard, fewer_tasks, hot_keys, salted_join, small, unused, written
 from .graph import connected_components
 
 WORDS = 5
@@ -54,6 +54,8 @@ MISSED = 2e-6
 WORK = 500
 #: Rounds with fewer leaders than these are always taken, as they unite most of a group of copies.
 FIRST_ROUNDS = 4
+#: Rows of narrow tables that a whole set stands for, where the number of tasks is chosen.
+SET_ROWS = 25
 #: An estimate of the similarity below this, at 32 values, is more than five deviations under 0.85.
 LEAST_ESTIMATE = 17 / 32
 
@@ -115,12 +117,12 @@ def estimate(a: list[int], b: list[int], n_a: int, n_b: int, percent: int = PERC
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that the union sketch leaves, with all their columns."""
+    """The pairs (a, b), a table of their own, that the union sketch leaves, with all their columns."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     both = salted_join(pairs, side("a"), "a", "b", hot).join(side("b"), "b")
     fields = [T.StructField("likely", T.BooleanType())]
     make = lambda: lambda sa, sb, na, nb: [[estimate(*x, percent) for x in zip(sa, sb, na, nb)]]
-    return append_columns(both, ["sa", "sb", "na", "nb"], fields, make).where("likely").select(*pairs.columns)
+    return append_columns(fewer_tasks(both, pairs.count()), ["sa", "sb", "na", "nb"], fields, make).where("likely").select(*pairs.columns)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -139,7 +141,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
-    """The pairs whose whole sets are similar enough, with all their columns."""
+    """The pairs, a table of their own, whose whole sets are similar enough, with all their columns."""
     both = salted_join(pairs, sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a", "b", hot)
     both = both.join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
 
@@ -149,7 +151,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | No
         return 100 * common >= percent * (len(x) + len(y) - common)
 
     make = lambda: lambda sa, sb: [[linked(a, b) for a, b in zip(sa, sb)]]
-    return append_columns(both, ["sa", "sb"], [T.StructField("linked", T.BooleanType())], make).where("linked").select(*pairs.columns)
+    return append_columns(fewer_tasks(both, SET_ROWS * pairs.count()), ["sa", "sb"], [T.StructField("linked", T.BooleanType())], make).where("linked").select(*pairs.columns)
 
 
 def least_short(percent: int) -> int:
@@ -166,9 +168,9 @@ def _sized(percent: int, a: str = "na", b: str = "nb"):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _with_roots(rows: DataFrame, links: DataFrame, many: int) -> DataFrame:
     """Rows with the component of their class."""
-    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    roots = connected_components(links, many).select(F.col("node").alias("class"), "root")
     return rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
@@ -176,19 +178,21 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     """Links (a, b) between classes, enough of them to give all components."""
     docs = docs.where("doc_id is not null")
     named = found.where("class is not null and doc_id is not null")
-    classes = checkpoint(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = checkpoint(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), found.count())
+    many = classes.count()
     places = classes.select("class", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    leaders = checkpoint(places.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("class", "n")).alias("leader")).where("length > 1"))
-    lists = written(salted_join(places, leaders, "value", "class", hot_keys(leaders.select("value", F.col("length").alias("n")), "value")), "lists")
+    leaders = checkpoint(places.groupBy("value").agg(F.count("*").alias("length"), F.min(F.struct("class", "n")).alias("leader")).where("length > 1"), LISTED * many)
+    joined = salted_join(places, leaders, "value", "class", hot_keys(leaders.select("value", F.col("length").alias("n")), "value"))
+    lists = written(fewer_tasks(joined, LISTED * many), "lists")
     discard(leaders)
 
     def confirm(pairs: DataFrame, led: bool) -> DataFrame:
         """The linked ones of pairs (a, b); many of them may have the same ``a`` if they are ``led``."""
-        pairs = checkpoint(pairs.distinct())
+        pairs = checkpoint(pairs.distinct(), many)
         hot = _hot_leaders(pairs) if led else None
         likely = checkpoint(_likely(pairs, classes, percent, hot))
         wanted = likely.select(F.col("a").alias("class")).union(likely.select(F.col("b"))).distinct().join(classes.select("class", "doc_id"), "class")
-        sets = written(_sets(docs, wanted, size), "sets")
+        sets = written(fewer_tasks(_sets(docs, wanted, size), SET_ROWS * many), "sets")
         linked = checkpoint(_linked(likely, sets, percent, hot))
         discard(pairs, likely, sets)
         return linked
@@ -200,21 +204,23 @@ def near_duplicate_links(docs: DataFrame, found: DataFrame, size: int = WORDS, p
     # 1. Each class with one leader.
     star = lists.select(F.col("leader.class").alias("a"), F.col("class").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb")).where("a != b").where(_sized(percent))
     most = star.groupBy("b", "a").agg(F.count("*").alias("shared")).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    links = checkpoint(links.unionByName(confirm(most.select("a", "b"), True)))
+    links = checkpoint(links.unionByName(confirm(most.select("a", "b"), True)), many)
 
     # 2. Shorter lists in full, between components.
-    short = checkpoint(_with_roots(lists.where(F.col("length") <= LIST).select("value", "class", "n"), links))
-    links = checkpoint(links.unionByName(confirm(_across(short, percent), False)))
+    short = checkpoint(_with_roots(lists.where(F.col("length") <= LIST).select("value", "class", "n"), links, many), LISTED * many)
+    links = checkpoint(links.unionByName(confirm(_across(short, percent), False)), many)
 
     # 3. Documents with too many long lists, by their rarest shingles.
     share = lists.groupBy("class").agg(F.count_if(F.col("length") > LIST).alias("long"), F.max("n").alias("n"))
-    hot = checkpoint(share.where(F.col("long") * LISTED > (LISTED - least_short(percent)) * F.least("n", F.lit(LISTED))).select("class"))
+    hot = checkpoint(share.where(F.col("long") * LISTED > (LISTED - least_short(percent)) * F.least("n", F.lit(LISTED))).select("class", "n"), many)
     discard(lists, short)
-    if hot.isEmpty():
+    held = hot.agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).first()
+    if not held["sets"]:
         return links
-    sets = written(_sets(docs, classes.join(hot, "class", "left_semi").select("class", "doc_id"), size), "sets")
-    rare = checkpoint(_with_roots(_rarest(sets, percent), links))
-    links = checkpoint(links.unionByName(_by_rounds(rare, classes, sets, percent)))
+    wanted = classes.join(hot, "class", "left_semi").select("class", "doc_id")
+    sets = written(fewer_tasks(_sets(docs, wanted, size), SET_ROWS * held["sets"]), "sets")
+    rare = checkpoint(_with_roots(_rarest(sets, percent, held["shingles"]), links, many), held["shingles"])
+    links = checkpoint(links.unionByName(_by_rounds(rare, classes, sets, percent)), many)
     discard(classes, sets)
     return links
 
@@ -229,12 +235,12 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), "value").where("a < b and ra != rb").where(_sized(percent)).select("a", "b")
 
 
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+def _rarest(sets: DataFrame, percent: int, shingles: int) -> DataFrame:
     """Each set's rarest shingles, as many as it can lack in common with a linked set and one more, without those that no other set has: value, class, n, pos."""
     fields = [T.StructField("values", T.ArrayType(T.LongType()))]
     values = append_columns(sets, ["set"], fields, lambda: lambda s: [[np.frombuffer(x, np.int64) for x in s]])
     values = values.select("class", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
-    lengths = checkpoint(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    lengths = checkpoint(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), shingles)
     counted = salted_join(values, lengths.select("value", F.col("n").alias("length")), "value", "class", hot_keys(lengths, "value"), how="left").withColumn("length", F.coalesce("length", F.lit(1)))
     order = Window.partitionBy("class").orderBy("length", "value")
     ranked = counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
@@ -250,26 +256,28 @@ def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     compare is at most ``WORK`` times the lists' rows, all members outside a list's largest component are leaders. Pairs
     are tried once.
     """
-    links, tried, leaders = [], None, 1
+    links, tried, leaders, rows = [], None, 1, rare.count()
     while True:
         parts = rare.groupBy("value", "root").agg(F.count("*").alias("k"))
-        open_lists = checkpoint(parts.groupBy("value").agg(F.sum("k").alias("n"), F.max_by("k", F.struct("k", "root")).alias("largest"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+        open_lists = checkpoint(parts.groupBy("value").agg(F.sum("k").alias("n"), F.max_by("k", F.struct("k", "root")).alias("largest"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1"), rows)
         size = open_lists.agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * (F.col("n") - F.col("largest"))).alias("work")).first()
         if not size["rows"]:
             discard(rare, open_lists)
             break
         hot = hot_keys(open_lists.select("value", "n"), "value")
-        left = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", hot))
+        rows = size["rows"]
+        left = checkpoint(salted_join(rare, open_lists.select("value", "main"), "value", "class", hot), rows)
         discard(rare)
-        last = leaders > FIRST_ROUNDS and size["work"] <= WORK * size["rows"]
+        last = leaders > FIRST_ROUNDS and size["work"] <= WORK * rows
         first = left.where("root != main")
         if not last:
             order = Window.partitionBy("value").orderBy("pos", "class")
             first = left.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders)
-        first = checkpoint(first.groupBy("value").agg(F.collect_list(F.struct("class", "n", "pos", "root")).alias("leaders")))
+        first = checkpoint(first.groupBy("value").agg(F.collect_list(F.struct("class", "n", "pos", "root")).alias("leaders")), rows)
         star = salted_join(left, first, "value", "class", hot).withColumn("l", F.explode(F.filter("leaders", lambda l: _in_reach(l, percent, last))))
         pairs = star.select(F.col("l.class").alias("a"), F.col("class").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb")).distinct()
-        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs, int(size["work"]) if last else leaders * rows)
         led = _hot_leaders(pairs)
         likely = checkpoint(_likely(pairs, classes, percent, led))
         found = checkpoint(_linked(likely, sets, percent, led))
@@ -279,11 +287,11 @@ def _by_rounds(rare: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
             discard(left, first, pairs)
             break
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        joined = checkpoint(connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("now")))
+        joined = checkpoint(connected_components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), rows).select(F.col("node").alias("root"), F.col("root").alias("now")))
         led = first.select("value", F.explode("leaders.class").alias("class"))
         rare = left.drop("main").join(led, ["value", "class"], "left_anti")
-        by_root = hot_keys(rare.groupBy("root").agg(F.count("*").alias("n")), "root")
-        rare = checkpoint(salted_join(rare, joined, "root", "class", by_root, how="left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+        by_root = hot_keys(left.groupBy("root").agg(F.count("*").alias("n")), "root")
+        rare = checkpoint(salted_join(rare, joined, "root", "class", by_root, how="left").withColumn("root", F.coalesce("now", "root")).drop("now"), rows)
         discard(left, first, joined)
         leaders *= 4
     return reduce(DataFrame.unionByName, links) if links else classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
@@ -320,10 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = checkpoint(sketches(texts, size))
     links = near_duplicate_links(texts, found, size, percent)
     # Only classes of several rows or with links need a look-up; all others are their own component.
-    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    rows = found.count()
+    roots = connected_components(links, rows).select(F.col("node").alias("class"), "root")
     classes = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    classes = checkpoint(classes.join(roots, "class", "left").where("n > 1 or root is not null"))
-    least = checkpoint(classes.where("root is not null").groupBy("root").agg(F.min("least").alias("all"), F.count("*").alias("n")))
+    classes = checkpoint(classes.join(roots, "class", "left").where("n > 1 or root is not null"), rows)
+    least = checkpoint(classes.where("root is not null").groupBy("root").agg(F.min("least").alias("all"), F.count("*").alias("n")), rows)
     named = salted_join(classes, least.drop("n"), "root", "class", hot_keys(least, "root"), how="left").select("class", F.coalesce("all", "least").alias("least"))
     out = salted_join(found.drop("sketch"), named, "class", "doc_id", hot_keys(classes, "class"), how="left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))

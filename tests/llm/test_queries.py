@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, licenses, media, mixing, neardup, pii, queries, secrets, topk, toxicity, wordpiece
+from ledgerloom.llm.common import checkpoint
 from ledgerloom.llm.graph import connected_components
 
 from .test_units import brute_set
@@ -196,6 +197,31 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_small_tables_take_few_tasks(spark):
+    """A few links over 40 shuffle partitions that nothing joins again: steps of components, and their tables, start few tasks."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    links = checkpoint(spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1008)], "a long, b long"))
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-tasks", "components of a few links")
+        got = {r.node: r.root for r in connected_components(links).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(300)} | {i: 1000 for i in range(1000, 1009)}
+    stages = {i for j in tracker.getJobIdsForGroup("few-tasks") for i in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numTasks for x in map(tracker.getStageInfo, stages) if x and x.numCompletedTasks)
+    print("tasks", tasks)
+    assert tasks < 700
+    dealt = spark.range(1000).repartition(40)
+    table = checkpoint(dealt, 1000)
+    assert table.count() == 1000 and len(table.inputFiles()) <= 2 * context.defaultParallelism < len(checkpoint(dealt).inputFiles())
+
+
 def test_media(odd, none):
     rows = media.media_features(odd).collect()
     assert len(rows) == len(ODD)

@@ -197,6 +197,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_tables_that_are_split(spark, monkeypatch):
+    """The path of tables beyond ONE_TASK links gives the same components."""
+    from ledgerloom.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", 10)
+    links = [(0, i) for i in range(1, 100)] + [(i, i + 1) for i in range(1000, 1020)] + [(50, 200)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(100), 200]} | {i: 1000 for i in range(1000, 1021)}
+
+
 def test_small_tables_take_few_tasks(spark):
     """A few links over 40 shuffle partitions that nothing joins again: steps of components, and their tables, start few tasks."""
     conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}

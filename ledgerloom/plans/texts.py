@@ -33,22 +33,54 @@ def nearest_task(t: Tables) -> DataFrame:
     return nearest_by_tokens(t.pages.select("page_id", F.explode(F.array_distinct(tokens("url"))).alias("tok")), "page_id")
 
 
-def nearest_by_tokens(bag: DataFrame, key: str) -> DataFrame:
+#: A token of more keys than this counts by sets of such tokens, not by pairs of keys.
+COMMON = 256
+#: So many common tokens of a key are counted by their subsets; where a key has more, the least common of them all are joined.
+WIDEST = 10
+
+
+def nearest_by_tokens(bag: DataFrame, key: str, common: int = COMMON, widest: int = WIDEST) -> DataFrame:
     """For each key of a bag (key, tok; no repeats) the other one that shares the most tokens, the first by key among equals.
 
-    Tokens that all keys hold add the same to every pair: they are counted, not joined. A key that shares no other token
-    is nearest to the first of all keys but itself.
+    Tokens that all keys hold add the same to every pair: they are counted. Keys that share a rare token are joined, so
+    pairs grow with the keys. Common tokens are not: keys with the same set of them are one, and a set meets others by
+    its subsets, as what two sets share is the greatest subset of both. A pair that shares rare tokens too is found with
+    less by its subset, and with all it shares by the join.
     """
     bag = kept(bag)
     sizes = bag.groupBy("tok").agg(F.count("*").alias("df"))
     n = bag.select(key).distinct().agg(F.count("*").alias("n"))
     marked = kept(sizes.join(F.broadcast(n)).withColumn("everywhere", F.col("df") == F.col("n")))
-    common = marked.where("everywhere").agg(F.count("*").alias("common"))
-    rest = bag.join(marked.where("not everywhere and df > 1").select("tok"), "tok")
-    both = rest.join(rest.withColumnRenamed(key, "nearest"), "tok").where(F.col(key) != F.col("nearest"))
-    shared = both.groupBy(key, "nearest").agg(F.count("*").alias("shared"))
-    # The first two keys stand for all that share no rarer token.
-    first = bag.select(F.col(key).alias("nearest")).distinct().orderBy("nearest").limit(2)
-    other = bag.select(key).distinct().join(F.broadcast(first)).where(F.col(key) != F.col("nearest")).withColumn("shared", F.lit(0))
-    best = top_n_per_group(shared.unionByName(other), [key], [F.desc("shared"), F.col("nearest")], 1)
-    return best.join(F.broadcast(common)).withColumn("shared", F.col("shared") + F.col("common")).drop("common").where("shared > 0")
+    everywhere = marked.where("everywhere").agg(F.count("*").alias("common"))
+    often = marked.where(f"not everywhere and df > {common}").select("tok", F.struct("df", "tok").alias("t"))
+    sets = bag.join(often, "tok").groupBy(key).agg(F.sort_array(F.collect_list("t"), False).alias("c"))
+    # Tokens up to the most common one that comes after the widest set of a key are joined as rare ones are.
+    bound = sets.agg(F.max(F.get("c", F.lit(widest))).alias("bound"))
+    sets = sets.join(F.broadcast(bound)).select(key, F.transform(F.filter("c", lambda x: F.col("bound").isNull() | (x > F.col("bound"))), lambda x: x["tok"]).alias("c"))
+    sets = kept(bag.select(key).distinct().join(sets, key, "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>"))))
+    best = found_by_sets(sets, key).unionByName(found_by_rare_tokens(bag, marked, often, bound, sets, key))
+    best = top_n_per_group(best, [key], [F.desc("shared"), F.col("nearest")], 1)
+    return best.join(F.broadcast(everywhere)).withColumn("shared", F.col("shared") + F.col("common")).drop("common").where("shared > 0")
+
+
+def found_by_sets(sets: DataFrame, key: str) -> DataFrame:
+    """For each key (key, c: sorted tokens) the other one whose set shares the most with its own, the first by key."""
+    # Two keys stand for all of a set, as for all whose sets hold a subset: a key's nearest is the first that is not itself.
+    two = top_n_per_group(sets.select("c", F.col(key).alias("nearest")), ["c"], [F.col("nearest")], 2)
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("c")) - 1)
+    parts = F.transform(masks, lambda m: F.filter("c", lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1))
+    by_part = lambda df: df.withColumn("part", F.explode(parts))
+    holders = kept(top_n_per_group(by_part(two).select("part", "nearest"), ["part"], [F.col("nearest")], 2))
+    met = by_part(sets.select("c").distinct()).join(holders, "part").groupBy("c", "nearest").agg(F.max(F.size("part")).cast("long").alias("shared"))
+    ranked = top_n_per_group(met, ["c"], [F.desc("shared"), F.col("nearest")], 2)
+    return sets.join(ranked, "c").where(F.col(key) != F.col("nearest")).select(key, "nearest", "shared")
+
+
+def found_by_rare_tokens(bag: DataFrame, marked: DataFrame, often: DataFrame, bound: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Pairs of keys that share a token outside their sets, with all that they share."""
+    counted = often.join(F.broadcast(bound)).where("bound is null or t > bound").select("tok")
+    rare = marked.where("not everywhere and df > 1").select("tok").join(counted, "tok", "left_anti")
+    rest = kept(bag.join(rare, "tok").join(sets, key))
+    other = rest.select("tok", F.col(key).alias("nearest"), F.col("c").alias("d"))
+    both = rest.join(other, "tok").where(F.col(key) != F.col("nearest"))
+    return both.groupBy(key, "nearest").agg((F.count("*") + F.max(F.size(F.array_intersect("c", "d")))).alias("shared"))

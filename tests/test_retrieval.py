@@ -76,3 +76,32 @@ def test_reasoned_matches(spark):
     rows = lambda df: sorted((r.reported_id, r.tx_edge, tuple(r.reasons)) for r in df.collect())
     assert rows(evidence.reasoned_matches(reported, transfers)) == rows(every.where(F.size("reasons") > 0))
     assert every.where(F.size("reasons") == 0).count() > 0
+
+
+def test_nearest_by_common_and_rare_tokens(spark):
+    """Keys that share the most tokens, by common sets, rare tokens and both, against brute force; no common token is joined by pairs."""
+    import random
+
+    from ledgerloom.plans.texts import nearest_by_tokens
+
+    rng = random.Random(4)
+    bags = {k: {"all"} | {f"c{rng.randrange(4)}{j}" for j in range(rng.randrange(9))} | {f"r{rng.randrange(60)}" for _ in range(rng.randrange(3))} for k in range(120)}
+    bags[120], bags[121] = {"all", "alone"}, {"all"} | {f"c{i}{j}" for i in range(4) for j in range(8)}
+    rows = spark.createDataFrame([(k, t) for k, b in bags.items() for t in b], "k int, tok string")
+    want = {k: min((-len(b & o), j) for j, o in bags.items() if j != k) for k, b in bags.items()}
+    for common, widest in ((5, 10), (5, 3), (1, 6), (1000, 10)):
+        got = nearest_by_tokens(rows, "k", common, widest).collect()
+        assert {r.k: (-r.shared, r.nearest) for r in got} == want and len(got) == len(bags)
+
+
+def test_nearest_with_a_token_of_most_keys(spark):
+    """20,000 keys of which two in three hold a token: pairs would be 178 million."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans.texts import nearest_by_tokens
+
+    rows = spark.range(20000).select("id", F.explode(F.array(F.when(F.col("id") % 3 > 0, "most"), F.concat(F.lit("own"), F.floor(F.col("id") / 2)))).alias("tok")).where("tok is not null")
+    got = nearest_by_tokens(rows, "id").collect()
+    most = lambda i: i % 3 > 0
+    want = {i: (i ^ 1, 1 + (most(i) and most(i ^ 1))) if most(i ^ 1) or not most(i) else (1, 1) for i in range(5, 20000)}
+    assert len(got) == 20000 and {r.id: (r.nearest, r.shared) for r in got if r.id >= 5} == want

@@ -29,6 +29,23 @@ def label_edges(edges: DataFrame, tx_pairs: DataFrame, reported_pairs: DataFrame
     return rows.select("case_id", "edge_id", "label", "action", F.when(positive, "B").otherwise("C").alias("confidence"), "reported_id")
 
 
+def pair_actions(edges: DataFrame, tx_pairs: DataFrame, reported_pairs: DataFrame, attribution: DataFrame) -> DataFrame:
+    """case_id, src, dst, action: one row a pair of nodes that an edge links, with the action that ``label_edges`` gives all its edges.
+
+    Labels depend on the pair alone, and only positive ones on the receiver. So the few pairs that evidence speaks of, in
+    both directions where they are reported, get their action first; then edges and these meet in one shuffle by source.
+    """
+    keys = ["case_id", "src", "dst"]
+    back = reported_pairs.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    positive = tx_pairs.select(*keys).unionByName(reported_pairs.select(*keys)).unionByName(back).distinct().withColumn("label", F.lit("positive"))
+    who = attribution.select("case_id", F.col("address").alias("dst"), "role", "n_entities")
+    told = positive.join(who, ["case_id", "dst"], "left").select(*keys, action().alias("action"))
+    there = edges.select(*keys, F.lit(None).cast("string").alias("action"), F.lit(True).alias("there"))
+    rows = there.unionByName(told.withColumn("there", F.lit(False))).where("case_id is not null and src is not null and dst is not null").repartition("case_id", "src")
+    pairs = rows.groupBy(*keys).agg(F.max("action").alias("action"), F.max("there").alias("there")).where("there")
+    return pairs.select(*keys, F.coalesce("action", F.lit("ignore")).alias("action"))
+
+
 def action() -> Column:
     """What to do with a labelled edge: negatives are ignored; else the receiver's role decides."""
     return (

@@ -18,10 +18,12 @@ def candidate_sets(pairs: DataFrame, most: int = 12, ratio: int = 3) -> DataFram
     key = F.sha2("candidate_id", 256)
     node = Window.partitionBy("case_id", "src")
     n = lambda a: F.count_if(F.col("action") == a).over(node)
-    rows = pairs.withColumns({"__h": key, "n_follow": n("follow"), "n_stop": n("stop"), "n_inspect": n("inspect"), "n_ignore": n("ignore")})
+    # Places first: their order by source and action serves the counts by source too.
+    rows = pairs.select("case_id", "src", "candidate_id", "action", key.alias("__h")).withColumn("place", F.row_number().over(Window.partitionBy("case_id", "src", "action").orderBy("__h")))
+    rows = rows.withColumns({"n_follow": n("follow"), "n_stop": n("stop"), "n_inspect": n("inspect"), "n_ignore": n("ignore")})
     cap = F.greatest(F.lit(1), F.least("n_follow", F.lit(most // max(2, ratio + 1))))
     cap = F.when(F.col("n_ignore") == 0, F.least(F.col("n_follow"), F.greatest(F.lit(2), cap))).otherwise(F.least(F.col("n_follow"), cap))
-    rows = rows.withColumn("cap_follow", cap).withColumn("place", F.row_number().over(Window.partitionBy("case_id", "src", "action").orderBy("__h")))
+    rows = rows.withColumn("cap_follow", cap)
     one = lambda c: F.least(F.lit(1), F.col(c))
     room = F.lit(most) - F.col("cap_follow") - one("n_stop") - one("n_inspect")
     limit = F.when(F.col("action") == "follow", F.col("cap_follow")).when(F.col("action").isin("stop", "inspect"), 1).otherwise(room)

@@ -21,9 +21,12 @@ _LABELS = """lab AS (SELECT d.case_id, d.edge_id, d.src, d.dst, d.tx_hash, d.ass
 LABEL_CTES = f"""rp AS (SELECT case_id, src, dst, max(reported_id) AS reported_id FROM ev_edges GROUP BY ALL), tp AS (SELECT DISTINCT case_id, src, dst FROM ev_edges WHERE stage = 'theft'), sd AS (SELECT DISTINCT case_id, address AS node FROM ev_entities WHERE role = 'attacker_wallet'), wh AS (SELECT case_id, address, count(DISTINCT entity_id) AS n, arg_min(role, entity_id) AS role FROM ev_entities GROUP BY ALL), {_LABELS}"""
 
 
+def outflow_pairs(t: Tables) -> DataFrame:
+    return E.positive_pairs(t.ev_edges.withColumn("label", F.when(F.col("stage") == "theft", "attacker_outflow").otherwise("")))
+
+
 def labelled(t: Tables) -> DataFrame:
-    pairs = E.positive_pairs(t.ev_edges.withColumn("label", F.when(F.col("stage") == "theft", "attacker_outflow").otherwise("")))
-    return L.label_edges(t.dense, pairs, reported_pairs(t), seeds(t), E.attribution(t.ev_entities))
+    return L.label_edges(t.dense, outflow_pairs(t), reported_pairs(t), seeds(t), E.attribution(t.ev_entities))
 
 
 @query("label_edges", f"WITH {LABEL_CTES} SELECT edge_id, label, action, CASE WHEN label = 'positive' THEN 'B' ELSE 'C' END AS confidence FROM act UNION ALL SELECT 'reported:' || reported_id, 'reported_positive', 'inspect', confidence FROM ev_edges WHERE verification_status <> 'chain_verified'")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import stable_hash
+from ..operators import evidence as E
 from ..operators import graphs as G
+from ..operators import labelling as L
 from ..operators import tasking as K
-from ..operators.summaries import pair_candidates
 from ..registry import query
 from ..views import Tables
-from .labels import LABEL_CTES, labelled
+from .joins import reported_pairs
+from .labels import LABEL_CTES, outflow_pairs
 
 _PAIRS = f"""{LABEL_CTES}, pc AS (SELECT case_id, src, 'pair:' || substr(sha256('["' || case_id || '", "' || src || '", "' || dst || '"]'), 1, 16) AS candidate_id, min(action) AS action FROM act GROUP BY case_id, src, dst HAVING count(DISTINCT action) = 1)"""
 _SETS = f"""{_PAIRS}, n AS (SELECT *, count(*) FILTER (action = 'follow') OVER w AS nf, count(*) FILTER (action = 'stop') OVER w AS ns, count(*) FILTER (action = 'inspect') OVER w AS ni, count(*) FILTER (action = 'ignore') OVER w AS ng, row_number() OVER (PARTITION BY case_id, src, action ORDER BY sha256(candidate_id)) AS place FROM pc WINDOW w AS (PARTITION BY case_id, src)),
@@ -20,8 +23,9 @@ _SETS = f"""{_PAIRS}, n AS (SELECT *, count(*) FILTER (action = 'follow') OVER w
 
 
 def pairs(t: Tables) -> DataFrame:
-    edges = t.dense.select("case_id", "edge_id", "src", "dst", "tx_hash", "asset").withColumn("hop", F.lit(1))
-    return pair_candidates(edges.join(labelled(t).select("case_id", "edge_id", "action"), ["case_id", "edge_id"]))
+    """Candidates of a source with their action; all edges of a pair have the same one, so none is dropped."""
+    rows = L.pair_actions(t.dense, outflow_pairs(t), reported_pairs(t), E.attribution(t.ev_entities))
+    return rows.withColumn("candidate_id", F.concat(F.lit("pair:"), stable_hash("case_id", "src", "dst")))
 
 
 def sets(t: Tables) -> DataFrame:

@@ -224,3 +224,35 @@ def test_leaks_in_rows(spark):
     nested = rows.selectExpr("if(id = 5, null, array(named_struct('labels', id))) as items")
     assert count_leaks(nested).first() == (5, 6)
     assert count_leaks(rows.selectExpr("id as answer")).first() == (6, 6)
+
+
+def test_pair_actions_as_labels_of_edges_in_one_shuffle(spark):
+    """What all edges of a pair are labelled, without a join of edges with evidence."""
+    from ledgerloom.operators import evidence, labelling
+
+    n = 400
+    edges = spark.range(n).selectExpr("concat('case_', id % 2) as case_id", "concat('e', id) as edge_id", "concat('n', id * 7 % 13) as src", "concat('n', id * 5 % 11) as dst")
+    reported = spark.createDataFrame([("case_0", "n1", "n2", "R1"), ("case_0", "n0", "n0", "R2"), ("case_1", "n3", "n4", "R3"), ("case_1", "n99", "n5", "R4")], "case_id string, src string, dst string, reported_id string")
+    tx = spark.createDataFrame([("case_0", "n5", "n6"), ("case_1", "n7", "n8")], "case_id string, src string, dst string")
+    who = evidence.attribution(spark.createDataFrame([(f"case_{c}", f"n{i}", f"x{i}{j}", ["router", "mixer", "victim"][i % 3]) for c in (0, 1) for i in range(9) for j in range(1 + (i == 4))], "case_id string, address string, entity_id string, role string"))
+    seeds = spark.createDataFrame([("case_0", "n1")], "case_id string, node string")
+    labels = {r.edge_id: r.action for r in labelling.label_edges(edges, tx, reported, seeds, who).collect()}
+    want = {(r.case_id, r.src, r.dst): labels[r.edge_id] for r in edges.collect()}
+    pairs = labelling.pair_actions(edges, tx, reported, who)
+    got = pairs.collect()
+    assert {(r.case_id, r.src, r.dst): r.action for r in got} == want and len(got) == len(want)
+    assert len(set(want.values())) > 2
+
+
+@pytest.mark.parametrize("name", ["candidate_sets"])
+def test_candidates_take_one_shuffle_of_edges(spark, name):
+    """The wide tables of edges are dealt by source once; before, labels were joined and hashes sorted over six shuffles."""
+    import re
+
+    from ledgerloom import registry
+
+    registry.load()
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RepartitionByExpression", plan)) == 1
+    assert not re.search(r"edge_id|tx_hash", plan) and plan.count("Join LeftOuter") == 1

@@ -244,7 +244,7 @@ def test_pair_actions_as_labels_of_edges_in_one_shuffle(spark):
     assert len(set(want.values())) > 2
 
 
-@pytest.mark.parametrize("name", ["candidate_sets", "tasks_eac"])
+@pytest.mark.parametrize("name", ["candidate_sets", "tasks_eac", "profile_contract"])
 def test_candidates_take_one_shuffle_of_edges(spark, name):
     """The wide tables of edges are dealt by source once; before, labels were joined and hashes sorted over six shuffles."""
     import re

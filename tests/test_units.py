@@ -256,3 +256,14 @@ def test_candidates_take_one_shuffle_of_edges(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("RepartitionByExpression", plan)) == 1
     assert not re.search(r"edge_id|tx_hash", plan) and plan.count("Join LeftOuter") == 1
+
+
+def test_rollout_reads_all_edges_twice(spark, monkeypatch):
+    """Rounds read the edges to follow, which are written once, and not all edges; only those are kept."""
+    full = spark.range(300).selectExpr("'c' as case_id", "concat('n', id % 20) as src", "concat('n', id % 17 + 5) as dst", "concat('e', id) as edge_id", "if(id % 20 < 2, 0.9 - id / 1000, 0.1) as p_follow")
+    written, kept = [], graphs.kept
+    monkeypatch.setattr(graphs, "kept", lambda df: written.append(df) or kept(df))
+    rows = graphs.beam_rollout(full, spark.createDataFrame([("c", "n0")], "case_id string, node string"), depth=3).collect()
+    assert rows and all(r.reason in ("no_follow", "budget", "dead_end") for r in rows)
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 300") for df in written]
+    assert sum(scans) == 2 and written[0].count() == 30

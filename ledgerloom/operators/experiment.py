@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import graphs, policies
 from .detectors import detect
-from .relational import kept, top_n_per_group
+from .relational import dropped, kept, top_n_per_group
 from .scoring import brier, macro_f1
 
 STAGES = ("task_loaded", "node_detection", "edge_classification", "rollout", "scoring")
@@ -22,27 +22,32 @@ def leaked_cases(tasks: DataFrame, training_cases: DataFrame) -> DataFrame:
     return tasks.select("case_id").distinct().join(training_cases.select("case_id"), "case_id", "left_semi")
 
 
-def run(tasks: DataFrame, candidates: DataFrame, gold: DataFrame, method: str, top_k: int = 3, seed_threshold: float = 0.9, depth: int = 3, beam: int = 3) -> tuple[DataFrame, DataFrame]:
+def run(tasks: DataFrame, candidates: DataFrame, gold: DataFrame | None, method: str, top_k: int = 3, seed_threshold: float = 0.9, depth: int = 3, beam: int = 3) -> tuple[DataFrame, DataFrame]:
     """Results and stages of a run.
 
     ``tasks``: task_id, task_type, start_node, seeds (the nodes that may be one; null: all sources). ``candidates``: task_id
-    and the columns that detectors ask for. ``gold``: task_id, edge_id, gold. A task without candidates or without a
+    and the columns that detectors ask for. ``gold``: task_id, edge_id, gold; None where candidates
+    bring it as a column, which spares a join of all edges. Candidates are read by each stage and not copied. A task without candidates or without a
     start fails with its reason and the others go on. Results: task_id, task_type, status, error, seeds, n_paths,
     accuracy, macro_f1, brier. Stages: task_id, stage, n (rows that it made), for tasks that ran.
     """
-    edges = kept(candidates.withColumnRenamed("task_id", "case_id"))
+    edges = candidates.withColumnRenamed("task_id", "case_id")
     asked = tasks.select(F.col("task_id").alias("case_id"), "task_type", "start_node", "seeds")
     loaded = edges.groupBy("case_id").agg(F.count("*").alias("n"))
-    scores = policies.max_outflow_scores(edges).join(asked.where(F.col("task_type") == SEEDLESS).select("case_id", "seeds"), "case_id")
+    seedless = asked.where(F.col("task_type") == SEEDLESS).select("case_id", "seeds")
+    scores = policies.max_outflow_scores(edges.join(seedless, "case_id", "left_semi")).join(seedless, "case_id")
     allowed = F.col("seeds").isNull() | F.array_contains("seeds", F.col("src"))
     found = top_n_per_group(scores.where(allowed & (F.col("probability") >= seed_threshold)), ["case_id"], [F.desc("probability"), F.col("src")], top_k)
     given = asked.where((F.col("task_type") != SEEDLESS) & F.col("start_node").isNotNull()).select("case_id", F.col("start_node").alias("node"))
     seeds = kept(found.select("case_id", F.col("src").alias("node")).unionByName(given))
-    predicted = kept(detect(method, edges, seeds))
+    predicted = detect(method, edges, seeds)
     paths = kept(graphs.beam_rollout(predicted, seeds, depth=depth, beam=beam))
-    scored = kept(predicted.join(gold.withColumnRenamed("task_id", "case_id"), ["case_id", "edge_id"]))
-    metrics = scored.groupBy("case_id").agg(F.avg((F.col("action") == F.col("gold")).cast("double")).alias("accuracy"), F.avg(brier("gold")).alias("brier"))
-    metrics = metrics.join(macro_f1(scored, ["case_id"], "action", "gold"), "case_id", "left")
+    scored = predicted.where("gold is not null") if gold is None else predicted.join(gold.withColumnRenamed("task_id", "case_id"), ["case_id", "edge_id"])
+    # A row by case, gold and action has all that the metrics ask for.
+    by_action = kept(scored.groupBy("case_id", "gold", "action").agg(F.count("*").alias("n"), F.sum(brier("gold")).alias("brier")))
+    hits = F.sum(F.when(F.col("gold").isNull() | F.col("action").isNull(), None).when(F.col("action") == F.col("gold"), F.col("n")).otherwise(0))
+    metrics = by_action.groupBy("case_id").agg((hits / F.sum(F.when(F.col("gold").isNotNull() & F.col("action").isNotNull(), F.col("n")))).alias("accuracy"), (F.sum("brier") / F.sum("n")).alias("brier"))
+    metrics = metrics.join(macro_f1(by_action, ["case_id"], "action", "gold", "n"), "case_id", "left")
     started = seeds.groupBy("case_id").agg(F.array_sort(F.collect_set("node")).alias("found"))
     ended = paths.groupBy("case_id").agg(F.count("*").alias("n_paths"))
     rows = asked.drop("seeds").join(loaded, "case_id", "left").join(started, "case_id", "left").join(ended, "case_id", "left").join(metrics, "case_id", "left")
@@ -59,8 +64,10 @@ def run(tasks: DataFrame, candidates: DataFrame, gold: DataFrame, method: str, t
         *(F.when(ran, F.col(c)).alias(c) for c in ("accuracy", "macro_f1", "brier")),
     )
     results = kept(results)
-    made = zip(STAGES, (edges, seeds, predicted, paths, scored))
-    counts = reduce(DataFrame.unionByName, (df.groupBy("case_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(s)) for s, df in made))
+    made = zip(STAGES, (loaded, *(df.groupBy("case_id").agg(F.count("*").alias("n")) for df in (seeds, predicted, paths)), by_action.groupBy("case_id").agg(F.sum("n").alias("n"))))
+    counts = reduce(DataFrame.unionByName, (df.withColumn("stage", F.lit(s)) for s, df in made))
     alive = results.where("status = 'completed'").select("task_id", F.explode(F.array(*map(F.lit, STAGES))).alias("stage"))
     stages = alive.join(counts.withColumnRenamed("case_id", "task_id"), ["task_id", "stage"], "left").na.fill(0, ["n"])
-    return results, stages.select("task_id", "stage", "n")
+    stages = kept(stages.select("task_id", "stage", "n"))
+    dropped(seeds, paths, by_action)
+    return results, stages

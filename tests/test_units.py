@@ -267,3 +267,15 @@ def test_rollout_reads_all_edges_twice(spark, monkeypatch):
     assert rows and all(r.reason in ("no_follow", "budget", "dead_end") for r in rows)
     scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 300") for df in written]
     assert sum(scans) == 2 and written[0].count() == 30
+
+
+def test_run_with_gold_beside_candidates(spark):
+    """A run scores the same whether gold comes as a table or as a column, and joins no edges in the latter case."""
+    from ledgerloom.operators import experiment
+
+    e = spark.range(200).selectExpr("concat('t', id % 3) as task_id", "concat('n', id % 5) as src", "concat('n', id % 7) as dst", "concat('e', id) as edge_id", "id as ts", "id as block_number", "cast(null as string) as token_address", "'E' as asset", "0 as edge_type", "cast(id % 9 as decimal(18,4)) as amount")
+    gold = e.select("task_id", "edge_id", F.when(F.col("ts") % 4 == 0, "follow").when(F.col("ts") % 4 < 3, "ignore").alias("gold")).where("gold is not null")
+    tasks = spark.createDataFrame([("t0", "path_completion", "n1", None), ("t1", experiment.SEEDLESS, None, None), ("t2", "edge_action_classification", "n2", None)], "task_id string, task_type string, start_node string, seeds array<string>")
+    out = [experiment.run(tasks, c, g, "fifo") for c, g in ((e, gold), (e.join(gold, ["task_id", "edge_id"], "left"), None))]
+    near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+    assert near(out[0][0]) == near(out[1][0]) and near(out[0][1]) == near(out[1][1]) and len(out[0][0].collect()) == 3

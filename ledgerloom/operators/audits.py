@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .relational import kept
 from .reports import flags
 
 #: A source with more transfers of a type in the window than this is not looked up in full.
@@ -61,16 +62,21 @@ def existence_violations(tasks: DataFrame, transfers: DataFrame, limit: int = LO
         (~there & ~F.coalesce("verified_absent", F.lit(False)), "not_verified_absent"),
         (~F.coalesce(askable, F.lit(False)), "invalid_query"),
     ]
-    asked = tasks.where(askable).select("task_id", "case_id", F.lower("src").alias("src"), F.lower("dst").alias("dst"), "block_min", "block_max", F.col("edge_types")[0].alias("edge_type"))
+    oracle_columns = ("found", "n_tx", "n_edges", "edge_ids", "tx_hashes")
+    asked = tasks.where(askable).select("task_id", "case_id", F.lower("src").alias("src"), F.lower("dst").alias("dst"), "block_min", "block_max", F.col("edge_types")[0].alias("edge_type"), F.struct(*oracle_columns).alias("__stored"))
     found = transfers.select("case_id", "src", "edge_type", F.col("dst").alias("to"), "block_number", "edge_id", "tx_hash")
     within = F.col("block_number").between(F.col("block_min"), F.col("block_max"))
-    # How much a source has is counted once for each window, not for each task.
+    # How much a source has is counted once for each window, not for each task; only the few windows beyond the limit are held.
     windows = asked.select("case_id", "src", "edge_type", "block_min", "block_max").distinct()
     sizes = windows.join(found, ["case_id", "src", "edge_type"]).where(within).groupBy(*windows.columns).agg(F.count("*").alias("__size"))
-    by_pair = found.withColumnRenamed("to", "dst")
-    truth = asked.join(by_pair, ["case_id", "src", "dst", "edge_type"]).where(within).groupBy("task_id").agg(F.sort_array(F.collect_set("edge_id")).alias("__edges"), F.sort_array(F.collect_set(F.lower("tx_hash"))).alias("__hashes"))
-    known = asked.join(sizes, windows.columns, "left").join(truth, "task_id", "left").select("task_id", F.coalesce("__size", F.lit(0)).alias("__size"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("__edges", "__hashes")))
-    rows = tasks.join(known, "task_id")
+    large = kept(sizes.where(F.col("__size") > limit))
+    # Tasks and transfers meet once; what a task found is gathered where they met.
+    keys = ["case_id", "src", "dst", "edge_type"]
+    by_pair = found.withColumnRenamed("to", "dst").withColumn("__at", F.col("block_number"))
+    seen = F.col("__at").between(F.col("block_min"), F.col("block_max"))
+    both = asked.join(by_pair.drop("block_number"), keys, "left")
+    known = both.groupBy(*keys, "task_id", "block_min", "block_max").agg(F.sort_array(F.collect_set(F.when(seen, F.col("edge_id")))).alias("__edges"), F.sort_array(F.collect_set(F.when(seen, F.lower("tx_hash")))).alias("__hashes"), F.first("__stored").alias("__stored"))
+    rows = known.join(large, windows.columns, "left").withColumn("__size", F.coalesce("__size", F.lit(0))).select("task_id", "__size", "__edges", "__hashes", "__stored.*")
     whole = F.col("__size") <= limit
     same = lambda c, v: F.coalesce(c == v, F.lit(False))
     listed = lambda c: F.coalesce(F.sort_array(c), F.array().cast("array<string>"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import audits
+from ..operators.relational import kept
 from ..registry import query
 from ..views import Tables
 from .scalars import ORACLE_KEYS, public_rows
@@ -110,15 +111,17 @@ def leak_check(t: Tables) -> DataFrame:
 def existence_task_audit(t: Tables) -> DataFrame:
     """One task a pair of addresses and type; what is stored of it leaves out one asset, and pending transfers show."""
     known, ids = F.col("asset") != "R", lambda c: F.sort_array(F.collect_set(F.when(F.col("asset") != "R", F.col(c))))
-    window = t.dense.groupBy("case_id").agg(F.min("block_number").alias("block_min"), F.max("block_number").alias("block_max"))
-    tasks = t.dense.groupBy("case_id", "src", "dst", "edge_type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("n_shown"), ids("edge_id").alias("edge_ids"), ids("tx_hash").alias("tx_hashes"), F.count_if(known).alias("n_edges"))
+    # Read four times; the window of a case is a row of a small table.
+    edges = kept(t.dense.select("case_id", "edge_id", "src", "dst", "tx_hash", "block_number", "edge_type", "asset", "status"))
+    window = kept(edges.groupBy("case_id").agg(F.min("block_number").alias("block_min"), F.max("block_number").alias("block_max")))
+    tasks = edges.groupBy("case_id", "src", "dst", "edge_type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("n_shown"), ids("edge_id").alias("edge_ids"), ids("tx_hash").alias("tx_hashes"), F.count_if(known).alias("n_edges"))
     tasks = tasks.join(window, "case_id").select(
         F.concat_ws("|", "case_id", "src", "dst", F.col("edge_type").cast("string")).alias("task_id"), "case_id", "src", "dst", F.lit("ethereum").alias("chain"),
         F.when(F.col("n_shown") == F.col("n"), "in").otherwise("out").alias("direction"), "block_min", "block_max", F.array("edge_type").alias("edge_types"), "n_shown", F.lit("tool_grounded").alias("profile"),
         F.lit("required").alias("tool_requirement"), F.array(F.lit("neighbors")).alias("required_tools"), F.lit("query_only").alias("public_profile"),
         (F.col("n_edges") > 0).alias("found"), F.size("tx_hashes").cast("long").alias("n_tx"), "n_edges", "edge_ids", "tx_hashes", (F.col("n_shown") > 0).alias("verified_absent"),
     )
-    return audits.existence_violations(tasks, t.dense)
+    return audits.existence_violations(kept(tasks), edges)
 
 
 @query(

@@ -119,3 +119,12 @@ def test_tracing_protocol(spark, calls, answered, errors, numbers):
     got = (r[0].n_calls, r[0].n_valid, r[0].covered, r[0].coverage, r[0].required_share, r[0].parameter_accuracy, r[0].unnecessary_share, r[0].error_share, r[0].n_detector)
     assert got == pytest.approx(numbers)
     assert r[0].uncovered == 3 - r[0].covered
+
+
+def test_existence_audit_meets_transfers_once(spark):
+    """Tasks and transfers are joined once by pair; before, six joins carried the tasks, four of them by their ids."""
+    from ledgerloom import registry
+
+    registry.load()
+    plan = registry.QUERIES["existence_task_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "l_orderkey" not in plan

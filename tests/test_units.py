@@ -279,3 +279,16 @@ def test_run_with_gold_beside_candidates(spark):
     out = [experiment.run(tasks, c, g, "fifo") for c, g in ((e, gold), (e.join(gold, ["task_id", "edge_id"], "left"), None))]
     near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
     assert near(out[0][0]) == near(out[1][0]) and near(out[0][1]) == near(out[1][1]) and len(out[0][0].collect()) == 3
+
+
+def test_pairs_that_have_not_met_are_not_shuffled(spark):
+    met = spark.range(2000).selectExpr("concat('c', id % 2) as case_id", "concat('a', id % 37) as address", "concat('a', id * 7 % 53) as dst").distinct()
+    asked = met.select("case_id", "address").distinct().where("address < 'a2'").unionByName(spark.createDataFrame([("c0", "new"), ("c9", "a1")], "case_id string, address string"))
+    seen = {(r.case_id, r.address, r.dst) for r in met.collect()}
+    want = {(r.case_id, r.address, d) for r in asked.collect() for c, d in {(c, d) for c, _, d in seen} if c == r.case_id and d != r.address and (c, r.address, d) not in seen}
+    for block in (5, 1024):
+        out = lookup.not_met(asked, met, block)
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+        # Nothing is dealt anew after the pairs are made.
+        assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()

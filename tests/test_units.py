@@ -292,3 +292,20 @@ def test_pairs_that_have_not_met_are_not_shuffled(spark):
         assert set(got) == want and len(got) == len(want) > 100
         # Nothing is dealt anew after the pairs are made.
         assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linear_fit_reads_written_rows(spark, monkeypatch):
+    """A fit reads its rows many times: they are a written table, not the joins that make them."""
+    from ledgerloom.plans import learned
+    from ledgerloom.views import Tables
+
+    class Seen(Exception):
+        pass
+
+    def fit(rows, *_):
+        raise Seen(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(learned.M, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        learned.fit_graph_linear(Tables(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in str(seen.value) and "Aggregate" not in str(seen.value)

@@ -194,13 +194,14 @@ def reached_steps(steps: DataFrame, candidates: DataFrame, seeds: DataFrame, kep
 
     ``steps``: task_id, state_id, node, selected. ``candidates``: task_id, edge_id, dst. Goes on until no state is new.
     """
-    moves = steps.select("task_id", "state_id", F.explode("selected").alias("edge_id")).join(candidates, ["task_id", "edge_id"]).select("task_id", "state_id", F.lower("dst").alias("node")).distinct()
-    states = steps.select("task_id", "state_id", F.lower("node").alias("node")).distinct()
+    # Both are read by each round: written once.
+    moves = kept(steps.select("task_id", "state_id", F.explode("selected").alias("edge_id")).join(candidates, ["task_id", "edge_id"]).select("task_id", "state_id", F.lower("dst").alias("node")).distinct())
+    states = kept(steps.select("task_id", "state_id", F.lower("node").alias("node")).distinct())
     frontier = seen = kept(states.join(seeds.select("task_id", F.lower("node").alias("node")).distinct(), ["task_id", "node"], "left_semi").select("task_id", "state_id").distinct())
     while not frontier.isEmpty():
         to = moves.join(frontier, ["task_id", "state_id"]).select("task_id", "node").distinct()
         frontier = kept(states.join(to, ["task_id", "node"], "left_semi").select("task_id", "state_id").distinct().join(seen, ["task_id", "state_id"], "left_anti"))
-        seen = kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 

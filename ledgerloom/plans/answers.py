@@ -139,7 +139,8 @@ _FOLLOWED = "stage IN ('theft', 'cash_out')"
  SELECT case_id AS task_id, list_sort(list_filter([CASE WHEN lost > 0 THEN 'edge_missing' END, CASE WHEN n_unreached > 0 THEN 'not_reached' END, CASE WHEN n_steps > 40 THEN 'too_many_steps' END, 'seed_twice', 'too_many_seeds'], lambda x: x IS NOT NULL)) AS errors, n_steps, n_unreached FROM n JOIN m USING (case_id)""",
 )
 def check_sequential_answer(t: Tables) -> DataFrame:
-    e = t.ev_edges.select(F.col("case_id").alias("task_id"), F.col("src").alias("state_id"), F.col("reported_id").alias("edge_id"), "src", "dst", "stage", "pattern")
+    # Eight tables derive from the reported edges: these are written once.
+    e = kept(t.ev_edges.select(F.col("case_id").alias("task_id"), F.col("src").alias("state_id"), F.col("reported_id").alias("edge_id"), "src", "dst", "stage", "pattern"))
     states = e.select("task_id", "state_id", F.col("src").alias("node")).distinct()
     steps = e.groupBy("task_id", "state_id").agg(F.upper(F.first("src")).alias("node"), F.collect_list(F.when(F.expr(_FOLLOWED), F.col("edge_id"))).alias("selected"))
     p = F.when(F.expr(_FOLLOWED), 1.0).otherwise(0.0)

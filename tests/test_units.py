@@ -309,3 +309,15 @@ def test_linear_fit_reads_written_rows(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         learned.fit_graph_linear(Tables(spark, "/root/testdata/sf0.001"))
     assert "Join" not in str(seen.value) and "Aggregate" not in str(seen.value)
+
+
+def test_reached_steps_write_what_each_round_reads(spark):
+    from ledgerloom.operators import answers
+
+    n, written = 6, []
+    steps = spark.createDataFrame([("t", f"s{i}", f"N{i}", [f"e{i}"]) for i in range(n)], "task_id string, state_id string, node string, selected array<string>")
+    candidates = spark.createDataFrame([("t", f"e{i}", f"n{i + 1}") for i in range(n)], "task_id string, edge_id string, dst string")
+    seen = answers.reached_steps(steps, candidates, spark.createDataFrame([("t", "n1")], "task_id string, node string"), lambda df: written.append(df) or lookup.kept(df))
+    assert sorted(r.state_id for r in seen.collect()) == [f"s{i}" for i in range(1, n)]
+    # After the first two tables, rounds read only files.
+    assert all("LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString() and "LocalRelation" not in df._jdf.queryExecution().optimizedPlan().toString() for df in written[3:])

@@ -321,3 +321,10 @@ def test_reached_steps_write_what_each_round_reads(spark):
     assert sorted(r.state_id for r in seen.collect()) == [f"s{i}" for i in range(1, n)]
     # After the first two tables, rounds read only files.
     assert all("LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString() and "LocalRelation" not in df._jdf.queryExecution().optimizedPlan().toString() for df in written[3:])
+
+
+def test_latest_versions_without_a_join(spark):
+    rows = spark.createDataFrame([(1, "x.v2"), (1, "x.v10"), (1, "x.v10"), (2, "x.v3_2"), (2, "x.v3_10"), (3, "latest"), (4, None)], "k int, v string")
+    out = files.latest_version(rows, ["k"], "v")
+    assert sorted((r.k, r.v or "") for r in out.collect()) == [(1, "x.v10"), (1, "x.v10"), (2, "x.v3_10"), (3, "latest"), (4, "")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
